@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Rows of a chunk, and rows of an Arrow batch while a table is written: bounds a Python worker's memory.
+CHUNK_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, CHUNK_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +52,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
         lo = 0
         while lo < batch.num_rows:
             base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            hi = min(lo + CHUNK_ROWS, max(lo + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             part = texts.slice(lo, hi - lo)
             offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + hi - lo + 1]
             raw = part.buffers()[2]

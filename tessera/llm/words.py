@@ -42,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of the bytes' random values times powers, and inverse powers: any span's hash in O(1)."""
-    n = 1 << max(20, int(len(data)).bit_length())
+    n = 1 << max(19, (len(data) - 1).bit_length() if len(data) else 0)
     power, inverse = powers(n)
     values = _byte_values()[_LOWER[data] if lower else data]
     values *= power[: len(data)]
