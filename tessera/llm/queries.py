@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import minhash, mixing, sharding
 
-QUERIES = {"op2_minhash": minhash.op2_minhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_minhash": minhash.op2_minhash,
+    "op8_sharding": sharding.op8_sharding,
+}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op8_sharding": sharding.OP8_SQL,
+}
