@@ -7,8 +7,9 @@ independent minima at the cost of a few hashes per shingle.
 
 Texts with one set of shingles are one class before any comparison, so a group of copies costs one row. The
 classes' bands meet in buckets; each bucket is compared with its smallest member and one member drawn by
-hash (rows in proportion to the members), links are confirmed on full sets, and only buckets whose members
-still lie in different components are compared pair by pair, between components, behind a bit filter.
+hash (rows in proportion to the members), and links are confirmed on full sets. In buckets whose members still
+lie in different components, members meet the centres of balls of linked texts instead of each other (see
+_across), so no group emits its pairs.
 
 Defined results: null text or no words: empty set, linked with nothing; null doc_id: linked with nothing,
 component_id null, kept; rows that repeat a doc_id: each gets a row, one component; an empty table: no rows.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, settle, text_chunks
@@ -28,8 +29,14 @@ from .words import U, mix, shingle_sets
 
 BANDS, ROWS = 32, 5
 BITS = 128
-#: Differing bits of 128 beyond which no pair of similarity 0.8 lies (its mean is 12.8, its deviation 3.4).
-MOST_BITS = 40
+#: Members of a block that one task compares with another block.
+BLOCK = 512
+
+
+def most_bits(percent: int) -> int:
+    """Differing bits beyond which no pair of that similarity lies: the mean and seven deviations."""
+    apart = (1 - percent / 100) / 2
+    return int(BITS * apart + 7 * (BITS * apart * (1 - apart)) ** 0.5)
 
 
 def sketch(row: np.ndarray, value: np.ndarray, n: int, t: int) -> np.ndarray:
@@ -96,18 +103,19 @@ def _sets(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
+def _measured(pairs: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
+    """pairs (a, b, ...) with both and sizes: the sizes of the intersection of their full shingle sets, and of the two."""
     pairs = settle(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>")
-    sets = settle(sets, f"{name}-sets")
+    sets = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"), f"{name}-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    linked = joined.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return settle(linked.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b"), f"{name}-links")
+    return settle(pairs.join(left, "a").join(right, "b").select(*pairs.columns, both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes")), f"{name}-measured")
+
+
+def _links(measured: DataFrame, percent: int) -> DataFrame:
+    return measured.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -122,27 +130,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = settle(buckets.select("key", "low", "drawn"), "buckets")
     shared = settle(members.join(buckets, "key"), "shared")
     spokes = shared.select(F.col("rep").alias("b"), F.col("low").alias("a")).union(shared.select(F.greatest("rep", "drawn").alias("b"), F.least("rep", "drawn").alias("a")))
-    first = spokes.filter("a < b").distinct()
-    links = _verified(first, texts, width, percent, "first")
+    first = _measured(spokes.filter("a < b").distinct(), texts, width, "first")
+    links = settle(_links(first, percent), "links")
     same = known.join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = same.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b").distinct()
     labels = components(links.union(repeated), "first")
-    # What is left: buckets that hold several components, compared between components only.
-    placed = shared.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    placed = settle(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    bits = classes.select("rep", "b1", "b2")
-    open_rows = settle(placed.join(mixed, "key", "left_semi").join(bits, "rep").distinct(), "open")
-    left = open_rows.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("b1").alias("a1"), F.col("b2").alias("a2"))
-    right = open_rows.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))
-    apart = F.bit_count(F.expr("a1 ^ c1")) + F.bit_count(F.expr("a2 ^ c2"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (apart <= MOST_BITS)).select("a", "b").distinct()
-    rest = settle(rest, "rest").join(first, ["a", "b"], "left_anti")
-    more = _verified(rest, texts, width, percent, "rest")
+    more = _across(shared.select("key", "rep"), classes.select("rep", "b1", "b2").dropDuplicates(["rep"]), labels, links, texts, width, percent)
     merged = more.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
     bridges = merged.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     over = components(bridges, "bridges").select(F.col("id").alias("comp"), F.col("comp").alias("over"))
-    final = settle(labels.join(over, "comp", "left").select(F.col("id").alias("rep"), F.coalesce("over", "comp").alias("comp")).union(over.join(labels, over["comp"] == labels["id"], "left_anti").select(F.col("comp").alias("rep"), F.col("over").alias("comp"))), "final")
+    alone = over.join(labels.select(F.col("id").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("rep"), F.col("over").alias("comp"))
+    final = settle(labels.join(over, "comp", "left").select(F.col("id").alias("rep"), F.coalesce("over", "comp").alias("comp")).union(alone), "final")
     named = classes.select("d1", "d2", "n_shingles", "rep").join(final, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     named = settle(named, "named")
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
@@ -150,5 +148,75 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different components; enough to join those components.
+
+    Jaccard distance is a metric. Every member has a centre: itself or the linked neighbour with most links, at a
+    distance of 1 - percent at most. If x and y are linked, x is within twice that of y's centre. So x is compared
+    with centres of larger balls only, not with their members, and with members where its distance to
+    the centre lies between one and two times the bound. Those comparisons run block by block inside tasks, which
+    return one link for each x at most.
+    """
+    twice = max(0, 2 * percent - 100)
+    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = settle(ends.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")), "degree")
+    near = ends.join(degree.select(F.col("id").alias("b"), "degree"), "b").select(F.col("a").alias("id"), "degree", F.col("b").alias("centre"))
+    own = degree.select("id", "degree", F.col("id").alias("centre"))
+    centres = settle(near.union(own).groupBy("id").agg(F.max(F.struct("degree", (-F.col("centre")).alias("minus")))["minus"].alias("minus")).select(F.col("id").alias("rep"), (-F.col("minus")).alias("centre")), "centres")
+    size = centres.groupBy("centre").agg(F.count("*").alias("size"))
+    info = bits.join(centres, "rep", "left").withColumn("centre", F.coalesce("centre", "rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    info = settle(info.join(size, "centre", "left").withColumn("size", F.coalesce("size", F.lit(1))), "info")
+    placed = settle(shared.join(info, "rep"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    open_rows = settle(placed.join(mixed, "key", "left_semi"), "open")
+    left = open_rows.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("b1").alias("x1"), F.col("b2").alias("x2"), F.struct("size", "centre").alias("rank_x"))
+    balls = open_rows.select("key", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "b1", "b2"), "centre")
+    right = balls.select("key", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("b1").alias("y1"), F.col("b2").alias("y2"), "size", F.struct("size", "centre").alias("rank_y"))
+    apart = F.bit_count(F.expr("x1 ^ y1")) + F.bit_count(F.expr("x2 ^ y2"))
+    meets = (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart <= F.when(F.col("size") > 1, most_bits(twice)).otherwise(most_bits(percent)))
+    pairs = left.join(right, meets).select(F.col("x").alias("a"), F.col("y").alias("b"), "size").distinct()
+    measured = _measured(pairs, texts, width, "across")
+    found = _links(measured, percent)
+    ring = measured.filter((F.col("size") > 1) & (F.col("both") * 100 < (F.col("sizes") - F.col("both")) * percent) & (F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * twice)).select(F.col("a").alias("x"), F.col("b").alias("centre"))
+    ring = settle(ring, "ring")
+    ball = settle(centres.join(ring.select("centre").distinct(), "centre", "left_semi").select("centre", F.col("rep").alias("y")), "ball")
+    chunked = lambda d, of, name: d.withColumn(name, F.floor((F.row_number().over(Window.partitionBy("centre").orderBy(of)) - 1) / BLOCK).cast("int"))
+    xs, ys = settle(chunked(ring, "x", "i"), "xs"), settle(chunked(ball, "y", "j"), "ys")
+    counts = settle(xs.groupBy("centre").agg((F.max("i") + 1).alias("ni")).join(ys.groupBy("centre").agg((F.max("j") + 1).alias("nj")), "centre"), "blocks")
+    xs = xs.join(counts, "centre").select("centre", F.col("x").alias("doc_id"), "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    ys = ys.join(counts, "centre").select("centre", F.col("y").alias("doc_id"), "j", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
+    ids = ring.select(F.col("x").alias("doc_id")).union(ball.select(F.col("y").alias("doc_id"))).distinct()
+    sets = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "ring-sets")
+    key = ["centre", "i", "j"]
+    xs = xs.join(sets, "doc_id").select(*key, "doc_id", "shingles")
+    other = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_shingles"))
+    ys = ys.withColumnRenamed("doc_id", "y").join(other, "y").select(*[F.col(k).alias(f"y_{k}") for k in key], "y", "y_shingles")
+    inside = xs.groupBy(*key).cogroup(ys.groupBy(*[f"y_{k}" for k in key])).applyInArrow(_compared(percent), "a long, b long")
+    return settle(found.union(inside), "across")
+
+
+def _compared(percent: int):
+    def run(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        """For each x the first y that it is linked with."""
+        out = []
+        if xs.num_rows and ys.num_rows:
+            lists = ys.column("y_shingles").combine_chunks()
+            at = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()
+            sizes = np.diff(at)
+            names = ys.column("y").to_numpy()
+            for x, mine in zip(xs.column("doc_id").to_pylist(), xs.column("shingles").combine_chunks()):
+                mine = mine.values.to_numpy()
+                spot = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+                hits = np.r_[0, np.cumsum(mine[spot] == values)]
+                both = hits[at[1:]] - hits[at[:-1]]
+                linked = np.flatnonzero(100 * both >= percent * (sizes + len(mine) - both))
+                if len(linked):
+                    out.append((x, names[linked[0]]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2)
