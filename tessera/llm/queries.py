@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from . import minhash, mixing, sharding
+from . import embeddings, html, minhash, mixing, packing, quality, rules, sharding, suffix, urls
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_minhash": minhash.op2_minhash,
+    "op3_packing": packing.op3_packing,
+    "op4_urls": urls.op4_urls,
+    "op5_embeddings": embeddings.op5_embeddings,
+    "op6_quality": quality.op6_quality,
+    "op7_suffix": suffix.op7_suffix,
     "op8_sharding": sharding.op8_sharding,
+    "op9_html": html.op9_html,
+    "op10_rules": rules.op10_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
+    "op5_embeddings": embeddings.OP5_SQL,
     "op8_sharding": sharding.OP8_SQL,
+    "op10_rules": rules.OP10_SQL,
 }
