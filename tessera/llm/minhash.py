@@ -6,8 +6,8 @@ one given bin, so no bin stays empty. Equal bins estimate the Jaccard similarity
 independent minima at the cost of a few hashes per shingle.
 
 Texts with one set of shingles are one class before any comparison, so a group of copies costs one row. The
-classes' bands meet in buckets; each bucket is compared with its smallest member and one member drawn by
-hash (rows in proportion to the members), and links are confirmed on full sets. In buckets whose members still
+classes' bands meet in buckets; each bucket is compared with three of its members (rows in proportion to the
+members), and links are confirmed on full sets. In buckets whose members still
 lie in different components, members meet the centres of balls of linked texts instead of each other (see
 _across), so no group emits its pairs.
 
@@ -103,14 +103,26 @@ def _sets(width: int):
     return run
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
+#: Ids (of 8 bytes) that are sent to every executor at most.
+MOST_SENT = 2_000_000
+#: Differing bits of two sketches.
+APART = "bit_count(x1 ^ y1) + bit_count(x2 ^ y2)"
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """Full shingle sets of the texts with those ids; a short list of ids goes to the texts, a long one meets them."""
+    ids = settle(ids, "ids")
+    if ids.count() <= MOST_SENT:
+        ids = F.broadcast(ids)
+    return settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "sets")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """pairs (a, b, ...) with both and sizes: the sizes of the intersection of their full shingle sets, and of the two."""
-    pairs = settle(pairs, f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"), f"{name}-sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
+    pairs = settle(pairs, f"{name}-pairs")
     return settle(pairs.join(left, "a").join(right, "b").select(*pairs.columns, both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes")), f"{name}-measured")
 
 
@@ -126,16 +138,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = settle(known.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "b1", "b2")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.bands", "m.b1", "m.b2"), "classes")
     # A repeated doc_id with different texts can stand for two classes: it is one node, its texts all count.
     members = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"].alias("drawn")).filter("n > 1")
-    buckets = settle(buckets.select("key", "low", "drawn"), "buckets")
+    # Three members of each bucket, by id and by two orders that are the same in all buckets of a group.
+    drawn = lambda seed: F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep"))["rep"]
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("rep"), drawn(1), drawn(2)).alias("hubs")).filter("n > 1")
+    buckets = settle(buckets.select("key", "hubs"), "buckets")
     shared = settle(members.join(buckets, "key"), "shared")
-    spokes = shared.select(F.col("rep").alias("b"), F.col("low").alias("a")).union(shared.select(F.greatest("rep", "drawn").alias("b"), F.least("rep", "drawn").alias("a")))
-    first = _measured(spokes.filter("a < b").distinct(), texts, width, "first")
+    bits = settle(classes.select("rep", "b1", "b2").dropDuplicates(["rep"]), "bits")
+    sets = _sets_of(texts, shared.select(F.col("rep").alias("doc_id")).distinct(), width)
+    spokes = shared.select("rep", F.explode("hubs").alias("hub")).filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    spokes = spokes.join(bits.select(F.col("rep").alias("a"), F.col("b1").alias("x1"), F.col("b2").alias("x2")), "a").join(bits.select(F.col("rep").alias("b"), F.col("b1").alias("y1"), F.col("b2").alias("y2")), "b")
+    first = _measured(spokes.filter(F.expr(APART) <= most_bits(percent)).select("a", "b"), sets, "first")
     links = settle(_links(first, percent), "links")
     same = known.join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = same.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b").distinct()
     labels = components(links.union(repeated), "first")
-    more = _across(shared.select("key", "rep"), classes.select("rep", "b1", "b2").dropDuplicates(["rep"]), labels, links, texts, width, percent)
+    more = _across(shared.select("key", "rep"), bits, labels, links, sets, percent)
     merged = more.join(labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
     bridges = merged.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     over = components(bridges, "bridges").select(F.col("id").alias("comp"), F.col("comp").alias("over"))
@@ -148,7 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components; enough to join those components.
 
     Jaccard distance is a metric. Every member has a centre: itself or the linked neighbour with most links, at a
@@ -172,10 +189,9 @@ def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFr
     left = open_rows.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("b1").alias("x1"), F.col("b2").alias("x2"), F.struct("size", "centre").alias("rank_x"))
     balls = open_rows.select("key", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "b1", "b2"), "centre")
     right = balls.select("key", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("b1").alias("y1"), F.col("b2").alias("y2"), "size", F.struct("size", "centre").alias("rank_y"))
-    apart = F.bit_count(F.expr("x1 ^ y1")) + F.bit_count(F.expr("x2 ^ y2"))
-    meets = (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart <= F.when(F.col("size") > 1, most_bits(twice)).otherwise(most_bits(percent)))
+    meets = (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (F.expr(APART) <= F.when(F.col("size") > 1, most_bits(twice)).otherwise(most_bits(percent)))
     pairs = left.join(right, meets).select(F.col("x").alias("a"), F.col("y").alias("b"), "size").distinct()
-    measured = _measured(pairs, texts, width, "across")
+    measured = _measured(pairs, sets, "across")
     found = _links(measured, percent)
     ring = measured.filter((F.col("size") > 1) & (F.col("both") * 100 < (F.col("sizes") - F.col("both")) * percent) & (F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * twice)).select(F.col("a").alias("x"), F.col("b").alias("centre"))
     ring = settle(ring, "ring")
@@ -185,8 +201,6 @@ def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFr
     counts = settle(xs.groupBy("centre").agg((F.max("i") + 1).alias("ni")).join(ys.groupBy("centre").agg((F.max("j") + 1).alias("nj")), "centre"), "blocks")
     xs = xs.join(counts, "centre").select("centre", F.col("x").alias("doc_id"), "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     ys = ys.join(counts, "centre").select("centre", F.col("y").alias("doc_id"), "j", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
-    ids = ring.select(F.col("x").alias("doc_id")).union(ball.select(F.col("y").alias("doc_id"))).distinct()
-    sets = settle(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles array<long>"), "ring-sets")
     key = ["centre", "i", "j"]
     xs = xs.join(sets, "doc_id").select(*key, "doc_id", "shingles")
     other = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_shingles"))
