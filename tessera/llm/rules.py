@@ -56,22 +56,30 @@ def _without(column: str, chars: str) -> F.Column:
     return F.translate(F.col(column), chars, "")
 
 
+def _let(value: F.Column, body) -> F.Column:
+    """body of the value, which is evaluated once, also where the optimiser moves the expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: F.Column) -> F.Column:
+    """Number of words that lie in a window of three words found twice or more."""
+    windows = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    twice = lambda h: _let(F.sort_array(h), lambda o: F.array_distinct(F.filter(o, lambda x, i: (i > 0) & (x == F.get(o, i - 1)))))
+    few = lambda h, t: F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(t, x), i)), lambda i: i.isNotNull())
+    # Where many windows repeat, positions are ordered by window; looking each up in a short list is cheaper else.
+    beside = lambda p, x, i: (F.get(p, i + 1)["h"] == x["h"]) | ((i > 0) & (F.get(p, F.greatest(i - 1, F.lit(0)))["h"] == x["h"]))
+    placed = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    many = lambda h: _let(placed(h), lambda p: F.sort_array(F.transform(F.filter(p, lambda x, i: F.coalesce(beside(p, x, i), F.lit(False))), lambda x: x["i"])))
+    starts = lambda h, t: F.when(F.size(t) == 0, F.array().cast("array<int>")).when(F.size(t) <= MOST_REPEATS, few(h, t)).otherwise(many(h))
+    covered = lambda s: F.aggregate(F.transform(s, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(s, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return _let(words, lambda w: _let(windows(w), lambda h: _let(twice(h), lambda t: _let(starts(h, t), covered))))
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id and every measure of docs (doc_id, text)."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("solid", _without("text", BLANKS))
     d = d.withColumn("words", F.filter(F.split("text", SPACE), lambda x: x != "")).withColumn("n_words", F.size("words").cast("long"))
-    window = F.transform(F.slice("words", 1, F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
-    d = d.withColumn("windows", F.coalesce(window, F.array().cast("array<bigint>")))
-    d = d.withColumn("ordered", F.sort_array("windows"))
-    d = d.withColumn("twice", F.array_distinct(F.filter("ordered", lambda x, i: (i > 0) & (x == F.get("ordered", i - 1)))))
-    # Where many windows repeat, positions are ordered by window; looking each up in a short list is cheaper else.
-    few = F.filter(F.transform("windows", lambda x, i: F.when(F.array_contains("twice", x), i)), lambda i: i.isNotNull())
-    d = d.withColumn("placed", F.when(F.size("twice") > MOST_REPEATS, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    equal = lambda x, i, j: F.coalesce(F.get("placed", j)["h"] == x["h"], F.lit(False))
-    many = F.sort_array(F.transform(F.filter("placed", lambda x, i: equal(x, i, i + 1) | ((i > 0) & equal(x, i, F.greatest(i - 1, F.lit(0))))), lambda x: x["i"]))
-    d = d.withColumn("starts", F.when(F.size("twice") == 0, F.array().cast("array<int>")).when(F.size("twice") <= MOST_REPEATS, few).otherwise(many))
-    gaps = F.transform("starts", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - x, F.lit(3))))
     d = d.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
     stop = F.size(F.filter("words", lambda x: F.translate(F.lower(x), ".,;:!?", "").isin(STOP_WORDS)))
     return d.select(
@@ -80,7 +88,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length("solid").cast("long").alias("word_chars"),
         (F.length("text") - F.length(_without("text", SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
+        repeat_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("text") - F.length(_without("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
         (F.length("text") - F.length(_without("text", "!"))).cast("long").alias("n_bangs"),
