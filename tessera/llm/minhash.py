@@ -165,6 +165,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those that are not kept; of rows equal in doc_id one stays."""
+    found = settle(near_duplicates(docs, width, percent), "found")
+    gone = settle(found.filter("not kept").select("doc_id").distinct(), "gone")
+    again = settle(found.filter("doc_id is not null and kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    short = lambda ids: F.broadcast(ids) if ids.count() <= MOST_SENT else ids
+    left = docs.join(short(gone), "doc_id", "left_anti").select(docs.columns)
+    if not again.limit(1).count():
+        return left
+    once = left.join(short(again), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return left.join(short(again), "doc_id", "left_anti").select(docs.columns).union(once)
+
+
 def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components; enough to join those components.
 

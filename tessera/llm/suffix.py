@@ -32,6 +32,8 @@ LENGTH, ANCHOR = 400, 50
 #: Bytes of segments in a shard, and different segments of an anchor beyond which its suffixes are dealt out.
 SHARD_BYTES, MOST_SEGMENTS = 1 << 21, 2000
 NO_ID = -(2**63)
+#: Documents and spans that are sent to every executor at most.
+MOST_SENT = 500_000
 
 
 def _sliding(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -271,5 +273,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", a
     )
 
 
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, cover in zip(batch.column("text"), batch.column("spans_")):
+            text, cover = text.as_py(), cover.as_py()
+            if cover:
+                data, kept, at = text.encode(), [], 0
+                for x in cover:
+                    kept.append(data[at : x["start"]])
+                    at = x["start"] + x["length"]
+                text = b"".join([*kept, data[at:]]).decode(errors="ignore")
+            texts.append(text)
+        names = batch.schema.names[:-2]
+        sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        columns = [pa.array(texts, pa.string()) if c == "text" else sizes.cast(batch.schema.field(c).type) if c == "n_chars" else batch.column(c) for c in names]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The rows of docs, all columns, with later copies of long strings cut from text (and n_chars set anew).
+
+    Characters that a cut leaves incomplete go as well. A text cut to nothing stays as an empty text.
+    """
+    spans_ = settle(repeated_spans(docs, length, "first").filter("n_removed > 0").select("doc_id", "n_bytes", "spans"), "spans")
+    spans_ = spans_.select(F.col("doc_id").alias("k_"), F.col("n_bytes").alias("b_"), F.col("spans").alias("spans_")).dropDuplicates(["k_", "b_"])
+    few = spans_.agg(F.count("*").alias("n"), F.sum(F.size("spans_")).alias("m")).first()
+    if few.n + (few.m or 0) <= MOST_SENT:
+        spans_ = F.broadcast(spans_)
+    joined = docs.withColumn("bytes_", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).join(spans_, F.col("doc_id").cast("long").eqNullSafe(F.col("k_")) & (F.col("bytes_") == F.col("b_")), "left")
+    return joined.select(*docs.columns, F.col("b_"), F.col("spans_")).mapInArrow(_without, docs.schema)
+
+
 def op7_suffix(spark, sf_dir: str) -> DataFrame:
     return repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep="none").drop("spans")
