@@ -28,15 +28,16 @@ from .common import components, settle, text_chunks
 from .words import U, mix, shingle_sets
 
 BANDS, ROWS = 32, 5
-BITS = 128
+#: Bits of each coordinate that a pair's filter sees, and longs that hold those of all coordinates.
+NIBBLE, LONGS = 4, BANDS * ROWS // 16
 #: Members of a block that one task compares with another block.
 BLOCK = 512
 
 
-def most_bits(percent: int) -> int:
-    """Differing bits beyond which no pair of that similarity lies: the mean and seven deviations."""
-    apart = (1 - percent / 100) / 2
-    return int(BITS * apart + 7 * (BITS * apart * (1 - apart)) ** 0.5)
+def most_apart(percent: int) -> int:
+    """Differing coordinates beyond which no pair of that similarity lies: the mean and six deviations."""
+    n, apart = BANDS * ROWS, (1 - percent / 100) * (1 - 0.5**NIBBLE)
+    return int(n * apart + 6 * (n * apart * (1 - apart)) ** 0.5)
 
 
 def sketch(row: np.ndarray, value: np.ndarray, n: int, t: int) -> np.ndarray:
@@ -79,16 +80,17 @@ def _signatures(width: int):
             for j in range(ROWS):
                 bands = mix(bands + s[:, j::ROWS], j + 1)
             bands = mix(bands + np.arange(BANDS, dtype=U)[None, :], 9)
-            bits = np.packbits((mix(s[:, :BITS], 5) & U(1)).astype(np.uint8), axis=1).view(np.int64)
+            low = (mix(s, 5) & U(2**NIBBLE - 1)).astype(np.uint8)
+            bits = np.ascontiguousarray(low[:, 0::2] | low[:, 1::2] << NIBBLE).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(size.astype(np.int64)),
                     *[pa.array(d.view(np.int64)) for d in digests],
                     pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64())),
-                    *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2)],
+                    pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), LONGS).cast(pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands", "b1", "b2"],
+                names=["doc_id", "n_shingles", "d1", "d2", "bands", "bits"],
             )
 
     return run
@@ -105,8 +107,12 @@ def _sets(width: int):
 
 #: Ids (of 8 bytes) that are sent to every executor at most.
 MOST_SENT = 2_000_000
-#: Differing bits of two sketches.
-APART = "bit_count(x1 ^ y1) + bit_count(x2 ^ y2)"
+
+
+def apart(x: str, y: str) -> F.Column:
+    """Differing coordinates of two sketches, by the bits kept of each."""
+    differs = lambda z: f"bit_count(({z} | shiftrightunsigned({z}, 1) | shiftrightunsigned({z}, 2) | shiftrightunsigned({z}, 3)) & 1229782938247303441)"
+    return F.expr(" + ".join(differs(f"({x}[{i}] ^ {y}[{i}])") for i in range(LONGS)))
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -133,9 +139,9 @@ def _links(measured: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = settle(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, b1 long, b2 long"), "sigs")
+    sigs = settle(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>"), "sigs")
     known = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = settle(known.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "b1", "b2")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.bands", "m.b1", "m.b2"), "classes")
+    classes = settle(known.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("m")).select("d1", "d2", "n_shingles", F.col("m.doc_id").alias("rep"), "m.bands", "m.bits"), "classes")
     # A repeated doc_id with different texts can stand for two classes: it is one node, its texts all count.
     members = classes.select("rep", F.explode("bands").alias("key"))
     # Three members of each bucket, by id and by two orders that are the same in all buckets of a group.
@@ -143,11 +149,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("rep"), drawn(1), drawn(2)).alias("hubs")).filter("n > 1")
     buckets = settle(buckets.select("key", "hubs"), "buckets")
     shared = settle(members.join(buckets, "key"), "shared")
-    bits = settle(classes.select("rep", "b1", "b2").dropDuplicates(["rep"]), "bits")
+    bits = settle(classes.select("rep", "bits").dropDuplicates(["rep"]), "bits")
     sets = _sets_of(texts, shared.select(F.col("rep").alias("doc_id")).distinct(), width)
     spokes = shared.select("rep", F.explode("hubs").alias("hub")).filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    spokes = spokes.join(bits.select(F.col("rep").alias("a"), F.col("b1").alias("x1"), F.col("b2").alias("x2")), "a").join(bits.select(F.col("rep").alias("b"), F.col("b1").alias("y1"), F.col("b2").alias("y2")), "b")
-    first = _measured(spokes.filter(F.expr(APART) <= most_bits(percent)).select("a", "b"), sets, "first")
+    spokes = spokes.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xs")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("ys")), "b")
+    first = _measured(spokes.filter(apart("xs", "ys") <= most_apart(percent)).select("a", "b"), sets, "first")
     links = settle(_links(first, percent), "links")
     same = known.join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     repeated = same.join(classes.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").select("a", "b").distinct()
@@ -199,10 +205,10 @@ def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFr
     placed = settle(shared.join(info, "rep"), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     open_rows = settle(placed.join(mixed, "key", "left_semi"), "open")
-    left = open_rows.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("b1").alias("x1"), F.col("b2").alias("x2"), F.struct("size", "centre").alias("rank_x"))
-    balls = open_rows.select("key", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "b1", "b2"), "centre")
-    right = balls.select("key", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("b1").alias("y1"), F.col("b2").alias("y2"), "size", F.struct("size", "centre").alias("rank_y"))
-    meets = (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (F.expr(APART) <= F.when(F.col("size") > 1, most_bits(twice)).otherwise(most_bits(percent)))
+    left = open_rows.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("xs"), F.struct("size", "centre").alias("rank_x"))
+    balls = open_rows.select("key", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "bits"), "centre")
+    right = balls.select("key", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("ys"), "size", F.struct("size", "centre").alias("rank_y"))
+    meets = (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart("xs", "ys") <= F.when(F.col("size") > 1, most_apart(twice)).otherwise(most_apart(percent)))
     pairs = left.join(right, meets).select(F.col("x").alias("a"), F.col("y").alias("b"), "size").distinct()
     measured = _measured(pairs, sets, "across")
     found = _links(measured, percent)
