@@ -6,10 +6,10 @@ one given bin, so no bin stays empty. Equal bins estimate the Jaccard similarity
 independent minima at the cost of a few hashes per shingle.
 
 Texts with one set of shingles are one class before any comparison, so a group of copies costs one row. The
-classes' bands meet in buckets; each bucket is compared with three of its members (rows in proportion to the
-members), and links are confirmed on full sets. In buckets whose members still
-lie in different components, members meet the centres of balls of linked texts instead of each other (see
-_across), so no group emits its pairs.
+classes' bands meet in buckets; each bucket offers three of its members as hubs, and a text meets the four hubs that
+it shares most buckets with. Links are confirmed on full sets. In buckets whose members still lie in different
+components, members meet the centres of balls of linked texts instead of each other (see _across), so no group emits
+its pairs.
 
 Defined results: null text or no words: empty set, linked with nothing; null doc_id: linked with nothing,
 component_id null, kept; rows that repeat a doc_id: each gets a row, one component; an empty table: no rows.
@@ -30,6 +30,8 @@ from .words import U, mix, shingle_sets
 BANDS, ROWS = 32, 5
 #: Bits of each coordinate that a pair's filter sees, and longs that hold those of all coordinates.
 NIBBLE, LONGS = 4, BANDS * ROWS // 16
+#: Hubs that a text meets first, those of most shared buckets; _across finds what links they leave.
+HUBS = 4
 #: Members of a block that one task compares with another block.
 BLOCK = 512
 
@@ -151,7 +153,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = settle(members.join(buckets, "key"), "shared")
     bits = settle(classes.select("rep", "bits").dropDuplicates(["rep"]), "bits")
     sets = _sets_of(texts, shared.select(F.col("rep").alias("doc_id")).distinct(), width)
-    spokes = shared.select("rep", F.explode("hubs").alias("hub")).filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    tried = shared.repartition("rep").select("rep", F.explode("hubs").alias("hub")).filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    tried = tried.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("n"), "hub"))).filter(F.col("at") <= HUBS)
+    spokes = tried.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     spokes = spokes.join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("xs")), "a").join(bits.select(F.col("rep").alias("b"), F.col("bits").alias("ys")), "b")
     first = _measured(spokes.filter(apart("xs", "ys") <= most_apart(percent)).select("a", "b"), sets, "first")
     links = settle(_links(first, percent), "links")
