@@ -83,19 +83,24 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counted(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(space.blocks), len(space.pivots)), np.int64)
+        n = np.zeros((2, len(space.blocks), len(space.pivots)), np.int64)
         for batch in batches:
             turned = space.turned(_rows(batch.column("raw"), space.dims))
             for k in range(len(space.blocks)):
-                n[k] += (space.cells(turned, k) > 0).sum(0)
-        block, cell = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cell), pa.array(n[block, cell])], names=["block", "cell", "n"])
+                found = space.cells(turned, k)
+                n[0, k] += (found == 2).sum(0)
+                n[1, k] += (found == 1).sum(0)
+        block, cell = np.nonzero(n.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cell), pa.array(n[0, block, cell]), pa.array(n[1, block, cell])], names=["block", "cell", "own", "others"])
 
     return run
 
 
-def _placed(space: Space, chunks: dict[tuple[int, int], int]):
-    """Each vector in its cells, once for each task that compares its chunk."""
+def _placed(space: Space, chunks: dict[tuple[int, int], tuple[int, int]]):
+    """Each vector in its cells, once for each task (i, j) that compares its chunk: own chunks i with all chunks j.
+
+    A cell's own vectors lie in the first chunks, those that only reach it in later ones; these never meet each other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,15 +111,17 @@ def _placed(space: Space, chunks: dict[tuple[int, int], int]):
                 found = space.cells(turned, k)
                 row, cell = np.nonzero(found)
                 home = found[row, cell] == 2
-                of = np.array([chunks.get((k, c), 1) for c in cell.tolist()], np.int64)
-                mine = (part[row] % of.astype(np.uint64)).astype(np.int64)
-                copy = np.repeat(np.arange(len(row)), of)
-                other = np.arange(len(copy)) - np.repeat(np.cumsum(of) - of, of)
+                own, others = np.array([chunks.get((k, c), (1, 1)) for c in cell.tolist()], np.int64).reshape(-1, 2).T
+                of = np.where(home, own, others)
+                mine = (part[row] % of.astype(np.uint64)).astype(np.int64) + np.where(home, 0, own)
+                times = np.where(home, own + others, own)
+                copy = np.repeat(np.arange(len(row)), times)
+                other = np.arange(len(copy)) - np.repeat(np.cumsum(times) - times, times)
                 lo, hi = np.minimum(mine[copy], other), np.maximum(mine[copy], other)
                 at = row[copy]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(copy), k)), pa.array(cell[copy]), pa.array(lo), pa.array(hi), pa.array(mine[copy] == hi), pa.array(home[copy]), pa.array(rep[at]), batch.column("m").take(pa.array(at)), batch.column("raw").take(pa.array(at))],
-                    names=["block", "cell", "i", "j", "second", "home", "rep", "m", "raw"],
+                    [pa.array(np.full(len(copy), k)), pa.array(cell[copy]), pa.array(lo), pa.array(hi), pa.array(mine[copy] == hi), pa.array(rep[at]), batch.column("m").take(pa.array(at)), batch.column("raw").take(pa.array(at))],
+                    names=["block", "cell", "i", "j", "second", "rep", "m", "raw"],
                 )
 
     return run
@@ -141,7 +148,7 @@ def _joined(space: Space):
         table = table.combine_chunks()
         k, one = table.column("block")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
         order = np.argsort(table.column("rep").to_numpy(), kind="stable")
-        rep, m, home = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("rep", "m", "home"))
+        rep, m = (table.column(c).to_numpy()[order] for c in ("rep", "m"))
         raw = _rows(table.column("raw").take(pa.array(order)).combine_chunks(), space.dims)
         norm = np.linalg.norm(raw, axis=1)
         turned = space.turned(raw)
@@ -149,21 +156,22 @@ def _joined(space: Space):
         left, right = (np.arange(len(rep)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
         links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
         x = turned[:, space.blocks[k]]
-        square = (x**2).sum(1)
+        square, ones = (x**2).sum(1), np.ones(len(x))
+        # Single precision and slack find candidates; the difference in double precision decides.
+        x, y = np.c_[-2 * x, square, ones].astype(np.float32), np.c_[x, ones, square].astype(np.float32)
         for p in range(0, len(left), TILE):
             a = left[p : p + TILE]
             for q in range(p if one else 0, len(right), TILE):
                 b = right[q : q + TILE]
-                near = square[a][:, None] + square[b][None, :] - 2 * x[a] @ x[b].T <= space.budgets[k] + 1e-12
-                near &= home[a][:, None] | home[b][None, :]
+                near = x[a] @ y[b].T <= np.float32(space.budgets[k] + 1e-5)
                 if one and p == q:
                     near = np.triu(near, 1)
                 found = np.nonzero(near)
                 for s in range(0, len(found[0]), SLICE):
                     i, j = a[found[0][s : s + SLICE]], b[found[1][s : s + SLICE]]
-                    for e in range(k):
-                        rest = ((turned[i, space.blocks[e]] - turned[j, space.blocks[e]]) ** 2).sum(1) > space.budgets[e] + 1e-12
-                        i, j = i[rest], j[rest]
+                    for e in range(k, -1, -1):
+                        within = ((turned[i, space.blocks[e]] - turned[j, space.blocks[e]]) ** 2).sum(1) <= space.budgets[e] + 1e-12
+                        i, j = (i[within], j[within]) if e == k else (i[~within], j[~within])
                     cosine = np.einsum("ij,ij->i", raw[i], raw[j]) / (norm[i] * norm[j])
                     i, j = i[cosine >= space.cosine], j[cosine >= space.cosine]
                     if len(i):
@@ -188,9 +196,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         drawn = classes.select("rep", "raw").orderBy(F.xxhash64("raw"), "rep").limit(few).toArrow()
         space = Space(_rows(drawn.column("raw").combine_chunks(), dims), cosine)
         # At most pivots x blocks rows.
-        sizes = classes.select("raw").mapInArrow(_counted(space), "block long, cell long, n long").groupBy("block", "cell").agg(F.sum("n").alias("n")).filter(F.col("n") > CHUNK).collect()
-        chunks = {(r.block, r.cell): -(-r.n // CHUNK) for r in sizes}
-        placed = classes.mapInArrow(_placed(space, chunks), "block long, cell long, i long, j long, second boolean, home boolean, rep long, m long, raw binary")
+        sizes = classes.select("raw").mapInArrow(_counted(space), "block long, cell long, own long, others long").groupBy("block", "cell").agg(F.sum("own").alias("own"), F.sum("others").alias("others")).filter(F.greatest("own", "others") > CHUNK).collect()
+        chunks = {(r.block, r.cell): (max(1, -(-r.own // CHUNK)), max(1, -(-r.others // CHUNK))) for r in sizes}
+        placed = classes.mapInArrow(_placed(space, chunks), "block long, cell long, i long, j long, second boolean, rep long, m long, raw binary")
         joined = settle(placed.groupBy("block", "cell", "i", "j").applyInArrow(_joined(space), "rep long, links long, with long"), "joined")
     else:
         joined = rows.sparkSession.createDataFrame([], "rep long, links long, with long")
