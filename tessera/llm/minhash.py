@@ -102,6 +102,8 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_chunks(batches, "text"):
             _, value, at = shingle_sets(data, offsets, width)
+            # With the top bit flipped, the order of unsigned numbers is that of signed ones: sets stay sorted.
+            value = value ^ U(2**63)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
 
     return run

@@ -1,7 +1,10 @@
+import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.llm import minhash
 from tessera.llm.minhash import near_duplicates
 
 SF = "/root/testdata/sf0.01"
@@ -58,3 +61,28 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash")).withColumn("a", F.lit(1)).withColumn("key", F.lit(1))
     assert result(near_duplicates(docs, width=2)) == brute(rows, 2)
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_compared_finds_all_shared_shingles():
+    rng = random.Random(3)
+    for n in (20, 100, 500, 3000):
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text])], names=["doc_id", "text"])
+        sets = pa.Table.from_batches(minhash._sets(2)(iter([batch])))
+        got = minhash._compared(100)(sets.slice(0, 1), sets.slice(1).rename_columns(["y", "y_shingles"]))
+        assert got.to_pylist() == [{"a": 1, "b": 2}]
+
+
+def test_links_through_members_that_are_no_hubs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rng = random.Random(11)
+    rows = []
+    for f in range(25):
+        base = [f"f{f}w{i}" for i in range(120)]
+        edit = lambda words, n: [f"x{rng.randrange(10**9)}" if i in chosen else w for chosen in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+        members = [edit(base, 5) for _ in range(12)]
+        rows += [(0, " ".join(w)) for w in [base, *members, *[edit(m, 6) for m in members]]]
+    ids = rng.sample(range(10**6), len(rows))
+    rows = [(i, t) for i, (_, t) in zip(ids, rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(docs, width=2)) == brute(rows, 2)
