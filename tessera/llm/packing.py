@@ -7,7 +7,8 @@ window; its unused neighbours, best score first, fill it greedily, whole ones fi
 to fill the window and its rest stays available. So only the last sequence of a shard has padding.
 
 A shard has about SHARD_DOCS remainders whatever the input, so tasks keep their size. The ids come from the
-tiktoken build of the vocabulary, which gives the ids that the tokenizers library gives, three times as fast.
+tiktoken build of the vocabulary, which gives the ids that the tokenizers library gives, three times as fast; texts
+that its pattern engine gives up on (runs of a million blanks) go to the tokenizers library itself.
 
 Defined results: null or empty text: the single id 0; null doc_id and repeated rows: each row is a document;
 texts of any length; special-token strings are ordinary text; an empty table: no rows.
@@ -46,17 +47,33 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def library(path: str):
+    """The tokenizers library's own build of the vocabulary, beside that at path."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+    found.encode_special_tokens = True
+    return found
+
+
+def encoded(path: str, text: str) -> np.ndarray:
+    try:
+        return encoder(path).encode_to_numpy(text)
+    except ValueError:  # the pattern engine's stack is full
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def _tokenized(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
         for batch in batches:
             sizes, fulls, tails = [], [], []
             for text in batch.column("text"):
-                ids = encode(text.as_py() or "")
+                ids = encoded(path, text.as_py() or "")
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 whole = len(ids) // window * window
                 sizes.append(len(ids))

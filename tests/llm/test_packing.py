@@ -71,3 +71,10 @@ def test_neighbours_are_lexical():
     idf = np.log1p((24 - df + 0.5) / (df + 0.5))
     for pieces in packing.fill(lengths, ids, np.cumsum(lengths) - lengths, idf, 40.0, 240):
         assert len({d % 4 for d, _, _ in pieces}) == 1
+
+
+def test_long_runs_of_white_space():
+    rows = [(1, "\n" * 1_000_000 + "a"), (2, " " * 1_500_000), (3, "plain text")]
+    path = public_tokenizers.path(packing.RANKS)
+    for (_, text), ids in zip(rows, expected(rows)):
+        assert [*packing.encoded(path, text).tolist(), 0] == ids
