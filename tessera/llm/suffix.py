@@ -229,6 +229,16 @@ def _removed(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", anchor: int = ANCHOR) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, length in bytes)."""
+    return _repeated(docs, length, keep, anchor).drop("tid")
+
+
+def _tid(text: str) -> F.Column:
+    """The identity of a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
+def _repeated(docs: DataFrame, length: int, keep: str, anchor: int) -> DataFrame:
+    """The rows of repeated_spans with tid, the identity of each row's text."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     found = settle(texts.mapInArrow(_found(length, anchor), "k long, n_bytes long, sha string, tid binary, starts array<long>, ns array<long>, anchors array<long>, wholes array<long>, agains array<boolean>"), "found")
     rows = found.select("k", "tid", F.explode(F.arrays_zip("starts", "ns", "anchors", "wholes", "agains")).alias("s")).select("k", "tid", F.col("s.starts").alias("start"), F.col("s.ns").alias("n"), F.col("s.anchors").alias("anchor"), F.col("s.wholes").alias("seg"), F.col("s.agains").alias("again"))
@@ -248,8 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", a
     todo = kinds.filter("open").join(by_anchor, "anchor").select("anchor", "seg", "rep.*", (F.col("c") > 1).alias("known"), "many")
     todo = settle(todo, "todo")
     wanted = todo.groupBy("k", "tid").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "known", "many")).alias("wanted"))
-    tid = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
-    keyed = texts.withColumn("tid", tid)
+    keyed = texts.withColumn("tid", _tid("text"))
     cut = settle(keyed.join(wanted, ["k", "tid"]).select("k", "tid", "text", "wanted").mapInArrow(_cut(length), "k long, tid binary, start long, n long, anchor long, seg long, known boolean, many boolean, bytes binary"), "cut")
     few = cut.filter("not many")
     total = few.agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -265,6 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first", a
     out = found.select("k", "tid", "n_bytes", "sha").join(result, ["k", "tid"], "left")
     return out.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
+        "tid",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
@@ -296,13 +306,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Characters that a cut leaves incomplete go as well. A text cut to nothing stays as an empty text.
     """
-    spans_ = settle(repeated_spans(docs, length, "first").filter("n_removed > 0").select("doc_id", "n_bytes", "spans"), "spans")
-    spans_ = spans_.select(F.col("doc_id").alias("k_"), F.col("n_bytes").alias("b_"), F.col("spans").alias("spans_")).dropDuplicates(["k_", "b_"])
+    spans_ = settle(_repeated(docs, length, "first", ANCHOR).filter("n_removed > 0").select("doc_id", "tid", "spans"), "spans")
+    spans_ = spans_.select(F.col("doc_id").alias("k_"), F.col("tid").alias("t_"), F.col("spans").alias("spans_")).dropDuplicates(["k_", "t_"])
     few = spans_.agg(F.count("*").alias("n"), F.sum(F.size("spans_")).alias("m")).first()
     if few.n + (few.m or 0) <= MOST_SENT:
         spans_ = F.broadcast(spans_)
-    joined = docs.withColumn("bytes_", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).join(spans_, F.col("doc_id").cast("long").eqNullSafe(F.col("k_")) & (F.col("bytes_") == F.col("b_")), "left")
-    return joined.select(*docs.columns, F.col("b_"), F.col("spans_")).mapInArrow(_without, docs.schema)
+    joined = docs.withColumn("tid_", _tid("text")).join(spans_, F.col("doc_id").cast("long").eqNullSafe(F.col("k_")) & (F.col("tid_") == F.col("t_")), "left")
+    return joined.select(*docs.columns, F.col("t_"), F.col("spans_")).mapInArrow(_without, docs.schema)
 
 
 def op7_suffix(spark, sf_dir: str) -> DataFrame:

@@ -72,3 +72,17 @@ def test_edge_rows(spark, monkeypatch):
 def test_repeated_rows_are_removed_by_the_query(spark):
     docs = spark.createDataFrame([(1, "x" * 50 + "y" * 450), (1, "x" * 50 + "y" * 450)], "doc_id long, text string")
     assert [(r.n_bytes, r.n_removed) for r in suffix.repeated_spans(docs, keep="none").collect()] == [(500, 500)] * 2
+
+
+def test_rows_without_id_keep_their_own_spans(spark):
+    word = lambda n: hashlib.sha512(str(n).encode()).hexdigest()
+    passage = "".join(word(i) for i in range(5))
+    clean = "".join(word(i) for i in range(100, 107))
+    late, early = word(50) + word(51) + passage, passage + word(52) + word(53)
+    assert len(clean) == len(late) == len(early)
+    for doc_id in (None, 7):
+        rows = [(doc_id, passage), (doc_id, clean), (doc_id, late), (doc_id, early)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tid", F.lit("clash"))
+        got = [r.text for r in suffix.remove_repeats(docs).collect()]
+        assert clean in got and "".join(got).count(passage) == 1
+        assert all(any(g in (t, t.replace(passage, "")) for g in got) for _, t in rows) and sum(map(len, got)) == 640 + 896 + 256 + 256
