@@ -29,14 +29,17 @@ def overlapping(ranges: DataFrame, spans: DataFrame, by: str, bucket: float) ->
     """ranges (by, range_id, lo, hi) with each span (by, span_id, start, end) of the same key that meets it, ends included.
 
     Both sides are dealt to time buckets; a pair counts in the bucket of the later start only. A span that ends at 0
-    has no end.
+    has no end: it has no buckets and meets all ranges of its key that end at its start or later.
     """
-    last = F.greatest(F.col("start"), F.when(F.col("end") == 0, F.col("start")).otherwise(F.col("end")))
+    last = F.greatest("start", "end")
     at = lambda c: F.floor(c / bucket)
     left = ranges.select(by, "range_id", "lo", "hi", F.explode(F.sequence(at(F.col("lo")), at(F.greatest("lo", "hi")))).alias("bucket"))
     right = spans.filter(F.col("end") != 0).select(by, "span_id", "start", last.alias("end"), F.explode(F.sequence(at(F.col("start")), at(last))).alias("bucket"))
     meets = left.join(right, [by, "bucket"]).filter((F.col("start") <= F.col("hi")) & (F.col("end") >= F.col("lo")) & (F.col("bucket") == at(F.greatest("start", "lo"))))
-    return meets.select(by, "range_id", "span_id", "start", "end")
+    ends = ranges.withColumn("hi", F.greatest("lo", "hi"))
+    endless = ends.join(spans.filter(F.col("end") == 0), by).filter(F.col("start") <= F.col("hi"))
+    names = [by, "range_id", "span_id", "start", "end"]
+    return meets.select(*names).union(endless.select(*names))
 
 
 def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:

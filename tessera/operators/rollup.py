@@ -43,10 +43,12 @@ def season_rollup(chunks: DataFrame) -> DataFrame:
     return counts.join(rows, "season", "left").fillna(0)
 
 
-def season_background(chunks: DataFrame, most: int = 2) -> DataFrame:
-    """One text per season: each episode and its first distinct items."""
+def season_background(chunks: DataFrame, most: int | None = None) -> DataFrame:
+    """One text per season: each episode and its distinct items, all or the first so many."""
     seen = first_seen(items(chunks), EPISODE)
-    top = seen.withColumn("k", F.row_number().over(Window.partitionBy(*EPISODE).orderBy("at"))).filter(F.col("k") <= most)
+    top = seen.withColumn("k", F.row_number().over(Window.partitionBy(*EPISODE).orderBy("at")))
+    if most is not None:
+        top = top.filter(F.col("k") <= most)
     lines = top.groupBy(*EPISODE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]), "; ").alias("line"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("episode", "line"))), lambda x: F.concat(x["episode"].cast("string"), F.lit(": "), x["line"]))
     return lines.groupBy("season").agg(F.count("*").alias("n_episodes"), F.array_join(parts, " | ").alias("background"))

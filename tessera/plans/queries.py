@@ -59,7 +59,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY season, episode ORDER BY place
 lines AS (SELECT season, episode, string_agg(item, '; ' ORDER BY k) AS line FROM top GROUP BY ALL)
 SELECT season, count(*) AS n_episodes, string_agg(episode || ': ' || line, ' | ' ORDER BY episode) AS background FROM lines GROUP BY season""")
 def a05(spark, d):
-    return rollup.season_background(chunks(spark, d))
+    return rollup.season_background(chunks(spark, d), most=2)  # as its SQL
 
 
 @query("w01_term_timeline", f"""WITH {_CHUNKS}, found AS (SELECT * FROM items WHERE {_terms("item", TERMS)}),

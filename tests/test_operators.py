@@ -75,3 +75,15 @@ def test_latest_event_as_a_stream(spark, tmp_path):
     run = events.latest(stream, "k", ("t",)).writeStream.outputMode("complete").format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted((r.k, r.v) for r in spark.table("latest").collect()) == [(1, "b"), (2, "c")]
+
+
+def test_season_background_holds_all_items(spark):
+    rows = spark.createDataFrame([(0, 1, 0, "A. B. C. A"), (0, 1, 1, "D"), (0, 2, 0, "E")], "season long, episode long, chunk long, text string")
+    assert [r.background for r in rollup.season_background(rows).collect()] == ["1: A; B; C; D | 2: E"]
+
+
+def test_spans_without_end_overlap(spark):
+    ranges = spark.createDataFrame([("k", 1, 0.0, 5.0), ("k", 2, 100.0, 200.0), ("k", 3, 9000.0, 9001.0), ("q", 4, 100.0, 200.0)], "key string, range_id long, lo double, hi double")
+    spans = spark.createDataFrame([("k", 7, 150.0, 0.0), ("k", 8, 3.0, 4.0)], "key string, span_id long, start double, end double")
+    got = joins.overlapping(ranges, spans, "key", 10).collect()
+    assert sorted((r.key, r.range_id, r.span_id) for r in got) == [("k", 1, 8), ("k", 2, 7), ("k", 3, 7)]
