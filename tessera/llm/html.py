@@ -3,7 +3,9 @@
 The standard library's streaming parser turns a page into lines, one for each block. A line's ratio is its
 characters over its tags; lines of menus, headers, footers, sidebars, notices, adverts, forms, comments and
 anything hidden count 0. The ratios are smoothed along the page and split in two clusters; the content region is
-the innermost element that holds nearly all text of the higher cluster, so short lines between paragraphs stay.
+the innermost element that holds nearly all text of the higher cluster, so short lines between paragraphs stay. From
+there it grows to the enclosing article or main, and on to the outermost element that adds no dropped line and no line
+of links, so titles and leads beside a long section stay as well.
 
 Defined results: null or empty html, or a page without text: an empty string; broken markup is parsed as far as
 it goes; null page_id or url and repeated rows: row by row; an empty table: no rows.
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 SHARE, SIGMA = 0.9, 1.0
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu script style noscript template svg iframe head title textarea object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 WHOLE = frozenset("ad ads adv nav navbar navigation menu header masthead banner hidden login signup toolbar pager search legal consent gdpr reply replies responses".split())
@@ -47,21 +50,28 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) ->
 
 
 class _Lines(HTMLParser):
-    """Lines (text, tags, kept, elements) of a page; elements are the ids of the open block elements."""
+    """Lines (text, tags, kept, elements) of a page; elements are the ids of the open block elements.
+
+    whole holds the ids of articles and mains, menus the numbers of lines whose text is mostly links.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.text: list[str] = []
-        self.tags = self.count = self.dropped = self.articles = 0
+        self.tags = self.count = self.dropped = self.articles = self.linked = 0
+        self.whole: set[int] = set()
+        self.menus: set[int] = set()
 
     def flush(self):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
+                if 2 * self.linked > len(text):
+                    self.menus.add(len(self.lines))
                 self.lines.append((text, max(1, self.tags), not self.dropped, tuple(i for t, i, _ in self.stack if t not in INLINE)))
-            self.text, self.tags = [], 0
+            self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self, at: int):
         for tag, _, drop in self.stack[at:]:
@@ -93,7 +103,9 @@ class _Lines(HTMLParser):
         self.count += 1
         self.stack.append((tag, self.count, drop))
         self.dropped += drop
-        self.articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.articles += 1
+            self.whole.add(self.count)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,6 +123,9 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data):
         self.text.append(data)
+        tags = {t for t, _, _ in self.stack}
+        if "a" in tags and not tags & HEADINGS:
+            self.linked += len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -131,6 +146,18 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _grown(parser: _Lines, region: int) -> int:
+    """The enclosing article or main of an element, then its outermost ancestor that adds no boilerplate."""
+    path = next(path for _, _, kept, path in parser.lines if kept and region in path)
+    path = path[: path.index(region) + 1]
+    at = max((i for i, e in enumerate(path) if e in parser.whole), default=len(path) - 1)
+    for i in range(at - 1, -1, -1):
+        if any(path[i] in p and path[at] not in p and (not kept or k in parser.menus) for k, (_, _, kept, p) in enumerate(parser.lines)):
+            break
+        at = i
+    return path[at]
+
+
 def main_text(html: str | None) -> str:
     """The content lines of a page, one block a line."""
     parser = _Lines()
@@ -160,6 +187,7 @@ def main_text(html: str | None) -> str:
         while len(paths) == 1 and len(paths[0]) > 1 and paths[0].index(region) > 0 and len([p for _, _, k, p in lines if k and paths[0][paths[0].index(region) - 1] in p]) > 1:
             region = paths[0][paths[0].index(region) - 1]
             paths = [path for _, _, kept, path in lines if kept and region in path]
+        region = _grown(parser, region)
     return "\n".join(text for text, _, kept, path in lines if kept and (region is None or region in path))
 
 

@@ -46,3 +46,16 @@ def test_edge_rows(spark):
     assert by[1, "u"] == by[2, None] == by[4, "x"] == "" and by[None, "v"] == "plain text only" and by[3, "w"] == "a\nb"
     assert by[5, "y"] == " ".join(["long <text>"] * 20_000)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_title_and_lead_stay_beside_a_long_part():
+    parts = {
+        "div": '<div class="text">' + "".join(f"<p>Paragraph {i}, long enough to be content of this page by any ratio.</p>" for i in range(30)) + "</div>",
+        "ul": "<ul>" + "".join(f"<li>Entry {i}, long enough to be content of this page by any ratio.</li>" for i in range(30)) + "</ul>",
+        "section": "<section>" + "".join(f"<p>Paragraph {i}, long enough to be content of this page by any ratio.</p>" for i in range(30)) + "</section>",
+    }
+    for part in parts.values():
+        long = [t for t in re.split(r"<[^>]*>", part) if t]
+        for outer in ("article", "main", "div"):
+            page = f"<html><body><div><a href=/>Home</a> <a href=/n>News and more</a></div><nav>menu</nav><{outer}><h1>Title</h1><p>The lead.</p>{part}<p>The end.</p></{outer}><footer>foot</footer></body></html>"
+            assert html.main_text(page).split("\n") == ["Title", "The lead.", *long, "The end."]
