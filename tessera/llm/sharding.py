@@ -34,6 +34,11 @@ def _head(depth) -> F.Column:
 
 def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, shard (its hash-prefix bits), depth, shard_bytes."""
+    return _sharded(docs, limit).drop("h")
+
+
+def _sharded(docs: DataFrame, limit: int) -> DataFrame:
+    """The rows of shard() with their hash bits h, which decide the shard."""
     rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits("doc_id", "text").alias("h"))
     rows = settle(rows, "rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -49,7 +54,7 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         fits = sums.filter((F.col("shard_bytes") <= limit) | (F.col("lo") == F.col("hi"))).select("depth", "prefix", "shard_bytes")
         at = up.select("cell", "depth", prefix.alias("prefix")).join(fits, ["depth", "prefix"])
         found = settle(at.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s")), "directory")
-        parts.append(rows.withColumn("cell", _head(fine)).join(found, "cell").select("doc_id", "n_bytes", "s.*"))
+        parts.append(rows.withColumn("cell", _head(fine)).join(found, "cell").select("doc_id", "n_bytes", "h", "s.*"))
         over = cells.join(found, "cell", "left_anti").select("cell")
         if fine == BITS or not over.limit(1).count():
             break
@@ -59,13 +64,13 @@ def shard(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     bits = F.expr(f"CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END")
-    return out.select("doc_id", "n_bytes", bits.alias("shard"), "depth", "shard_bytes")
+    return out.select("doc_id", "n_bytes", "h", bits.alias("shard"), "depth", "shard_bytes")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
-    """Write docs as Parquet under path, one folder for each shard."""
-    keys = shard(docs, limit).select("doc_id", "shard").distinct()
-    docs.join(keys, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write docs, all rows and columns, as Parquet under path, one folder for each shard."""
+    keys = _sharded(docs, limit).select(F.col("h").alias("h_"), "shard").distinct()
+    docs.withColumn("h_", hash_bits("doc_id", "text")).join(keys, "h_").drop("h_").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

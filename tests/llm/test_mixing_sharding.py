@@ -63,3 +63,11 @@ def test_sharding_splits_only_what_is_too_large(spark):
     for s in names:
         assert sum(b for n, b in size.items() if n.startswith(s[:-1])) > 300
     assert sharding.shard(docs.limit(0)).count() == 0
+
+
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    rows = [(i, "x" * (i % 37), i) for i in range(200)] + [(None, f"no id {i}", i) for i in range(50)] + [(None, None, 1), (None, "", 2), (7, "again", 3), (7, "again", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long")
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=300)
+    written = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, ((r.doc_id, r.text, r.h) for r in written.collect()))) == sorted(map(repr, rows))
