@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ CHUNK_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
+    """The folder all executors share: spark.checkpoint.dir; a folder of this machine only where Spark runs on it alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "/tmp/checkpoints"
     return found.rstrip("/")
 
@@ -41,6 +44,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that count as hot hold more than one part in HOT of all rows, so there are fewer than HOT of them.
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner") -> DataFrame:
+    """left joined with a settled table right of one row a key, whose column rows counts the rows of left for that key.
+
+    The few hot keys are sent to left's rows where they are; all others are shuffled, and none of them is large.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    hot = right.filter(F.col(rows) > total / HOT)
+    cold = right.filter(F.col(rows) <= total / HOT)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches of at most limit bytes of text (or one row), with the text's bytes and row offsets. Null: empty."""
     for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, text_chunks
-from .words import U, mix, prefix, spans, words
+from .words import U, hashed, mix, words
 
 POSITIVES, UNLABELLED = 8_000, 16_000
 FOLDS, THRESHOLD = 5, 0.3
@@ -58,7 +58,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """rows x features of whole texts, each bounded."""
     n = len(offsets) - 1
     row, start, end = words(data, offsets)
-    hashes = spans(*prefix(data, True), start, end)
+    hashes = hashed(data, start, end)
     at = np.searchsorted(row, np.arange(n + 1))
     count = np.diff(at).astype(float)
     per = np.maximum(count, 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -12,6 +13,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _ODD = 0x9E3779B97F4A7C15
+#: Bytes of a word that are scrambled as numbers.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -40,11 +43,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def prefix(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of the bytes' random values times powers, and inverse powers: any span's hash in O(1)."""
+def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the bytes' random values times powers, and inverse powers: any span's hash in O(1).
+
+    Different spans can be built that share such a hash, so it groups spans, and equality is decided by other means.
+    """
     n = 1 << max(19, (len(data) - 1).bit_length() if len(data) else 0)
     power, inverse = powers(n)
-    values = _byte_values()[_LOWER[data] if lower else data]
+    values = _byte_values()[data]
     values *= power[: len(data)]
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(values, out=sums[1:])
@@ -78,11 +84,28 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, start, end
 
 
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of the words [start, end): scrambled eight bytes at a time, the rest of a long one by xxHash."""
+    padded = np.concatenate([_LOWER[data] if lower else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(U), 31)
+    todo = np.flatnonzero(size > 0)
+    for at in range(0, LONG_WORD, 8):
+        left = np.minimum(size[todo] - at, 8).astype(U)
+        part = eight[start[todo] + at] << (U(64) - (left << U(3)))
+        out[todo] = mix(out[todo] ^ part, at + 41)
+        todo = todo[size[todo] > at + 8]
+        if not len(todo):
+            return out
+    out[todo] = mix(out[todo] ^ np.array([xxhash.xxh3_64_intdigest(padded[start[i] + LONG_WORD : end[i]].data) for i in todo.tolist()], U), 91)
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Row and 64-bit hash of each word; lower: A-Z count as a-z."""
     row, start, end = words(data, offsets)
-    sums, inverse = prefix(data, lower)
-    return row, spans(sums, inverse, start, end)
+    return row, hashed(data, start, end, lower)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
