@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, settle, text_chunks
+from .common import components, hot_join, settle, text_chunks
 from .words import U, mix, shingle_sets
 
 BANDS, ROWS = 32, 5
@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Three members of each bucket, by id and by two orders that are the same in all buckets of a group.
     drawn = lambda seed: F.min(F.struct(F.xxhash64("rep", F.lit(seed)).alias("h"), "rep"))["rep"]
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.array(F.min("rep"), drawn(1), drawn(2)).alias("hubs")).filter("n > 1")
-    buckets = settle(buckets.select("key", "hubs"), "buckets")
-    shared = settle(members.join(buckets, "key"), "shared")
+    buckets = settle(buckets, "buckets")
+    shared = settle(hot_join(members, buckets, ["key"], "n").select("rep", "key", "hubs"), "shared")
     bits = settle(classes.select("rep", "bits").dropDuplicates(["rep"]), "bits")
     sets = _sets_of(texts, shared.select(F.col("rep").alias("doc_id")).distinct(), width)
     tried = shared.repartition("rep").select("rep", F.explode("hubs").alias("hub")).filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
@@ -190,6 +190,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     return left.join(short(again), "doc_id", "left_anti").select(docs.columns).union(once)
 
 
+def _dealt(of: str, blocks: str) -> F.Column:
+    """The block, of so many, that an id belongs to."""
+    return F.expr(f"cast(pmod(xxhash64({of}), {blocks}) as int)")
+
+
 def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components; enough to join those components.
 
@@ -209,23 +214,25 @@ def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFr
     info = bits.join(centres, "rep", "left").withColumn("centre", F.coalesce("centre", "rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     info = settle(info.join(size, "centre", "left").withColumn("size", F.coalesce("size", F.lit(1))), "info")
     placed = settle(shared.join(info, "rep"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_rows = settle(placed.join(mixed, "key", "left_semi"), "open")
-    left = open_rows.select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("xs"), F.struct("size", "centre").alias("rank_x"))
-    balls = open_rows.select("key", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "bits"), "centre")
-    right = balls.select("key", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("ys"), "size", F.struct("size", "centre").alias("rank_y"))
-    meets = (left["key"] == right["key"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart("xs", "ys") <= F.when(F.col("size") > 1, most_apart(twice)).otherwise(most_apart(percent)))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_rows = settle(hot_join(placed, settle(mixed, "mixed"), ["key"], "n"), "open")
+    # A bucket's members are dealt to blocks; its balls, of which there are fewer, meet every block.
+    left = open_rows.select("key", _dealt("rep", "blocks").alias("block"), F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("xs"), F.struct("size", "centre").alias("rank_x"))
+    balls = open_rows.select("key", "blocks", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "bits"), "centre")
+    balls = balls.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = balls.select("key", "block", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("ys"), "size", F.struct("size", "centre").alias("rank_y"))
+    meets = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart("xs", "ys") <= F.when(F.col("size") > 1, most_apart(twice)).otherwise(most_apart(percent)))
     pairs = left.join(right, meets).select(F.col("x").alias("a"), F.col("y").alias("b"), "size").distinct()
     measured = _measured(pairs, sets, "across")
     found = _links(measured, percent)
     ring = measured.filter((F.col("size") > 1) & (F.col("both") * 100 < (F.col("sizes") - F.col("both")) * percent) & (F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * twice)).select(F.col("a").alias("x"), F.col("b").alias("centre"))
     ring = settle(ring, "ring")
     ball = settle(centres.join(ring.select("centre").distinct(), "centre", "left_semi").select("centre", F.col("rep").alias("y")), "ball")
-    chunked = lambda d, of, name: d.withColumn(name, F.floor((F.row_number().over(Window.partitionBy("centre").orderBy(of)) - 1) / BLOCK).cast("int"))
-    xs, ys = settle(chunked(ring, "x", "i"), "xs"), settle(chunked(ball, "y", "j"), "ys")
-    counts = settle(xs.groupBy("centre").agg((F.max("i") + 1).alias("ni")).join(ys.groupBy("centre").agg((F.max("j") + 1).alias("nj")), "centre"), "blocks")
-    xs = xs.join(counts, "centre").select("centre", F.col("x").alias("doc_id"), "i", F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    ys = ys.join(counts, "centre").select("centre", F.col("y").alias("doc_id"), "j", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
+    counts = ring.groupBy("centre").agg(F.count("*").alias("n_x")).join(ball.groupBy("centre").agg(F.count("*").alias("n_y")), "centre")
+    counts = settle(counts.select("*", F.ceil(F.col("n_x") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("n_y") / BLOCK).cast("int").alias("nj")), "blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    xs = hot_join(ring, counts, ["centre"], "n_x").select("centre", F.col("x").alias("doc_id"), _dealt("x", "ni").alias("i"), every("nj").alias("j"))
+    ys = hot_join(ball, counts, ["centre"], "n_y").select("centre", F.col("y").alias("doc_id"), _dealt("y", "nj").alias("j"), every("ni").alias("i"))
     key = ["centre", "i", "j"]
     xs = xs.join(sets, "doc_id").select(*key, "doc_id", "shingles")
     other = sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("y_shingles"))

@@ -86,3 +86,25 @@ def test_links_through_members_that_are_no_hubs(spark, monkeypatch):
     rows = [(i, t) for i, (_, t) in zip(ids, rows)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(near_duplicates(docs, width=2)) == brute(rows, 2)
+
+
+def thue_morse(n):
+    """A word and its complement, which polynomial hashes modulo a power of two confuse."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    rows = list(enumerate(thue_morse(1024), 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(docs, width=2)) == brute(rows, 2) == [(1, 1, 1), (2, 1, 2)]
+
+
+def test_small_blocks_and_hot_keys(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(common, "HOT", 4)
+    test_links_through_members_that_are_no_hubs(spark, monkeypatch)
