@@ -70,7 +70,7 @@ def sainte_lague(parties: DataFrame, group: list[str], key: list[str], weight: s
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, spans, and the columns to carry.
+    """One row per row of docs (doc_id, source, text): doc_id, source, size, source_size, target, spans; and carried, a struct of the columns to carry.
 
     spans: array of (start, length, times), the runs of the document's words that the mix takes, and how often.
     """
@@ -89,7 +89,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     blocks = F.ceil(F.col("words") / block)
     shards = shards.withColumn("blocks", blocks).select(F.col("source").alias("of"), F.col("shard").alias("part"), "blocks", F.least(F.col("quota"), 2 * F.col("blocks")).alias("quota"), (_hash(F.col("source"), F.col("shard")) % F.greatest(F.col("blocks"), F.lit(1))).alias("phase"))
     shards = settle(shards, "shards")
-    order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.xxhash64("carried")] if carry else []
+    order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size", *last).rowsBetween(Window.unboundedPreceding, -1)
     laid = laid.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0)))
     laid = laid.join(shards, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("part")))
     begun = lambda b: F.call_function("div", b * F.col("quota") + F.col("phase"), F.col("blocks"))
@@ -102,22 +103,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     touched = F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))
     none = F.array().cast("array<struct<start:bigint,length:bigint,times:bigint>>")
     spans = F.when(F.col("size") > 0, F.filter(F.transform(touched, span), lambda x: x["times"] > 0)).otherwise(none)
-    return laid.select("doc_id", "source", "size", "source_size", "target", spans.alias("spans"), *[F.col(f"carried.{c}").alias(c) for c in carry])
+    return laid.select("doc_id", "source", "size", "source_size", "target", spans.alias("spans"), *["carried"] * bool(carry))
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs for what mix() takes: a row for each time that some of a text is taken, with the words taken
     (and the blanks after them) as text and n_chars set anew."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mix(docs, carry=carry, **options).withColumn("time", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda x: x["times"])))))
+    mixed = mix(docs, carry=tuple(docs.columns), **options).withColumn("time", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda x: x["times"])))))
+    text = F.col("carried.text")
     chosen = F.filter("spans", lambda x: x["times"] >= F.col("time"))
     whole = (F.size(chosen) > 0) & (F.aggregate(chosen, F.lit(0).cast("long"), lambda a, x: a + x["length"]) == F.col("size"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORD}{SPACE[:-1]}*)"), F.lit(1))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD}{SPACE[:-1]}*)"), F.lit(1))
     part = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(chosen, lambda x: F.slice(w, (x["start"] + 1).cast("int"), x["length"].cast("int")))), "")), F.lit(0))
-    out = mixed.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    out = mixed.select("carried", F.when(whole, text).otherwise(part).alias("text"))
+    anew = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    return out.select(*[anew.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
