@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_chunks
+from .common import hot_join, settle, text_chunks
 from .words import U, prefix, spans
 
 LENGTH, ANCHOR = 400, 50
@@ -79,7 +80,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
         there = lo + j < hi
         seen[there] += h[spots[lo[there] + j]] == value[there]
     again = (seen > 1) | (hi - lo > 16)
-    return row, begin, end - begin, value, spans(sums, inverse, begin, end + length - 1), again
+    whole = np.array([xxhash.xxh3_64_intdigest(data[a:b].data) for a, b in zip(begin.tolist(), (end + length - 1).tolist())], U)
+    return row, begin, end - begin, value, whole, again
 
 
 def _digest(data: memoryview) -> bytes:
@@ -183,17 +185,17 @@ def _sorted_shard(length: int, keep: str):
 
 
 def _dealt(length: int):
-    """Every suffix of a segment by two hashes of its first length bytes."""
+    """Every suffix of a segment by the 128-bit hash of its first length bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[i].as_py(), np.uint8)
+                data = memoryview(batch.column("bytes")[i].as_py())
                 n = batch.column("n")[i].as_py()
                 at = np.arange(n)
-                hashes = [spans(*prefix(d), at, at + length) for d in (data, data ^ np.uint8(0x5A))]
+                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[j : j + length]) for j in range(n)), np.int64).reshape(n, 2).T
                 fill = lambda c, t: pa.array([batch.column(c)[i].as_py()] * n, t)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([fill("k", pa.int64()), fill("tid", pa.binary()), pa.array(at + batch.column("start")[i].as_py()), fill("known", pa.bool_()), *map(_SIGNED, hashes)], names=["k", "tid", "start", "known", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([fill("k", pa.int64()), fill("tid", pa.binary()), pa.array(at + batch.column("start")[i].as_py()), fill("known", pa.bool_()), *map(pa.array, hashes)], names=["k", "tid", "start", "known", "w1", "w2"])
 
     return run
 
@@ -242,20 +244,20 @@ def _repeated(docs: DataFrame, length: int, keep: str, anchor: int) -> DataFrame
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     found = settle(texts.mapInArrow(_found(length, anchor), "k long, n_bytes long, sha string, tid binary, starts array<long>, ns array<long>, anchors array<long>, wholes array<long>, agains array<boolean>"), "found")
     rows = found.select("k", "tid", F.explode(F.arrays_zip("starts", "ns", "anchors", "wholes", "agains")).alias("s")).select("k", "tid", F.col("s.starts").alias("start"), F.col("s.ns").alias("n"), F.col("s.anchors").alias("anchor"), F.col("s.wholes").alias("seg"), F.col("s.agains").alias("again"))
-    anchors = rows.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("seg") < F.max("seg")).alias("varied"), F.max("again").alias("again")).filter("c > 1 or again")
-    anchors = settle(anchors.select("anchor", (F.col("varied") | F.col("again")).alias("open")), "anchors")
-    shared = settle(rows.drop("again").join(anchors, "anchor"), "shared")
+    anchors = rows.groupBy("anchor").agg(F.count("*").alias("in_all"), (F.min("seg") < F.max("seg")).alias("varied"), F.max("again").alias("again")).filter("in_all > 1 or again")
+    anchors = settle(anchors.select("anchor", "in_all", (F.col("varied") | F.col("again")).alias("open")), "anchors")
+    shared = settle(hot_join(rows.drop("again"), anchors, ["anchor"], "in_all").drop("in_all"), "shared")
     kinds = shared.groupBy("anchor", "seg").agg(F.count("*").alias("c"), F.min(F.struct("k", "tid", "start", "n")).alias("rep"), F.first("open").alias("open"))
     kinds = settle(kinds, "kinds")
-    twice = kinds.filter("c > 1").select("anchor", "seg", "rep")
-    whole = shared.join(twice, ["anchor", "seg"])
+    twice = kinds.filter("c > 1").select("anchor", "seg", "rep", "c")
+    whole = hot_join(shared, twice, ["anchor", "seg"], "c")
     if keep == "first":
         whole = whole.filter(F.struct("k", "tid", "start") != F.struct("rep.k", "rep.tid", "rep.start"))
     whole = whole.select("k", "tid", "start", "n")
     # What the counts leave open, by anchor.
-    by_anchor = kinds.filter("open").groupBy("anchor").agg(F.count("*").alias("segments"), F.min("c").alias("least"), F.max("c").alias("most"))
-    by_anchor = by_anchor.filter("least = 1" if keep == "none" else "true").select("anchor", (F.col("segments") > MOST_SEGMENTS).alias("many"))
-    todo = kinds.filter("open").join(by_anchor, "anchor").select("anchor", "seg", "rep.*", (F.col("c") > 1).alias("known"), "many")
+    by_anchor = kinds.filter("open").groupBy("anchor").agg(F.count("*").alias("segments"), F.min("c").alias("least"))
+    by_anchor = settle(by_anchor.filter("least = 1" if keep == "none" else "true"), "open")
+    todo = hot_join(kinds.filter("open"), by_anchor, ["anchor"], "segments").select("anchor", "seg", "rep.*", (F.col("c") > 1).alias("known"), (F.col("segments") > MOST_SEGMENTS).alias("many"))
     todo = settle(todo, "todo")
     wanted = todo.groupBy("k", "tid").agg(F.collect_list(F.struct("start", "n", "anchor", "seg", "known", "many")).alias("wanted"))
     keyed = texts.withColumn("tid", _tid("text"))
@@ -286,7 +288,7 @@ def _repeated(docs: DataFrame, length: int, keep: str, anchor: int) -> DataFrame
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, cover in zip(batch.column("text"), batch.column("spans_")):
+        for text, cover in zip(batch.column("text"), batch.column(batch.num_columns - 1)):
             text, cover = text.as_py(), cover.as_py()
             if cover:
                 data, kept, at = text.encode(), [], 0
@@ -295,7 +297,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = x["start"] + x["length"]
                 text = b"".join([*kept, data[at:]]).decode(errors="ignore")
             texts.append(text)
-        names = batch.schema.names[:-2]
+        names = batch.schema.names[:-1]
         sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
         columns = [pa.array(texts, pa.string()) if c == "text" else sizes.cast(batch.schema.field(c).type) if c == "n_chars" else batch.column(c) for c in names]
         yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -306,13 +308,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Characters that a cut leaves incomplete go as well. A text cut to nothing stays as an empty text.
     """
-    spans_ = settle(_repeated(docs, length, "first", ANCHOR).filter("n_removed > 0").select("doc_id", "tid", "spans"), "spans")
-    spans_ = spans_.select(F.col("doc_id").alias("k_"), F.col("tid").alias("t_"), F.col("spans").alias("spans_")).dropDuplicates(["k_", "t_"])
-    few = spans_.agg(F.count("*").alias("n"), F.sum(F.size("spans_")).alias("m")).first()
+    found = settle(_repeated(docs, length, "first", ANCHOR).filter("n_removed > 0").select("doc_id", "tid", "spans"), "spans")
+    found = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "tid", "spans").dropDuplicates(["k", "tid"])
+    few = found.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("m")).first()
     if few.n + (few.m or 0) <= MOST_SENT:
-        spans_ = F.broadcast(spans_)
-    joined = docs.withColumn("tid_", _tid("text")).join(spans_, F.col("doc_id").cast("long").eqNullSafe(F.col("k_")) & (F.col("tid_") == F.col("t_")), "left")
-    return joined.select(*docs.columns, F.col("t_"), F.col("spans_")).mapInArrow(_without, docs.schema)
+        found = F.broadcast(found)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), _tid("text").alias("tid"))
+    spare = "_" * (1 + max(map(len, docs.columns)))
+    return rows.join(found, ["k", "tid"], "left").select("row.*", F.col("spans").alias(spare)).mapInArrow(_without, docs.schema)
 
 
 def op7_suffix(spark, sf_dir: str) -> DataFrame:

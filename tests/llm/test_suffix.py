@@ -1,9 +1,12 @@
 import hashlib
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tessera.llm import suffix
 
+sys.path.insert(0, str(Path(__file__).parent))
 SF = "/root/testdata/sf0.01"
 
 
@@ -86,3 +89,22 @@ def test_rows_without_id_keep_their_own_spans(spark):
         got = [r.text for r in suffix.remove_repeats(docs).collect()]
         assert clean in got and "".join(got).count(passage) == 1
         assert all(any(g in (t, t.replace(passage, "")) for g in got) for _, t in rows) and sum(map(len, got)) == 640 + 896 + 256 + 256
+
+
+def test_texts_that_polynomial_hashes_confuse(spark, monkeypatch):
+    from test_minhash import thue_morse
+
+    one, other = thue_morse(2048)
+    rows = [(1, one[:1024] + "xyz"), (2, other[:1024] + "uvw"), (3, "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (2000, 0):
+        monkeypatch.setattr(suffix, "MOST_SEGMENTS", most)
+        for keep in ("none", "first"):
+            check(spark, rows, docs, keep=keep, length=500, anchor=8)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT", 3)
+    test_edge_rows(spark, monkeypatch)
