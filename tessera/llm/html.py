@@ -1,21 +1,26 @@
 """Main text of HTML pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's streaming parser turns a page into lines, one for each block. A line's ratio is its
-characters over its tags; lines of menus, headers, footers, sidebars, notices, adverts, forms, comments and
-anything hidden count 0. The ratios are smoothed along the page and split in two clusters; the content region is
-the innermost element that holds nearly all text of the higher cluster, so short lines between paragraphs stay. From
-there it grows to the enclosing article or main, and on to the outermost element that adds no dropped line and no line
-of links, so titles and leads beside a long section stay as well.
+characters that are no link's, over its tags; lines of menus, headers, footers, sidebars, notices, adverts, forms,
+comments and anything hidden count 0. The ratios are smoothed along the page and split in two clusters. The content
+region is the innermost element that holds nearly all text of the higher cluster, so short lines between paragraphs
+stay. From there it grows to the enclosing article or main, and on to each parent all of whose other lines are headings,
+paragraphs of its own, or lines of the higher cluster: titles and leads beside a long section stay, while menus and
+notices beside it go, whatever their classes are called. Inside the region, an element of which all lines lie in the lower
+cluster and most text is links goes as well.
 
 Defined results: null or empty html, or a page without text: an empty string; broken markup is parsed as far as
-it goes; null page_id or url and repeated rows: row by row; an empty table: no rows.
+it goes; null page_id or url and repeated rows: row by row; an empty table: no rows. Time and memory grow with the
+page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,7 @@ SHARE, SIGMA = 0.9, 1.0
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
 DROPPED = frozenset("nav footer aside form button select dialog menu script style noscript template svg iframe head title textarea object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 WHOLE = frozenset("ad ads adv nav navbar navigation menu header masthead banner hidden login signup toolbar pager search legal consent gdpr reply replies responses".split())
@@ -49,34 +55,52 @@ def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) ->
     return False
 
 
+class _Line(NamedTuple):
+    """A block's text, its tags, characters of links, whether nothing drops it, its element, and whether that is a heading or paragraph."""
+
+    text: str
+    tags: int
+    linked: int
+    kept: bool
+    element: int
+    prose: bool
+
+
 class _Lines(HTMLParser):
-    """Lines (text, tags, kept, elements) of a page; elements are the ids of the open block elements.
+    """The lines of a page, and its block elements: parents, and the first line and the line after the last of each.
 
-    whole holds the ids of articles and mains, menus the numbers of lines whose text is mostly links.
+    An element's number is larger than its parent's, and its lines follow each other. whole holds articles and mains.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, bool]] = []
+        self.lines: list[_Line] = []
+        self.parent, self.begin, self.end, self.tag = [0], [0], [None], ["html"]
+        #: Open elements: tag, whether it drops its text, and the block element whose lines its text belongs to.
+        self.stack: list[tuple[str, bool, int]] = []
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
-        self.tags = self.count = self.dropped = self.articles = self.linked = 0
+        self.tags = self.dropped = self.linked = 0
         self.whole: set[int] = set()
-        self.menus: set[int] = set()
+
+    @property
+    def block(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
 
     def flush(self):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                if 2 * self.linked > len(text):
-                    self.menus.add(len(self.lines))
-                self.lines.append((text, max(1, self.tags), not self.dropped, tuple(i for t, i, _ in self.stack if t not in INLINE)))
+                block = self.block
+                self.lines.append(_Line(text, max(1, self.tags), self.linked, not self.dropped, block, self.tag[block] in PROSE))
             self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self, at: int):
-        for tag, _, drop in self.stack[at:]:
+        for tag, drop, block in self.stack[at:]:
             self.dropped -= drop
-            self.articles -= tag in ("article", "main")
+            self.open[tag] -= 1
+            if tag not in INLINE:
+                self.end[block] = len(self.lines)
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -94,39 +118,48 @@ class _Lines(HTMLParser):
                 if open_tag == "p" or open_tag == tag == "li" or open_tag == tag == "option" or {open_tag, tag} <= {"dt", "dd"} or {open_tag, tag} <= {"td", "th"}:
                     self.pop(at)
                     break
-                if open_tag not in INLINE and open_tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                if open_tag not in INLINE and open_tag not in HEADINGS:
                     break
-        drop = _boilerplate(tag, attrs, self.articles > 0)
+        drop = _boilerplate(tag, attrs, self.open["article"] + self.open["main"] > 0)
         if drop and inline:
             self.text.append(" ")
             self.flush()
-        self.count += 1
-        self.stack.append((tag, self.count, drop))
+        block = self.block
+        if not inline:
+            self.parent.append(block)
+            self.begin.append(len(self.lines))
+            self.end.append(None)
+            self.tag.append(tag)
+            block = len(self.parent) - 1
+            if tag in ("article", "main"):
+                self.whole.add(block)
+        self.stack.append((tag, drop, block))
+        self.open[tag] += 1
         self.dropped += drop
-        if tag in ("article", "main"):
-            self.articles += 1
-            self.whole.add(self.count)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                if tag not in INLINE or any(d or t not in INLINE for t, _, d in self.stack[at:]):
-                    self.flush()
-                self.pop(at)
-                return
-        if tag == "p":
+        if self.open[tag]:
+            at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag)
+            if tag not in INLINE or any(d or t not in INLINE for t, d, _ in self.stack[at:]):
+                self.flush()
+            self.pop(at)
+        elif tag == "p":
             self.flush()
 
     def handle_data(self, data):
         self.text.append(data)
-        tags = {t for t, _, _ in self.stack}
-        if "a" in tags and not tags & HEADINGS:
+        if self.open["a"] and not any(self.open[h] for h in HEADINGS):
             self.linked += len(data)
 
+    def done(self):
+        self.flush()
+        self.pop(0)
+        self.end[0] = len(self.lines)
+
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = int(np.ceil(3 * sigma))
@@ -146,49 +179,66 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _grown(parser: _Lines, region: int) -> int:
-    """The enclosing article or main of an element, then its outermost ancestor that adds no boilerplate."""
-    path = next(path for _, _, kept, path in parser.lines if kept and region in path)
-    path = path[: path.index(region) + 1]
-    at = max((i for i, e in enumerate(path) if e in parser.whole), default=len(path) - 1)
-    for i in range(at - 1, -1, -1):
-        if any(path[i] in p and path[at] not in p and (not kept or k in parser.menus) for k, (_, _, kept, p) in enumerate(parser.lines)):
+def _region(page: _Lines, high: np.ndarray) -> int:
+    """The innermost element with nearly all text of the higher cluster, grown to its article and to parents that add only content."""
+    mass = np.zeros(len(page.parent), np.int64)
+    for line, chosen in zip(page.lines, high):
+        if line.kept and chosen:
+            mass[line.element] += len(line.text)
+    for e in range(len(mass) - 1, 0, -1):
+        mass[page.parent[e]] += mass[e]
+    # An element that holds the share has no sibling that does, so the one of largest number is the innermost.
+    at = int(np.flatnonzero(mass >= SHARE * mass[0])[-1])
+    up = at
+    while up:
+        if up in page.whole:
+            return up
+        up = page.parent[up]
+    while at:
+        up = page.parent[at]
+        others = [*range(page.begin[up], page.begin[at]), *range(page.end[at], page.end[up])]
+        if not all(page.lines[i].kept and (high[i] or page.lines[i].prose and up in (page.lines[i].element, page.parent[page.lines[i].element])) for i in others):
             break
-        at = i
-    return path[at]
+        at = up
+    return at
+
+
+def _menus(page: _Lines, high: np.ndarray, region: int) -> set[int]:
+    """Lines inside the region of elements that hold no line of the higher cluster and more links than other text."""
+    size, linked, best = (np.zeros(len(page.parent), np.int64) for _ in range(3))
+    for line, chosen in zip(page.lines, high):
+        size[line.element] += len(line.text)
+        linked[line.element] += line.linked
+        best[line.element] += bool(chosen)
+    for e in range(len(size) - 1, 0, -1):
+        for total in (size, linked, best):
+            total[page.parent[e]] += total[e]
+    gone, until = set(), -1
+    for e in range(region + 1, len(size)):
+        inside = page.begin[region] <= page.begin[e] and page.end[e] <= page.end[region]
+        if inside and page.begin[e] >= until and page.tag[e] not in PROSE and not best[e] and 2 * linked[e] > size[e]:
+            gone.update(range(page.begin[e], page.end[e]))
+            until = page.end[e]
+    return gone
 
 
 def main_text(html: str | None) -> str:
     """The content lines of a page, one block a line."""
-    parser = _Lines()
+    page = _Lines()
     try:
-        parser.feed(html or "")
-        parser.close()
+        page.feed(html or "")
+        page.close()
     except AssertionError:  # the parser gives up on some declarations
         pass
-    parser.flush()
-    lines = parser.lines
-    if not any(kept for _, _, kept, _ in lines):
+    page.done()
+    if not any(line.kept for line in page.lines):
         return ""
-    ratios = np.array([len(t) / n if kept else 0.0 for t, n, kept, _ in lines])
+    ratios = np.array([max(0, len(line.text) - line.linked) / line.tags if line.kept else 0.0 for line in page.lines])
     level = smoothed(np.log1p(ratios))
-    content = level >= threshold(level)
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, kept, path), chosen in zip(lines, content):
-        if kept and chosen:
-            total += len(text)
-            for element in path:
-                mass[element] = mass.get(element, 0) + len(text)
-    # Ids grow with depth along a path; an element that holds the share has no sibling that does.
-    region = max((e for e, m in mass.items() if m >= SHARE * total), default=None) if total else None
-    if region is not None:
-        paths = [path for _, _, kept, path in lines if kept and region in path]
-        while len(paths) == 1 and len(paths[0]) > 1 and paths[0].index(region) > 0 and len([p for _, _, k, p in lines if k and paths[0][paths[0].index(region) - 1] in p]) > 1:
-            region = paths[0][paths[0].index(region) - 1]
-            paths = [path for _, _, kept, path in lines if kept and region in path]
-        region = _grown(parser, region)
-    return "\n".join(text for text, _, kept, path in lines if kept and (region is None or region in path))
+    high = level >= threshold(level)
+    region = _region(page, high)
+    gone = _menus(page, high, region)
+    return "\n".join(page.lines[i].text for i in range(page.begin[region], page.end[region]) if page.lines[i].kept and i not in gone)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

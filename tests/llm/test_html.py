@@ -59,3 +59,43 @@ def test_title_and_lead_stay_beside_a_long_part():
         for outer in ("article", "main", "div"):
             page = f"<html><body><div><a href=/>Home</a> <a href=/n>News and more</a></div><nav>menu</nav><{outer}><h1>Title</h1><p>The lead.</p>{part}<p>The end.</p></{outer}><footer>foot</footer></body></html>"
             assert html.main_text(page).split("\n") == ["Title", "The lead.", *long, "The end."]
+
+
+LONG = "This sentence of the article is long enough to stand for a paragraph of any page of text."
+
+
+def opaque(body):
+    return f"""<html><body><div class=x1><div class=x2><span>Home</span></div><div class=x2><span>Sport</span></div><div class=x2><span>Money</span></div></div>
+<div class=x3><div class=x4>{body}</div></div>
+<div class=x7><div class=x8>All rights kept</div><div class=x8>Imprint</div><div class=x8>About us</div></div></body></html>"""
+
+
+def test_classes_that_say_nothing():
+    """Only the clusters tell menus and the closing lines from the article here, and keep what lies inside it."""
+    body = f"<h1>Title</h1><p>Lead.</p><div class=q>" + "".join(f"<p>{i} {LONG}</p>" for i in range(6)) + "<p>Short.</p></div><p>The end.</p>"
+    assert html.main_text(opaque(body)).split("\n") == ["Title", "Lead.", *[f"{i} {LONG}" for i in range(6)], "Short.", "The end."]
+    shared = "<ul class=z>" + "".join(f"<li><a href=/{i}>Send by {i}</a></li>" for i in range(4)) + "</ul>"
+    body = f"<h1>Title</h1><div class=q><p>0 {LONG}</p>{shared}" + "".join(f"<p>{i} {LONG}</p>" for i in range(1, 6)) + '<p><a href="/x">Read all of it</a></p></div>'
+    lines = html.main_text(opaque(body)).split("\n")
+    assert lines[0] == "Title" and [t for t in lines if LONG in t] == [f"{i} {LONG}" for i in range(6)] and "Read all of it" in lines
+    assert not {"Home", "Imprint", "All rights kept"} & set(lines)
+
+
+def test_without_clusters_the_rest_of_the_page_stays(monkeypatch):
+    body = "".join(f"<p>{i} {LONG}</p>" for i in range(6))
+    assert "Imprint" not in html.main_text(opaque(body))
+    monkeypatch.setattr(html, "threshold", lambda level: -1.0)
+    assert "Imprint" in html.main_text(opaque(body))
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        begun = time.process_time()
+        assert html.main_text("<div>" * n + f"<p>{LONG}</p>" + "<b>x<div>y" * n).startswith(LONG)
+        return time.process_time() - begun
+
+    took(100)
+    assert took(40_000) < 8 * took(10_000) + 0.5
+    assert html.main_text("<div>" * 200_000 + f"<p>{LONG}</p>" + "</x>" * 200_000) == LONG
