@@ -1,14 +1,15 @@
 """URL filters: list rules, and gradient-boosted trees on lexical features for all other URLs.
 
 Features of a URL: lengths, path depth, digit ratio, character entropy, parameter count, hyphens and labels of
-the host, and statistics of the host's suffix (its share of the labelled URLs, and of those blocked). The trees
-are Spark ML's, trained from labelled URLs on at most SAMPLE rows, those with the smallest hashes.
+the host, and statistics of the host's suffix and of the path's first part (their share of the labelled URLs, and of
+those blocked). The statistics are counted over all labelled URLs. The trees are Spark ML's, fitted on at most SAMPLE distinct labelled URLs, those with
+the smallest hashes.
 
-Where no labels are given, the query labels the table's own hosts by a short word list; the words themselves are
-no feature, so the verdict on a new host rests on its form.
+Labelled URLs are an argument. The table of pages has none, so the query takes as labels what the list rules say of
+the URLs that they fit; README.md has the precision and recall on hosts that were held out.
 
 Defined results: null url or no "://": empty host and path, no rule; repeated rows: row by row; labels of
-one kind only: that verdict for all; no labels: allow; an empty table: no rows.
+one kind only: that verdict for all; no labels: allow; a URL with two labels: bad; an empty table: no rows.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ from .common import settle
 
 SAMPLE = 20_000
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Host words by which the query labels URLs.
-BAD_WORDS = ("spam", "pills", "casino", "bets", "ads", "track", "farm", "viagra", "porn", "xxx", "loan", "free", "win", "cheap")
-FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "longest_label", "suffix_share", "suffix_blocked")
+#: Suffixes or first parts, of those with labels, whose statistics are sent to every executor.
+MOST_SENT = 100_000
+FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "longest_label", "suffix_share", "suffix_blocked", "head_share", "head_blocked")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,7 +48,7 @@ def rule_of(rules: tuple[tuple[str, str], ...]) -> tuple[F.Column, F.Column]:
 
 
 def lexical(rows: DataFrame) -> DataFrame:
-    """rows (url, host, path) with the features that the URL alone gives, and its suffix."""
+    """rows (url, host, path) with the features that the URL alone gives, its suffix and the path's first part."""
     url = F.coalesce("url", F.lit(""))
     n = F.greatest(F.length(url), F.lit(1))
     share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n
@@ -66,36 +67,47 @@ def lexical(rows: DataFrame) -> DataFrame:
         F.size(labels).cast("double").alias("labels"),
         F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double").alias("longest_label"),
         F.element_at(labels, -1).alias("suffix"),
+        F.regexp_extract("path", "^/([^/]*)", 1).alias("head"),
     )
 
 
-def judge(urls: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of urls (page_id, url); labelled: url, bad (0 or 1)."""
-    known = labelled.filter("url is not null and bad is not null").select("url", F.col("bad").cast("double").alias("bad")).orderBy(F.xxhash64("url"), "url", "bad").limit(sample)
+def model_of(labelled: DataFrame, sample: int = SAMPLE):
+    """A function that gives rows (url, host, path) the column bad by the trees; labelled: url, bad (0 or 1)."""
+    known = labelled.filter("url is not null and bad is not null").groupBy("url").agg(F.max(F.col("bad").cast("double")).alias("bad"))
     known = settle(lexical(parts(known)), "labelled")
-    kinds = {r.bad: r["count"] for r in known.groupBy("bad").count().collect()}
-    rows = parts(urls.select("page_id", "url"))
-    rule, verdict = rule_of(rules)
-    if len(kinds) < 2:
-        return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.lit("block" if 1.0 in kinds else "allow")).alias("verdict"))
-    total = sum(kinds.values())
-    # At most one row for each labelled row, so no more than the sample.
-    suffixes = settle(known.groupBy("suffix").agg((F.count("*") / total).alias("suffix_share"), ((F.sum("bad") + kinds[1.0] / total) / (F.count("*") + 1)).alias("suffix_blocked")), "suffixes")
-    full = lambda d: d.join(suffixes, "suffix", "left").fillna({"suffix_share": 0.0, "suffix_blocked": kinds[1.0] / total})
+    every = known.agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad")).first()
+    if not every.n or every.n_bad in (0, every.n):
+        return lambda rows: rows.withColumn("bad", F.lit(1.0 if every.n and every.n_bad else 0.0))
+    rate, tables = every.n_bad / every.n, {}
+    for key in ("suffix", "head"):
+        stats = known.groupBy(key).agg((F.count("*") / every.n).alias(f"{key}_share"), ((F.sum("bad") + rate) / (F.count("*") + 1)).alias(f"{key}_blocked"))
+        stats = settle(stats, key)
+        tables[key] = F.broadcast(stats) if stats.count() <= MOST_SENT else stats
+
+    def full(rows: DataFrame) -> DataFrame:
+        for key, stats in tables.items():
+            rows = rows.join(stats, key, "left").fillna({f"{key}_share": 0.0, f"{key}_blocked": rate})
+        return rows
+
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    training = assembler.transform(full(known)).select("features", "bad")
-    model = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=10, maxDepth=3, seed=7).fit(training)
-    scored = model.transform(assembler.transform(full(lexical(rows))))
-    says = F.when(F.col("prediction") > 0.5, F.lit("block")).otherwise("allow")
+    drawn = settle(known.orderBy(F.xxhash64("url"), "url").limit(sample), "drawn")
+    trees = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=10, maxDepth=3, seed=7).fit(assembler.transform(full(drawn)).select("features", "bad"))
+    return lambda rows: trees.transform(assembler.transform(full(lexical(rows)))).withColumn("bad", F.col("prediction"))
+
+
+def judge(urls: DataFrame, labelled: DataFrame | None = None, rules: tuple[tuple[str, str], ...] = RULES, sample: int = SAMPLE) -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of urls (page_id, url); labelled: url, bad (0 or 1), by default ruled(urls)."""
+    scored = model_of(ruled(urls, rules) if labelled is None else labelled, sample)(parts(urls.select("page_id", "url")))
+    rule, verdict = rule_of(rules)
+    says = F.when(F.col("bad") > 0.5, F.lit("block")).otherwise("allow")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, says).alias("verdict"))
 
 
-def label_hosts(urls: DataFrame, words: tuple[str, ...] = BAD_WORDS) -> DataFrame:
-    """url, bad for urls with a host: bad where a part of the host is one of the words."""
-    host = F.split(F.col("host"), r"[^a-z0-9]+")
-    return parts(urls).filter("host <> ''").select("url", F.arrays_overlap(host, F.array(*[F.lit(w) for w in words])).cast("int").alias("bad"))
+def ruled(urls: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """url, bad for the urls that a rule fits."""
+    _, verdict = rule_of(rules)
+    return parts(urls.select("url")).select("url", (verdict == "block").cast("int").alias("bad")).filter("bad is not null")
 
 
 def op4_urls(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages, label_hosts(pages))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
