@@ -53,10 +53,25 @@ def predecessor(rows: DataFrame, by: str, index: str, value: str) -> DataFrame:
     return rows.join(before, [by, index], "left")
 
 
-def last_where(rows: DataFrame, by: str, order: tuple[str, ...], condition: Column, value: str, name: str) -> DataFrame:
-    """Each row with the latest earlier value where the condition held, or null."""
-    before = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(F.when(condition, F.col(value)), ignorenulls=True).over(before))
+def greatest_before(rows: DataFrame, by: str, order: tuple[str, ...], bucket: Column, values: dict[str, Column]) -> DataFrame:
+    """rows with, for each name, the greatest of a value over the rows before it in order with the same key; nulls don't count.
+
+    bucket never falls along the order (a day, say). Rows are ordered within a key's bucket only; what earlier buckets give comes
+    from one row for each, so a hot key is as many tasks as it has buckets.
+    """
+    inside = Window.partitionBy(by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_bucket", bucket).withColumns({f"_{n}": v for n, v in values.items()})
+    sums = rows.groupBy(F.col(by).alias("_by"), F.col("_bucket").alias("_at")).agg(*[F.max(f"_{n}").alias(f"_top_{n}") for n in values])
+    sums = sums.select("_by", "_at", *[F.max(f"_top_{n}").over(over).alias(f"_old_{n}") for n in values])
+    both = rows.withColumns({n: F.max(f"_{n}").over(inside) for n in values}).join(sums, F.col(by).eqNullSafe(F.col("_by")) & F.col("_bucket").eqNullSafe(F.col("_at")))
+    return both.withColumns({n: F.greatest(n, f"_old_{n}") for n in values}).drop("_bucket", "_by", "_at", *[f"_{n}" for n in values], *[f"_old_{n}" for n in values])
+
+
+def last_where(rows: DataFrame, by: str, order: tuple[str, ...], condition: Column, value: str, name: str, bucket: Column) -> DataFrame:
+    """Each row with the latest earlier value where the condition held, or null; bucket as for greatest_before."""
+    found = greatest_before(rows, by, order, bucket, {name: F.when(condition & F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("found")))})
+    return found.withColumn(name, F.col(name)["found"])
 
 
 def earlier(rows: DataFrame, by: str, order: str, n: str) -> DataFrame:

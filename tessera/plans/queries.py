@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import responses
 from tessera.functions import text as T
 from tessera.operators import context, dispatch, joins, rollup
 from tessera.plans.registry import query
-from tessera.sources import files
+from tessera.sources import files, media
 from tessera.streaming import events as streams
 
 SEASON = 10
@@ -55,11 +56,11 @@ def a04(spark, d):
 
 
 @query("a05_season_background", f"""WITH {_SEEN},
-top AS (SELECT *, row_number() OVER (PARTITION BY season, episode ORDER BY place) AS k FROM seen QUALIFY k <= 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY season, episode ORDER BY place) AS k FROM seen),
 lines AS (SELECT season, episode, string_agg(item, '; ' ORDER BY k) AS line FROM top GROUP BY ALL)
 SELECT season, count(*) AS n_episodes, string_agg(episode || ': ' || line, ' | ' ORDER BY episode) AS background FROM lines GROUP BY season""")
 def a05(spark, d):
-    return rollup.season_background(chunks(spark, d), most=2)  # as its SQL
+    return rollup.season_background(chunks(spark, d))
 
 
 @query("w01_term_timeline", f"""WITH {_CHUNKS}, found AS (SELECT * FROM items WHERE {_terms("item", TERMS)}),
@@ -131,25 +132,25 @@ def j07(spark, d):
     return joins.missing(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), found, "o_orderkey")
 
 
-@query("j01_align_exactly_one", """WITH s AS (SELECT s_suppkey, s_nationkey FROM supplier), c AS (SELECT c_custkey, c_nationkey, c_custkey % 37 AS stem FROM customer WHERE c_acctbal > 9800),
-hits AS (SELECT s_suppkey, c_custkey, 'stem' AS rule FROM s JOIN c ON s_suppkey % 37 = stem UNION ALL SELECT s_suppkey, c_custkey, 'nation' FROM s JOIN c ON s_nationkey = c_nationkey),
+@query("j01_align_exactly_one", """WITH s AS (SELECT s_suppkey, s_suppkey % 997 AS stem, (s_suppkey * 7 + s_nationkey) % 1201 AS folder FROM supplier), c AS (SELECT c_custkey, c_custkey % 997 AS stem, (c_custkey * 7 + c_nationkey) % 1201 AS folder FROM customer),
+hits AS (SELECT s_suppkey, c_custkey, 'stem' AS rule FROM s JOIN c USING (stem) UNION ALL SELECT s_suppkey, c_custkey, 'folder' FROM s JOIN c USING (folder)),
 per AS (SELECT s_suppkey, min(c_custkey) AS lo, max(c_custkey) AS hi, max(rule) AS rule FROM hits GROUP BY s_suppkey)
 SELECT s.s_suppkey, CASE WHEN lo = hi THEN lo END AS c_custkey, CASE WHEN lo IS NULL THEN 'unmatched' WHEN lo < hi THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN lo = hi THEN rule END AS rule FROM s LEFT JOIN per USING (s_suppkey)""")
 def j01(spark, d):
-    left = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 37).alias("stem"), F.col("s_nationkey").alias("nation"))
-    right = table(spark, d, "customer").filter("c_acctbal > 9800").select("c_custkey", (F.col("c_custkey") % 37).alias("stem"), F.col("c_nationkey").alias("nation"))
-    return joins.exactly_one(left, right, "s_suppkey", ["stem", "nation"], "c_custkey")
+    keys = lambda key, nation: (F.col(key), (F.col(key) % 997).alias("stem"), ((F.col(key) * 7 + F.col(nation)) % 1201).alias("folder"))
+    left, right = table(spark, d, "supplier").select(*keys("s_suppkey", "s_nationkey")), table(spark, d, "customer").select(*keys("c_custkey", "c_nationkey"))
+    return joins.exactly_one(left, right, "s_suppkey", ["stem", "folder"], "c_custkey")
 
 
 _SPANS = """e AS (SELECT user_id, event_id, event_type, epoch_us(ts) / 1000000.0 AS t, value FROM events)"""
 
 
-@query("j04_interval_overlap", f"""WITH {_SPANS}, r AS (SELECT user_id, event_id AS range_id, t AS lo, t + 3600 AS hi FROM e WHERE event_type = 'error'), s AS (SELECT user_id, event_id AS span_id, t AS a, t + value * 60 AS b FROM e WHERE event_type = 'purchase')
-SELECT r.user_id, range_id, span_id FROM r JOIN s ON r.user_id = s.user_id AND s.b >= r.lo AND s.a <= r.hi""")
+@query("j04_interval_overlap", f"""WITH {_SPANS}, r AS (SELECT user_id, event_id AS range_id, t AS lo, t + 3600 AS hi FROM e WHERE event_type = 'error'), s AS (SELECT user_id, event_id AS span_id, t AS a, CASE WHEN event_id % 5 = 0 THEN 0 ELSE t + value * 60 END AS b FROM e WHERE event_type = 'purchase')
+SELECT r.user_id, range_id, span_id FROM r JOIN s ON r.user_id = s.user_id AND (s.b = 0 OR s.b >= r.lo) AND s.a <= r.hi""")
 def j04(spark, d):
     e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0)
     ranges = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("range_id"), F.col("t").alias("lo"), (F.col("t") + 3600).alias("hi"))
-    spans = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span_id"), F.col("t").alias("start"), (F.col("t") + F.col("value") * 60).alias("end"))
+    spans = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("span_id"), F.col("t").alias("start"), F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("t") + F.col("value") * 60).alias("end"))
     return joins.overlapping(ranges, spans, "user_id", 3600).select("user_id", "range_id", "span_id")
 
 
@@ -162,7 +163,7 @@ def j09(spark, d):
 
 @query("j11_last_completed", """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_done FROM events""")
 def j11(spark, d):
-    return joins.last_where(table(spark, d, "events"), "user_id", ("ts", "event_id"), F.col("event_type") == "purchase", "event_id", "last_done").select("event_id", "user_id", "last_done")
+    return joins.last_where(table(spark, d, "events"), "user_id", ("ts", "event_id"), F.col("event_type") == "purchase", "event_id", "last_done", F.to_date("ts")).select("event_id", "user_id", "last_done")
 
 
 @query("j08_prior_episodes", f"""WITH {_CHUNKS}, n AS (SELECT season, episode, count(*) AS n_chunks FROM chunks GROUP BY ALL)
@@ -222,9 +223,9 @@ def f02(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("f03_output_budget", f"SELECT doc_id, least(16384, greatest(2048, 4096, 512 * 3, tokens // 8))::BIGINT AS budget FROM {_TOKENS}")
+@query("f03_output_budget", f"SELECT doc_id, least(16384, greatest(2048, 4096 + 2 * 512 + tokens // 8))::BIGINT AS budget FROM {_TOKENS}")
 def f03(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.output_budget(F.lit(3), T.token_estimate(F.col("text")), 2048, 4096, 16384, 512, 8).alias("budget"))
+    return table(spark, d, "documents").select("doc_id", T.output_budget("formal_episode_content_merge", F.lit(3), T.token_estimate(F.col("text")))["budget"].alias("budget"))
 
 
 @query("f06_clock", "SELECT event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS clock FROM (SELECT event_id, round(greatest(value, 0) * 100 * 1000)::BIGINT AS ms FROM events)")
@@ -243,10 +244,10 @@ def f08(spark, d):
     return rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-@query("f09_redact", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(https?://)[^/\s:@]+:[^/\s@]+@', '\1***:***@', 'g'), '(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1***', 'gi'),
- 'sk-[A-Za-z0-9_-]{8,}', 'sk-***', 'g'), '(token\s*=\s*")[0-9a-fA-F]+(")', '\1***\2', 'g')) AS redacted FROM documents""")
+@query("f09_redact", r"""SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z][A-Za-z0-9+.-]*://)([^/\s:@]+(?::[^/\s@]*)?@)', '\1***:***@', 'g'), '(Authorization:\s*Bearer\s+|Bearer\s+)([A-Za-z0-9._~+/=-]+)', '\1***', 'g'),
+ '\bsk-[A-Za-z0-9_-]{8,}\b', 'sk-***', 'g'), 'ution', '***'), '(token\s*=\s*")[0-9a-fA-F]+(")', '\1***\2', 'g')) AS redacted FROM documents""")
 def f09(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("redacted"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.mask_tokens(T.redact(F.col("text"), secrets=("ution", "e"))), 256).alias("redacted"))
 
 
 @query("f10_mask_query", r"SELECT page_id, regexp_replace(url, '([?&](?:ref|page)=)[^&#]*', '\1***', 'g') AS url FROM pages")
@@ -254,7 +255,7 @@ def f10(spark, d):
     return table(spark, d, "pages").select("page_id", T.mask_query(F.col("url"), ("ref", "page")).alias("url"))
 
 
-@query("f12_slug", "SELECT page_id, regexp_replace(url, '[^0-9A-Za-z._-]+', '_', 'g') AS slug FROM pages")
+@query("f12_slug", "SELECT page_id, regexp_replace(regexp_replace(url, '[^0-9A-Za-z._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS slug FROM pages")
 def f12(spark, d):
     return table(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
@@ -272,21 +273,30 @@ def o01(spark, d):
     return files.numbered(table(spark, d, "part"), "p_type", [T.natural_key(F.col("p_brand")), F.col("p_partkey")], "rank").select("p_partkey", "p_brand", F.col("rank").cast("long").alias("rank"))
 
 
-@query("s01_suffix_profile", r"""WITH f AS (SELECT page_id, 'a/b.' || ['txt', 'PNG', 'mp4', 'wav', 'bin'][1 + page_id % 5] AS path FROM pages)
-SELECT page_id, lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS suffix, CASE page_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'image' WHEN 2 THEN 'video' WHEN 3 THEN 'audio' END AS medium FROM f""")
+_SUFFIXES = (".txt", ".PNG", ".mp4", ".wav", ".bin", "", ".gif", ".bmp", ".srt", ".ASS", ".vtt", ".lrc", ".json", ".cbz", ".m4v", ".opus", ".webp", ".7z", ".wma", ".html")
+
+
+@query("s01_suffix_profile", f"""WITH f AS (SELECT page_id, {list(_SUFFIXES)}[1 + page_id % 20] AS s FROM pages), t AS (SELECT *, lower(s) AS suffix FROM f)
+SELECT page_id, suffix, CASE WHEN suffix IN ('.mp4', '.m4v') THEN 'video' WHEN suffix IN ('.png', '.gif', '.bmp', '.webp') THEN 'image' WHEN suffix IN ('.wav', '.opus', '.wma') THEN 'audio' WHEN suffix IN ('.txt', '.srt', '.ass', '.vtt', '.lrc', '.json') THEN 'text' END AS media_type,
+ CASE WHEN suffix IN ('.srt', '.ass', '.vtt', '.lrc') THEN 'script' ELSE 'unknown' END AS content_form_hint, suffix NOT IN ('.bin', '.cbz', '.7z', '.html') AS import_supported,
+ CASE WHEN suffix IN ('.mp4', '.m4v', '.png', '.webp', '.wav', '.opus', '.wma', '.srt', '.ass') THEN 'supported' WHEN suffix IN ('.txt', '.json') THEN 'planned' ELSE 'unsupported' END AS preview_support, preview_support AS formal_support,
+ CASE suffix WHEN '' THEN 'extensionless_source_unclassified' WHEN '.gif' THEN 'animated_image_not_supported' WHEN '.bmp' THEN 'bmp_image_not_supported' WHEN '.vtt' THEN 'vtt_timed_text_not_supported' WHEN '.lrc' THEN 'lrc_timed_text_not_supported' WHEN '.json' THEN 'controlled_json_only'
+  WHEN '.cbz' THEN 'comic_archive_not_supported' WHEN '.7z' THEN 'comic_archive_not_supported' WHEN '.bin' THEN 'unknown_source_suffix' WHEN '.html' THEN 'unknown_source_suffix' WHEN '.wav' THEN 'transcript_required' WHEN '.opus' THEN 'transcript_required' WHEN '.wma' THEN 'transcript_required' ELSE '' END AS reason,
+ CASE suffix WHEN '.cbz' THEN 'cbz' WHEN '.7z' THEN 'archive' END AS preprocessor_key, import_supported OR suffix IN ('.cbz', '.7z') AS project_input FROM t""")
 def s01(spark, d):
-    path = F.concat(F.lit("a/b."), F.element_at(F.array(*map(F.lit, ("txt", "PNG", "mp4", "wav", "bin"))), (F.col("page_id") % 5 + 1).cast("int")))
-    return table(spark, d, "pages").select("page_id", files.suffix(path).alias("suffix"), files.medium(path).alias("medium"))
+    path = F.concat(F.lit("a.d/b"), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("page_id") % 20 + 1).cast("int")))
+    rows = table(spark, d, "pages").select("page_id", path.alias("path"))
+    return rows.select("page_id", media.suffix(F.col("path")).alias("suffix"), media.profile(F.col("path")).alias("p"), media.container(F.col("path"))["preprocessor_key"].alias("preprocessor_key"), media.project_input(F.col("path")).alias("project_input")).select("page_id", "suffix", "p.*", "preprocessor_key", "project_input")
 
 
-@query("s04_collections", """WITH f AS (SELECT user_id * 400 + dayofyear(ts) AS folder, CASE event_type WHEN 'error' THEN 'video' WHEN 'click' THEN 'image' WHEN 'purchase' THEN 'audio' ELSE 'text' END AS kind FROM events),
-g AS (SELECT folder, count(*) AS n, count(DISTINCT kind) AS k, bool_and(kind = 'image') AS images, bool_or(kind = 'video') AS v, bool_or(kind = 'image') AS i, bool_or(kind = 'audio') AS a, bool_or(kind = 'text') AS t FROM f GROUP BY folder)
-SELECT folder, n, concat_ws(',', CASE WHEN v THEN 'video' END, CASE WHEN i THEN 'image' END, CASE WHEN a THEN 'audio' END, CASE WHEN t THEN 'text' END) AS media,
- CASE WHEN k > 1 THEN 'mixed' WHEN images AND n > 1 THEN 'image_set' ELSE 'unknown' END AS hint FROM g""")
+@query("s04_collections", """WITH f AS (SELECT user_id * 400 + dayofyear(ts) AS folder, event_id || CASE event_type WHEN 'error' THEN '.mkv' WHEN 'click' THEN '.jpg' WHEN 'purchase' THEN '.srt' WHEN 'signup' THEN '.xyz' ELSE '.ass' END AS path, event_type AS t FROM events),
+g AS (SELECT folder, count(*) AS n, bool_or(t = 'error') AS v, bool_or(t = 'click') AS i, bool_or(t NOT IN ('error', 'click', 'signup')) AS x, bool_or(t = 'signup') AS u, string_agg(path, ',' ORDER BY path) FILTER (t = 'signup') AS unsupported FROM f GROUP BY folder)
+SELECT folder, n, concat_ws(',', CASE WHEN v THEN 'video' END, CASE WHEN i THEN 'image' END, CASE WHEN x THEN 'text' END) AS media,
+ CASE WHEN v::INT + i::INT + x::INT > 1 THEN 'mixed' WHEN i AND n > 1 THEN 'image_set' WHEN x AND NOT u THEN 'script' ELSE 'unknown' END AS hint, coalesce(unsupported, '') AS unsupported FROM g""")
 def s04(spark, d):
-    kind = dispatch.first_case([(F.col("event_type") == "error", "video"), (F.col("event_type") == "click", "image"), (F.col("event_type") == "purchase", "audio")], "text")
-    rows = table(spark, d, "events").select((F.col("user_id") * 400 + F.dayofyear("ts")).alias("folder"), kind.alias("kind"))
-    return files.collections(rows, "folder", "kind")
+    ending = dispatch.first_case([(F.col("event_type") == "error", ".mkv"), (F.col("event_type") == "click", ".jpg"), (F.col("event_type") == "purchase", ".srt"), (F.col("event_type") == "signup", ".xyz")], ".ass")
+    rows = table(spark, d, "events").select((F.col("user_id") * 400 + F.dayofyear("ts")).alias("folder"), F.concat(F.col("event_id").cast("string"), ending).alias("path"))
+    return media.collections(rows, "folder", "path")
 
 
 @query("p12_dispatch", """SELECT event_id, 'media' AS handler FROM events WHERE event_type IN ('click', 'purchase') UNION ALL SELECT event_id, 'text' FROM events WHERE value > 50
@@ -305,15 +315,40 @@ def o04(spark, d):
     return dispatch.top_with_attempts(rows, [F.col("cost"), F.col("doc_id")], 4, "produced", 2)
 
 
-@query("p15_refusals", "SELECT conv_id, turn, length(text) <= 4000 AND (contains(lower(text), 'que') OR contains(lower(text), 'nicht')) AS refused FROM conversations WHERE text IS NOT NULL")
+_SAID = ("I  CANNOT\nassist with", "我无法帮助", "i must\trefuse", "fine", "お手伝いできません")
+
+
+@query("p15_refusals", "SELECT conv_id, turn, length(trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) + CASE turn % 5 WHEN 0 THEN 21 WHEN 1 THEN 6 WHEN 2 THEN 14 WHEN 3 THEN 5 ELSE 10 END <= 400 AND turn % 5 <> 3 AS refused FROM conversations WHERE text IS NOT NULL AND trim(text) <> ''")
 def p15(spark, d):
-    return table(spark, d, "conversations").filter("text is not null").select("conv_id", "turn", T.refuses(F.col("text"), ["que", "nicht"]).alias("refused"))
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("turn") % 5 + 1).cast("int"))
+    rows = table(spark, d, "conversations").filter("text is not null and trim(text) <> ''")
+    return rows.select("conv_id", "turn", T.refuses(F.concat("text", F.lit(" \n"), said), most=400).alias("refused"))
 
 
-@query("p17_failures", "SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'transport' WHEN event_type = 'error' THEN 'policy' WHEN value > 90 THEN 'truncated' ELSE 'none' END AS category FROM events")
+_KINDS = (*responses.EXCEPTIONS, "model_call", "model_call", "model_call", "other")
+_WHY = ("provider_policy_refusal", "nothing", None, "unsupported_capability")
+
+
+@query("p17_failures", """WITH e AS (SELECT event_id, event_id % 11 AS k, event_id % 4 AS w, event_type FROM events),
+c AS (SELECT event_id, CASE k WHEN 0 THEN 'model_text_refusal' WHEN 1 THEN 'output_truncated' WHEN 2 THEN 'json_parse_failure' WHEN 3 THEN 'user_override_regression' WHEN 4 THEN 'content_requires_manual_review' WHEN 5 THEN 'local_processing_failure' WHEN 6 THEN 'local_processing_failure' WHEN 10 THEN 'unknown_failure'
+ ELSE CASE WHEN w = 0 THEN 'provider_policy_refusal' WHEN w = 3 THEN 'unsupported_capability' WHEN event_type = 'error' THEN 'provider_policy_refusal' ELSE 'transport_or_auth_failure' END END AS category,
+ CASE k WHEN 0 THEN 'model_text_marker' WHEN 1 THEN 'output_limit_finish_reason' WHEN 2 THEN 'formal_json_parse_error' WHEN 3 THEN 'explicit_override_error' WHEN 4 THEN 'explicit_manual_review' WHEN 5 THEN 'audio_transcription_error' WHEN 6 THEN 'local_processing_error' WHEN 10 THEN 'unclassified_exception'
+ ELSE CASE WHEN w IN (0, 3) THEN 'middleware_category' WHEN event_type = 'error' THEN 'legacy_policy_marker' ELSE 'model_call_error' END END AS reason_code FROM e)
+SELECT *, category IN ('provider_policy_refusal', 'model_text_refusal') AS prompt_tuning_candidate, category IN ('provider_policy_refusal', 'model_text_refusal', 'content_requires_manual_review') AS requires_manual_review FROM c""")
 def p17(spark, d):
-    rules = [((F.col("event_type") == "error") & (F.col("value") > 50), "transport"), (F.col("event_type") == "error", "policy"), (F.col("value") > 90, "truncated")]
-    return table(spark, d, "events").select("event_id", dispatch.first_case(rules, "none").alias("category"))
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
+    says = F.when(F.col("event_type") == "error", "HTTP 400: Inappropriate CONTENT").otherwise("HTTP 401")
+    return table(spark, d, "events").select("event_id", responses.failure(pick(_KINDS, 11), pick(_WHY, 4), says).alias("f")).select("event_id", "f.*")
+
+
+@query("p16_provider_failures", """WITH e AS (SELECT event_id, event_id % 6 AS k, event_id % 3 AS s FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 'content_filter' WHEN 1 THEN 'bad' ELSE '' END AS code, CASE k WHEN 0 THEN 'stopped' WHEN 1 THEN 'It does NOT support audio' WHEN 2 THEN 'top' WHEN 3 THEN 'no json: moderation' WHEN 4 THEN '' ELSE '[1]' END AS message,
+ CASE WHEN k IN (0, 3) THEN 'provider_policy_refusal' WHEN k = 1 THEN 'unsupported_capability' WHEN s > 0 THEN 'transport_or_auth_failure' ELSE '' END AS category FROM e""")
+def p16(spark, d):
+    bodies = ('{"error": {"code": "", "type": "content_filter", "message": "stopped"}}', '{"error": {"code": "bad"}, "message": "It does NOT support audio"}', '{"error": "x", "message": " top "}', "no json: moderation", "", "[1]")
+    body = F.element_at(F.array(*map(F.lit, bodies)), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = table(spark, d, "events").select("event_id", responses.error_details(body).alias("e"), F.when(F.col("event_id") % 3 > 0, 400).alias("status"))
+    return rows.select("event_id", "e.*", responses.provider_failure(F.col("status"), F.col("e.code"), F.col("e.message")).alias("category"))
 
 
 @query("p18_gallery", "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(concat_ws(' ', c_name, n_name, c_mktsegment)), '1') AND c_mktsegment <> 'BUILDING'")
@@ -336,7 +371,7 @@ SELECT user_id, event_id, shown FROM y WHERE last IS NULL OR shown > last""")
 def w14(spark, d):
     ends = F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 7 == 0), "success")
     rows = table(spark, d, "events").select("user_id", "ts", "event_id", F.floor("value").cast("int").alias("value"), ends.alias("terminal"))
-    return streams.progress(rows, "user_id", ("ts", "event_id"), "value", "terminal").select("user_id", "event_id", "shown")
+    return streams.progress(rows, "user_id", ("ts", "event_id"), "value", "terminal", F.to_date("ts")).select("user_id", "event_id", "shown")
 
 
 @query("r07_stale", """WITH m AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY user_id)

@@ -1,4 +1,4 @@
-"""Files as tables: suffix profiles, collections, subtitle cues and ZIP listings."""
+"""Files as tables: numbering and ZIP listings."""
 
 from __future__ import annotations
 
@@ -10,52 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Suffixes of each medium.
-MEDIA = {"video": ("mp4", "mkv", "mov", "avi", "webm"), "image": ("png", "jpg", "jpeg", "webp"), "audio": ("mp3", "wav", "m4a", "flac", "ogg"), "text": ("txt", "md", "srt", "ass", "json", "html")}
-CLOCK = r"(\d+):(\d+):(\d+)[,.](\d{1,3})"
-
-
-def suffix(path: Column) -> Column:
-    """The lower-case suffix after the last dot of the last path part; empty where there is none."""
-    return F.lower(F.regexp_extract(path, r"[^/.][^/]*\.([A-Za-z0-9]+)$", 1))
-
-
-def medium(path: Column) -> Column:
-    """video, image, audio or text by suffix, else null."""
-    out = F.lit(None).cast("string")
-    for name, suffixes in MEDIA.items():
-        out = F.when(suffix(path).isin(*suffixes), name).otherwise(out)
-    return out
-
-
-def collections(files: DataFrame, key: str, kind: str) -> DataFrame:
-    """Per collection: files, media in fixed order, and whether it is mixed, an image set or of one kind."""
-    counts = files.groupBy(key).agg(F.count("*").alias("n"), F.collect_set(kind).alias("kinds"))
-    ordered = F.filter(F.array(*[F.lit(m) for m in MEDIA]), lambda m: F.array_contains("kinds", m))
-    hint = F.when(F.size(ordered) > 1, "mixed").when((F.col("n") > 1) & (F.get(ordered, F.lit(0)) == "image"), "image_set").otherwise("unknown")
-    return counts.select(key, "n", F.array_join(ordered, ",").alias("media"), hint.alias("hint"))
-
-
 def numbered(rows: DataFrame, parent: str, order: list[Column], name: str = "number") -> DataFrame:
     """Rows with their number within the parent, from 1."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
 
 
-def srt_cues(files: DataFrame) -> DataFrame:
-    """files (path, text) as cues (path, cue, start, end, raw, text): blocks between blank lines with a clock line.
-
-    A fraction counts as that many thousandths, whatever its digits; an end before the start is the start; blocks
-    without a clock line go; a null text has no cue.
-    """
-    blocks = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n[ \t]*\n"), lambda b: b.rlike(rf"{CLOCK}\s*-->\s*{CLOCK}"))
-    rows = files.select("path", F.posexplode(blocks).alias("at", "block"))
-    part = lambda i: F.regexp_extract("block", rf"{CLOCK}\s*-->\s*{CLOCK}", i).cast("double")
-    time = lambda i: part(i) * 3600 + part(i + 1) * 60 + part(i + 2) + part(i + 3) / 1000
-    raw = F.regexp_replace(F.regexp_extract("block", r"(?s)-->[^\n]*\n?(.*)$", 1), r"^\s+|\s+$", "")
-    plain = F.regexp_replace(raw, r"<[^>]*>", "")
-    return rows.select("path", (F.col("at") + 1).alias("cue"), time(1).alias("start"), F.greatest(time(1), time(5)).alias("end"), raw.alias("raw"), plain.alias("text")).filter("text <> ''")
-
-
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):

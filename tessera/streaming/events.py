@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import greatest_before
+
 
 def latest(events: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """The last event of each key. One aggregate with partial maxima: the same plan serves a stream in update mode."""
@@ -19,14 +21,14 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day
     return rows.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def progress(updates: DataFrame, key: str, order: tuple[str, ...], value: str, terminal: str) -> DataFrame:
+def progress(updates: DataFrame, key: str, order: tuple[str, ...], value: str, terminal: str, bucket: Column) -> DataFrame:
     """Progress that never falls, at most 99 before success, nothing after the first terminal update.
 
-    updates: key, order, value from 0 to 100, terminal (null, "success" or "failure"); rows that add nothing go.
+    updates: key, order, value from 0 to 100, terminal (null, "success" or "failure"); rows that add nothing go. bucket as
+    for joins.greatest_before, so a hot key is ordered bucket by bucket.
     """
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    shown = F.when(F.col(terminal) == "success", 100).otherwise(F.least(F.lit(99), F.max(F.greatest(F.lit(0), F.col(value).cast("int"))).over(so_far)))
-    rows = updates.withColumn("ended", F.coalesce(F.max(F.col(terminal).isNotNull()).over(before), F.lit(False))).withColumn("shown", shown)
-    rows = rows.filter("not ended").withColumn("last", F.lag("shown").over(Window.partitionBy(key).orderBy(*order)))
-    return rows.filter(F.col("last").isNull() | (F.col("shown") > F.col("last"))).drop("ended", "last")
+    own = F.greatest(F.lit(0), F.col(value).cast("int"))
+    rows = greatest_before(updates, key, order, bucket, {"last": own, "ended": F.when(F.col(terminal).isNotNull(), 1)})
+    shown = F.when(F.col(terminal) == "success", 100).otherwise(F.least(F.lit(99), F.greatest(own, "last")))
+    rows = rows.filter("ended is null").withColumn("shown", shown)
+    return rows.filter(F.col("last").isNull() | (F.col("shown") > F.least(F.lit(99), F.col("last")))).drop("ended", "last")
