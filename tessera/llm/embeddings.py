@@ -13,7 +13,8 @@ tasks compare chunk with chunk.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; shorter
 vectors count as padded with zeros; null vec_id: linked with nothing, component_id null, kept; rows that repeat a
-vec_id: each row is a vector and counts as a link, one component; an empty table: no rows.
+vec_id: each row is a vector and counts as a link, one component; an empty table: no rows. Vectors of floats travel as
+floats; all distances and cosines are in double precision.
 """
 
 from __future__ import annotations
@@ -27,30 +28,29 @@ from pyspark.sql import functions as F
 
 from .common import components, settle
 
-COSINE, BLOCK, SEED = 0.95, 8, 20
+COSINE, BLOCK, SEED = 0.95, 16, 20
 #: Vectors for one pivot, the most pivots (they are collected and sent to all tasks), and members of a chunk.
 PER_PIVOT, MOST_PIVOTS, CHUNK = 1024, 1024, 4096
 TILE, SLICE = 1024, 20_000
 
 
-def _rows(column: pa.Array, dims: int) -> np.ndarray:
-    raw = np.zeros((len(column), dims))
-    for i, v in enumerate(column):
-        x = np.frombuffer(v.as_py(), "<f8")
-        raw[i, : len(x)] = x
-    return raw
-
-
 class Space:
     """The rotation, the blocks and their pivots."""
 
-    def __init__(self, pivots: np.ndarray, cosine: float):
-        dims = pivots.shape[1]
-        self.dims, self.cosine = dims, cosine
+    def __init__(self, pivots: pa.Array, dims: int, kind: str, cosine: float):
+        self.dims, self.kind, self.cosine = dims, kind, cosine
         self.rotation = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dims, dims)))[0]
         self.blocks = [slice(i, min(i + BLOCK, dims)) for i in range(0, dims, BLOCK)]
         self.budgets = [(2 - 2 * cosine + 1e-9) * (b.stop - b.start) / dims for b in self.blocks]
-        self.pivots = self.turned(pivots)
+        self.pivots = self.turned(self.rows(pivots))
+
+    def rows(self, column: pa.Array) -> np.ndarray:
+        """The vectors in double precision, from the numbers of their own kind that they travel as."""
+        raw = np.zeros((len(column), self.dims))
+        for i, v in enumerate(column):
+            x = np.frombuffer(v.as_py(), self.kind)
+            raw[i, : len(x)] = x
+        return raw
 
     def turned(self, raw: np.ndarray) -> np.ndarray:
         return raw / np.linalg.norm(raw, axis=1, keepdims=True) @ self.rotation
@@ -68,24 +68,27 @@ class Space:
         return out
 
 
-def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """vec_id, the vector as doubles (null if it links with nothing) and its size."""
-    for batch in batches:
-        out, sizes = [], []
-        for v in batch.column("embedding"):
-            x = v.as_py()
-            x = None if not x or any(c is None for c in x) else np.array(x, "<f8")
-            good = x is not None and np.isfinite(x).all() and x.any()
-            out.append((x + 0.0).tobytes() if good else None)
-            sizes.append(len(x) if good else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=["vec_id", "raw", "dims"])
+def _checked(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """vec_id, the vector's numbers (null if it links with nothing) and its size."""
+        for batch in batches:
+            out, sizes = [], []
+            for v in batch.column("embedding"):
+                x = v.as_py()
+                x = None if not x or any(c is None for c in x) else np.array(x, kind)
+                good = x is not None and np.isfinite(x).all() and x.any()
+                out.append((x + x.dtype.type(0)).tobytes() if good else None)
+                sizes.append(len(x) if good else 0)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=["vec_id", "raw", "dims"])
+
+    return run
 
 
 def _counted(space: Space):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, len(space.blocks), len(space.pivots)), np.int64)
         for batch in batches:
-            turned = space.turned(_rows(batch.column("raw"), space.dims))
+            turned = space.turned(space.rows(batch.column("raw")))
             for k in range(len(space.blocks)):
                 found = space.cells(turned, k)
                 n[0, k] += (found == 2).sum(0)
@@ -104,7 +107,7 @@ def _placed(space: Space, chunks: dict[tuple[int, int], tuple[int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned = space.turned(_rows(batch.column("raw"), space.dims))
+            turned = space.turned(space.rows(batch.column("raw")))
             rep = batch.column("rep").to_numpy()
             part = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for k in range(len(space.blocks)):
@@ -149,7 +152,7 @@ def _joined(space: Space):
         k, one = table.column("block")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
         order = np.argsort(table.column("rep").to_numpy(), kind="stable")
         rep, m = (table.column(c).to_numpy()[order] for c in ("rep", "m"))
-        raw = _rows(table.column("raw").take(pa.array(order)).combine_chunks(), space.dims)
+        raw = space.rows(table.column("raw").take(pa.array(order)).combine_chunks())
         norm = np.linalg.norm(raw, axis=1)
         turned = space.turned(raw)
         second = table.column("second").to_numpy(zero_copy_only=False)[order]
@@ -186,15 +189,17 @@ def _joined(space: Space):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding; other columns are ignored)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = settle(rows.mapInArrow(_checked, "vec_id long, raw binary, dims long"), "vectors")
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    rows = settle(rows.mapInArrow(_checked(kind), "vec_id long, raw binary, dims long"), "vectors")
     good = rows.filter("raw is not null and vec_id is not null")
     classes = settle(good.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes")
     n, dims = classes.count(), good.agg(F.max("dims")).first()[0] or 0
     if n:
         few = min(MOST_PIVOTS, max(1, -(-n // PER_PIVOT)))
         drawn = classes.select("rep", "raw").orderBy(F.xxhash64("raw"), "rep").limit(few).toArrow()
-        space = Space(_rows(drawn.column("raw").combine_chunks(), dims), cosine)
+        space = Space(drawn.column("raw").combine_chunks(), dims, kind, cosine)
         # At most pivots x blocks rows.
         sizes = classes.select("raw").mapInArrow(_counted(space), "block long, cell long, own long, others long").groupBy("block", "cell").agg(F.sum("own").alias("own"), F.sum("others").alias("others")).filter(F.greatest("own", "others") > CHUNK).collect()
         chunks = {(r.block, r.cell): (max(1, -(-r.own // CHUNK)), max(1, -(-r.others // CHUNK))) for r in sizes}
