@@ -196,13 +196,13 @@ def failure(kind: Column, category: Column, says: Column) -> Column:
     kind: one of EXCEPTIONS, model_call, or anything else.
     """
     text = F.lower(F.coalesce(says, F.lit("")))
-    known = F.coalesce(category.isin(*CATEGORIES), F.lit(False))
-    called = F.when(known, F.struct(category, F.lit("middleware_category")))
-    called = called.when(_any(text, LEGACY_POLICY), F.struct(F.lit("provider_policy_refusal"), F.lit("legacy_policy_marker")))
-    called = called.otherwise(F.struct(F.lit("transport_or_auth_failure"), F.lit("model_call_error")))
+    row = lambda what, reason: F.struct(what.alias("category"), F.lit(reason).alias("reason_code"))
+    called = F.when(category.isin(*CATEGORIES), row(category, "middleware_category"))
+    called = called.when(_any(text, LEGACY_POLICY), row(F.lit("provider_policy_refusal"), "legacy_policy_marker"))
+    called = called.otherwise(row(F.lit("transport_or_auth_failure"), "model_call_error"))
     out = F.when(kind == "model_call", called)
     for name, (what, reason) in EXCEPTIONS.items():
-        out = out.when(kind == name, F.struct(F.lit(what), F.lit(reason)))
-    out = out.otherwise(F.struct(F.lit("unknown_failure"), F.lit("unclassified_exception"))).cast("struct<category:string,reason_code:string>")
+        out = out.when(kind == name, row(F.lit(what), reason))
+    out = out.otherwise(row(F.lit("unknown_failure"), "unclassified_exception"))
     is_in = lambda names: out["category"].isin(*names)
     return F.struct(out["category"].alias("category"), out["reason_code"].alias("reason_code"), is_in(TUNING).alias("prompt_tuning_candidate"), is_in(MANUAL).alias("requires_manual_review"))

@@ -317,7 +317,7 @@ MARKERS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ")
 
 def chunks(text: Column, size: int, overlap: int = 0, most: int = 128) -> Column:
     """(parts, warnings): parts (idx from 1, start, stop, part) end after the last marker of the best kind in the last two
-    fifths of size characters, else there; the next one begins overlap characters before. Blank parts stay out, after most parts a warning tells what is left.
+    fifths of size characters, else there; the next one begins overlap characters before. Blank parts stay out, after most parts a warning tells what is left; a null text has none.
 
     One fold over at most as many steps as the text can have chunks; each step looks at one window of the text.
     """

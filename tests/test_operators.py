@@ -32,12 +32,6 @@ def test_fixed_chunks_cover_the_text(spark):
     assert one(spark, lambda c: T.fixed_chunks(c, 4, 1), "") == []
 
 
-def test_subtitles(spark):
-    text = "1\r\n00:00:01,250 --> 00:00:03.500\r\n<i>Hi</i>\r\n\r\njunk\r\n\r\n2\r\n00:00:09,5 --> 00:00:02,0\r\nA\r\nB\r\n"
-    rows = files.srt_cues(spark.createDataFrame([("s", text), ("t", None), ("u", "")], "path string, text string")).orderBy("cue").collect()
-    assert [(r.cue, r.start, r.end, r.raw, r.text) for r in rows] == [(1, 1.25, 3.5, "<i>Hi</i>", "Hi"), (2, 9.005, 9.005, "A\nB", "A\nB")]
-
-
 def test_zip_entries(spark):
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
