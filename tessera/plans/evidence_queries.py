@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import context as X
 from tessera.operators import evidence as E
 from tessera.plans.registry import query
 
@@ -160,3 +161,75 @@ SELECT f.i AS description, f.s || '/' || f.e AS source_episode, CASE WHEN contai
  contains(lower(f.i), 'conflict') OR contains(lower(f.i), 'uncertain') AS needs_review FROM g""")
 def a12_full(spark, d):
     return _flat(E.conflict_groups(E.episode_contents(chunks(spark, d), RUN), TERMS))
+
+
+_T = r"""(12 * (length(regexp_replace({v}, '[^\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}]', '', 'g')) + coalesce(list_sum(list_transform(regexp_extract_all({v}, '[^\x20\x09-\x0D\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}]+'), lambda x: (length(x) + 3) // 4)), 0)::BIGINT) + 9) // 10"""
+_L = {f: f"list_filter(string_split({f}, ' | '), lambda x: x <> '')" for f in E.FIELDS}
+_VIEWS = f"""vw AS (SELECT season_id, episode_id, '{{' || concat_ws(', ', {", ".join(f"'\"{k}\": ' || " + (f"'\"' || {k} || '\"'" if k in ("episode_id", "season_id") else "'\"' || replace(replace(insight_summary, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"'" if k == "episode_outline" else "'[]'" if k == "uncertainties" else f"'[' || array_to_string(list_transform({_L[k]}, lambda x: '\"' || replace(replace(x, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"'), ', ') || ']'") for k in X._FULL)}) || '}}' AS full_context_view,
+ concat_ws(chr(10), {", ".join(f"CASE WHEN {b} <> '' THEN '{title}：' || {b} END" for title, b in ((t, "insight_summary" if f == "insight_summary" else f"replace(CASE WHEN {f} <> '' THEN {f} ELSE {'targets' if f == 'behavior_traits' else f} END, ' | ', '；')") for t, f in X.SECTIONS))}) AS context_long,
+ concat_ws(' | ', nullif(insight_summary, ''), nullif(array_to_string({_L["facts"]}[1:3], '；'), ''), nullif(array_to_string({_L["conflicts"]}[1:2], '；'), '')) AS context_brief,
+ least(1.0, (len({_L["facts"]}) + 4 * len({_L["conflicts"]}) + 2 * len({_L["relationship_interactions"]})) / 20.0) AS importance, {", ".join(f"{_L[f]} AS l_{f}" for f in ("targets", "conflicts", "relationship_interactions", "behavior_traits"))} FROM ec),
+vc AS (SELECT *, {_T.format(v="full_context_view")} AS c0, {_T.format(v="context_long")} AS c1, {_T.format(v="context_brief")} AS c2 FROM vw)"""
+
+
+@query("p22_views", f"WITH {_sql('full')}, {_VIEWS} SELECT season_id, episode_id, sha256(full_context_view) AS full_view, context_long, context_brief, round(importance, 6) AS importance, c0, c1, c2 FROM vc")
+def p22(spark, d):
+    rows = X.views(E.episode_contents(chunks(spark, d), RUN))
+    return rows.select("season_id", "episode_id", F.sha2("full_context_view", 256).alias("full_view"), "context_long", "context_brief", F.round("importance", 6).alias("importance"), *[F.col("costs")[i].alias(f"c{i}") for i in range(3)])
+
+
+def _candidates(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For the last episode of each season: the earlier ones as candidates, its own lists as signals, and the views."""
+    from pyspark.sql import Window
+
+    viewed = X.views(E.episode_contents(chunks(spark, d), RUN))
+    season = Window.partitionBy("season_id")
+    rows = viewed.withColumn("place", F.row_number().over(season.orderBy("episode_id")) - 1).withColumn("n", F.count("*").over(season) - 1)
+    none = F.array().cast("array<string>")
+    signals = rows.filter("place = n").select("season_id", F.concat("targets", "behavior_traits").alias("s_characters"), F.col("conflicts").alias("s_open_threads"), F.col("relationship_interactions").alias("s_relationship_edges"), none.alias("s_locations"), none.alias("s_organizations"))
+    old = rows.filter("place < n").withColumn("important_characters", F.when(F.size("behavior_traits") > 0, F.col("behavior_traits")).otherwise(F.col("targets")))
+    old = old.select("season_id", "episode_id", "place", "n", "important_characters", F.col("conflicts").alias("open_threads"), F.col("relationship_interactions").alias("relationship_edges"), none.alias("locations"), none.alias("organizations"), "importance", (F.col("place") == F.col("n") - 1).alias("is_previous"), "costs")
+    return old, signals, viewed
+
+
+_OV = "CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / greatest(len({a}), len({b})) END"
+_K = lambda x: f"list_distinct(list_filter(list_transform({x}, lambda x: replace(lower(trim(x)), ' ', '')), lambda x: x <> ''))"
+_SCORED = f"""{_sql("full")}, {_VIEWS}, pl AS (SELECT *, row_number() OVER (PARTITION BY season_id ORDER BY episode_id) - 1 AS place, count(*) OVER (PARTITION BY season_id) - 1 AS n FROM vc),
+sg AS (SELECT season_id, {_K("list_concat(l_targets, l_behavior_traits)")} AS sc, {_K("l_conflicts")} AS st, {_K("l_relationship_interactions")} AS sr FROM pl WHERE place = n),
+cd AS (SELECT *, {_K("CASE WHEN len(l_behavior_traits) > 0 THEN l_behavior_traits ELSE l_targets END")} AS kc, {_K("l_conflicts")} AS kt, {_K("l_relationship_interactions")} AS kr, place = n - 1 AS is_previous FROM pl JOIN sg USING (season_id) WHERE place < n),
+sr AS (SELECT *, least(1.0, greatest(0.0, 0.25 / (1.0 + n - place) + 0.30 * {_OV.format(a="kc", b="sc")} + 0.20 * {_OV.format(a="kt", b="st")} + 0.10 * {_OV.format(a="kr", b="sr")} + 0.10 * importance + CASE WHEN is_previous THEN 0.15 ELSE 0 END)) AS relevance FROM cd)"""
+
+
+@query("w04_relevance", f"WITH {_SCORED} SELECT season_id, episode_id, round(relevance, 6) AS relevance FROM sr")
+def w04(spark, d):
+    old, signals, _ = _candidates(spark, d)
+    return X.scored(old, signals, "season_id").select("season_id", "episode_id", F.round("relevance", 6).alias("relevance"))
+
+
+_SELECTED = f"""WITH RECURSIVE {_SCORED}, od AS (SELECT season_id, episode_id, c0, c1, c2, relevance, is_previous, CASE WHEN is_previous OR relevance >= 0.65 THEN 0 WHEN relevance >= 0.35 THEN 1 ELSE 2 END AS first,
+ row_number() OVER (PARTITION BY season_id ORDER BY is_previous DESC, relevance / greatest(c2, 1) + relevance DESC, place) AS k FROM sr),
+fd(season_id, k, used, episode_id, view, cost) AS (SELECT DISTINCT season_id, 0::BIGINT, 0::BIGINT, ''::VARCHAR, -1, 0::BIGINT FROM od
+ UNION ALL SELECT f.season_id, o.k, f.used + v.cost, o.episode_id, v.view, v.cost FROM fd f JOIN od o ON o.season_id = f.season_id AND o.k = f.k + 1,
+ LATERAL (SELECT CASE WHEN CASE first WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END <= 0 THEN -1 WHEN first <= 0 AND f.used + c0 <= 800 THEN 0 WHEN first <= 1 AND f.used + c1 <= 800 THEN 1 WHEN f.used + c2 <= 800 THEN 2 ELSE -1 END AS view) w, LATERAL (SELECT w.view, CASE w.view WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE 0 END AS cost) v)
+SELECT season_id, episode_id, ['full_context_view', 'context_long', 'context_brief'][1 + fd.view] AS view, fd.cost, used, CASE WHEN o.is_previous THEN 'previous_episode_priority' WHEN o.relevance >= 0.65 THEN 'strong_relevance' WHEN o.relevance >= 0.35 THEN 'medium_relevance' ELSE 'low_cost_background' END AS reason
+FROM fd JOIN od o USING (season_id, episode_id) WHERE fd.view >= 0"""
+
+
+@query("w05_selection", _SELECTED)
+def w05(spark, d):
+    old, signals, _ = _candidates(spark, d)
+    return X.selected(X.scored(old, signals, "season_id"), "season_id", 800).select("season_id", "episode_id", "view", "cost", "used", "reason")
+
+
+@query("j12_payloads", _SELECTED.replace("SELECT season_id, episode_id, ['full_context_view', 'context_long', 'context_brief'][1 + fd.view] AS view, fd.cost, used, CASE", "SELECT season_id, episode_id, ['full_context_view', 'context_long', 'context_brief'][1 + fd.view] AS view, sha256([full_context_view, context_long, context_brief][1 + fd.view]) AS context, CASE").replace("FROM fd JOIN od o USING (season_id, episode_id)", "FROM fd JOIN od o USING (season_id, episode_id) JOIN vc USING (season_id, episode_id)"))
+def j12(spark, d):
+    old, signals, viewed = _candidates(spark, d)
+    chosen = X.selected(X.scored(old, signals, "season_id"), "season_id", 800)
+    return X.payloads(chosen, viewed, "season_id").select("season_id", "episode_id", "view", F.sha2("context", 256).alias("context")).join(chosen.select("season_id", "episode_id", "reason"), ["season_id", "episode_id"])
+
+
+@query("p23_chunk_texts", f"""WITH {_sql('full')}, p AS (SELECT season_id, episode_id, file_name, insight, {", ".join(f"array_to_string(list_filter(items, lambda x: length(x) % 8 = {i}), chr(10) || '- ') AS {f}" for i, f in enumerate(E.FIELDS))} FROM c0),
+b AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN insight <> '' THEN '[INSIGHT_SUMMARY]' || chr(10) || insight END, {", ".join(f"CASE WHEN {f} <> '' THEN '[{label}]' || chr(10) || '- ' || {f} END" for label, f in X.CHUNK_SECTIONS)}) AS body FROM p)
+SELECT episode_id, file_name, sha256(CASE WHEN body = '' THEN '' ELSE '[CHUNK_ID] ' || season_id || '/' || episode_id || '/' || file_name || chr(10) || chr(10) || body END) AS text FROM b""")
+def p23(spark, d):
+    return chunks(spark, d).select("episode_id", "file_name", F.sha2(X.chunk_text(F.concat_ws("/", "season_id", "episode_id", "file_name")), 256).alias("text"))
