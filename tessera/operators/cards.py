@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import evidence as E
 
 #: Ranks of a version's stage.
 STAGES = {"alpha": 0, "beta": 1, "rc": 2, "release": 3}
@@ -88,3 +89,82 @@ def version_key(tag: Column) -> Column:
         rank = F.when(F.lower(part(4)) == stage, r).otherwise(rank)
     numbers = [part(i).cast("int").alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch"))]
     return F.when(F.rlike(F.trim(tag), F.lit(found)), F.struct(*numbers, rank.alias("stage"), F.coalesce(part(5).try_cast("int"), F.lit(0)).alias("number")))
+
+
+def preview_states(contents: DataFrame, name: str) -> DataFrame:
+    """The preview's state after each episode in order: summary (parts distinct, earlier summary first), evidence_count (facts), conflicts.
+
+    contents: as of evidence.episode_contents. A name of one character or less takes all items. The fold is over one character's episodes.
+    """
+    fields = ("facts", "behavior_traits", "dialogue_style", "relationship_interactions", "character_state_changes", "conflicts")
+    rows = contents.select("season_id", "episode_id", *[E.related(F.col(f), [name], True).alias(f) for f in fields])
+    entry = F.struct(F.lower("season_id").alias("o1"), F.lower("episode_id").alias("o2"), "season_id", "episode_id", *fields)
+    state = "struct<summary:string,evidence_count:bigint,conflicts:array<string>>"
+    one = f"struct<season_id:string,episode_id:string,state:{state}>"
+    first = F.struct(F.struct(F.lit("").alias("summary"), F.lit(0).cast("long").alias("evidence_count"), F.array().cast("array<string>").alias("conflicts")).cast(state).alias("now"), F.array().cast(f"array<{one}>").alias("all"))
+    distinct = lambda c: F.array_distinct(T.trimmed(c))
+
+    def step(acc: Column, x: Column) -> Column:
+        shown = F.concat(x["behavior_traits"], x["dialogue_style"], x["relationship_interactions"], x["character_state_changes"])
+        shown = F.when(F.size(shown) > 0, shown).otherwise(x["facts"])
+        said = F.when(F.size(shown) > 0, F.array_join(distinct(F.concat(F.array(acc["now"]["summary"]), shown)), "; ")).otherwise(acc["now"]["summary"])
+        now = F.struct(said.alias("summary"), (acc["now"]["evidence_count"] + F.size(x["facts"])).alias("evidence_count"), distinct(F.concat(acc["now"]["conflicts"], x["conflicts"])).alias("conflicts")).cast(state)
+        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(F.struct(x["season_id"].alias("season_id"), x["episode_id"].alias("episode_id"), now.alias("state")).cast(one))).alias("all"))
+
+    folded = rows.agg(F.array_sort(F.collect_list(entry)).alias("rows")).select(F.explode(F.aggregate("rows", first, step)["all"]).alias("s"))
+    return folded.select("s.season_id", "s.episode_id", "s.state.*")
+
+
+def applied_state(contents: DataFrame) -> DataFrame:
+    """What a card took in, one row: its seasons, episodes and refs in order, distinct, and traits."""
+    order = F.struct(F.lower("season_id").alias("s"), F.lower("episode_id").alias("e"))
+    rows = contents.select(order.alias("at"), "season_id", F.concat_ws("/", "season_id", "episode_id").alias("episode"), "behavior_traits", "evidence_refs")
+
+    def listed(value: str, exploded: bool) -> DataFrame:
+        each = rows.select("at", F.posexplode(value).alias("pos", "v")) if exploded else rows.select("at", F.lit(0).alias("pos"), F.col(value).alias("v"))
+        firsts = each.withColumn("v", F.trim("v")).filter("v <> ''").groupBy("v").agg(F.min(F.struct("at", "pos")).alias("at"))
+        return firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(value))
+
+    out = listed("season_id", False).withColumnRenamed("season_id", "included_seasons")
+    for value, name, exploded in (("episode", "included_episodes", False), ("behavior_traits", "personality_traits", True), ("evidence_refs", "refs", True)):
+        # Each side is one row.
+        out = out.join(listed(value, exploded).withColumnRenamed(value, name), F.lit(True))
+    return out
+
+
+def markdown(cards: DataFrame) -> Column:
+    """A card as Markdown: its columns name, status, source, aliases, tags, notes, cover_path, summary, long_description, personality, personality_traits, speech_style, warnings, evidence_count, refs."""
+    text = lambda title, c: F.when(F.trim(c) != "", F.concat(F.lit(f"\n## {title}\n"), F.trim(c)))
+    bullets = lambda c: F.array_join(F.transform(F.filter(F.col(c), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
+    some = lambda c: F.when(c != "", c)
+    listed = lambda title, c: F.when(F.size(c) > 0, F.concat_ws("\n", F.lit(f"\n## {title}"), some(bullets(c))))
+    named = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"- {title}: "), F.array_join(c, ", ")))
+    nature = F.when((F.trim("personality") != "") | (F.size("personality_traits") > 0), F.concat_ws("\n", F.lit("\n## Personality"), some(F.trim("personality")), some(bullets("personality_traits"))))
+    evidence = F.concat_ws("\n", F.lit("\n## Evidence"), F.concat(F.lit("- Evidence count: "), F.col("evidence_count").cast("string")), some(bullets("refs")))
+    return F.concat(
+        F.concat_ws("\n", F.concat(F.lit("# "), F.col("name"), F.lit("\n")), F.concat(F.lit("- Status: "), F.col("status")), F.concat(F.lit("- Source: "), F.col("source")), named("Aliases", "aliases"), named("Tags", "tags"), text("Notes", F.col("notes")),
+                    F.when(F.col("cover_path") != "", F.concat(F.lit("\n## Cover\n"), F.col("cover_path"))), text("Summary", F.col("summary")), text("Description", F.col("long_description")), nature, listed("Speech Style", "speech_style"), listed("Compile Notes", "warnings"), evidence),
+        F.lit("\n"),
+    )
+
+
+def escaped(text: Column) -> Column:
+    """A text for HTML."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def exchange_json(cards: DataFrame) -> Column:
+    """(payload, warnings): a card in the exchange format of version 2, with fallbacks; warnings tell what only extensions keep.
+
+    Columns: as for markdown, and scenario, scenario_default, first_message, creator_notes, system_prompt.
+    """
+    some = lambda *cs: F.coalesce(*[F.when(c != "", c) for c in cs], F.lit(""))
+    data = F.struct(
+        F.col("name").alias("name"), some(F.col("long_description"), F.col("summary")).alias("description"), some(F.col("personality"), F.array_join("personality_traits", "\n")).alias("personality"), some(F.col("scenario"), F.col("scenario_default")).alias("scenario"),
+        F.col("first_message").alias("first_mes"), some(F.col("creator_notes"), F.col("notes")).alias("creator_notes"), F.col("system_prompt").alias("system_prompt"), F.col("tags").alias("tags"),
+    )
+    payload = F.to_json(F.struct(F.lit("chara_card_v2").alias("spec"), F.lit("2.0").alias("spec_version"), data.alias("data")))
+    told = F.filter(F.array(F.when(F.size("refs") > 0, F.lit("evidence refs stored in extensions"))), lambda x: x.isNotNull())
+    return F.struct(payload.alias("payload"), told.alias("warnings"))

@@ -116,3 +116,11 @@ def part_offsets(parts: DataFrame, segments: DataFrame, by: str, part: str) -> D
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new, and those of old whose key new lacks."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def restricted(units: DataFrame, artifacts: DataFrame, unit_id: str) -> tuple[DataFrame, DataFrame]:
+    """A run plan cut to one unit: the unit, and the derived artifacts (artifact_id, unit_refs) that it names or that name it."""
+    one = units.filter(F.col("unit_id") == unit_id)
+    named = one.select(F.explode("derived_refs").alias("artifact_id")).distinct().withColumn("named", F.lit(True))
+    kept = artifacts.join(named, "artifact_id", "left").filter(F.col("named") | F.array_contains("unit_refs", unit_id)).drop("named")
+    return one, kept

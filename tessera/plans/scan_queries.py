@@ -203,3 +203,58 @@ def a14(spark, d):
     contents = E.episode_contents(EQ.chunks(spark, d), EQ.RUN)
     rows = E.review_reasons(E.layers(contents, ["the"]), E.conflict_groups(contents, ["the"]), "ai", "low")
     return rows.select(F.col("at").alias("pos"), "reason")
+
+
+@query("j02_subtitle_units", f"""WITH {_FILES}, v AS (SELECT *, 'e' || event_id % 60 AS episode_id FROM p WHERE ending IN ('.mp4', '.mkv')), t AS (SELECT *, replace(stem, 'Segment_', 'p') AS s FROM p WHERE ending IN ('.srt', '.lrc')),
+h AS (SELECT t.path, v.episode_id, 'same_episode_directory' AS rule FROM t JOIN v USING (directory) UNION ALL SELECT t.path, v.episode_id, 'same_stem' FROM t JOIN v ON t.directory = v.directory AND lower(t.stem) = lower(v.stem)),
+g AS (SELECT path, min(episode_id) AS lo, max(episode_id) AS hi, max(rule) AS rule FROM h GROUP BY path) SELECT t.path, CASE WHEN lo = hi THEN lo END AS episode_id, CASE WHEN lo IS NULL THEN 'unmatched' WHEN lo < hi THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN lo = hi THEN g.rule END AS rule FROM t LEFT JOIN g USING (path)""")
+def j02(spark, d):
+    files = _files(spark, d)
+    number = F.regexp_extract("path", "([0-9]+)[.][A-Za-z0-9]+$", 1).cast("long")
+    videos = files.filter(F.rlike("path", F.lit("(mp4|mkv)$"))).select("path", F.concat(F.lit("e"), (number % 60).cast("string")).alias("episode_id"))
+    return scans.aligned(files, videos)
+
+
+@query("w02_preview_states", f"""WITH RECURSIVE {EQ._sql('preview')}, h AS (SELECT * FROM di WHERE contains(lower(item), 'the') AND fi BETWEEN 1 AND 6),
+a AS (SELECT season_id, episode_id, count(h.item) FILTER (fi = 1) AS facts, coalesce(list(h.item ORDER BY CASE fi WHEN 6 THEN 5 ELSE fi END, place) FILTER (fi IN (2, 3, 4, 6)), list(h.item ORDER BY place) FILTER (fi = 1), []) AS shown, coalesce(list(h.item ORDER BY place) FILTER (fi = 5), []) AS cs FROM ec LEFT JOIN h USING (season_id, episode_id) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY season_id, episode_id) AS k FROM a),
+uniq(k, season_id, episode_id, summary, evidence_count, conflicts) AS (SELECT 0::BIGINT, '', '', '', 0::BIGINT, []::VARCHAR[] UNION ALL
+ SELECT o.k, o.season_id, o.episode_id, CASE WHEN len(shown) = 0 THEN u.summary ELSE array_to_string(list_filter(list_concat([u.summary], shown), lambda x, i: x <> '' AND list_position(list_concat([u.summary], shown), x) = i), '; ') END, u.evidence_count + o.facts,
+ list_filter(list_concat(u.conflicts, cs), lambda x, i: list_position(list_concat(u.conflicts, cs), x) = i) FROM uniq u JOIN o ON o.k = u.k + 1)
+SELECT season_id, episode_id, sha256(summary) AS summary, evidence_count, len(conflicts) AS conflicts FROM uniq WHERE k > 0""")
+def w02(spark, d):
+    rows = C.preview_states(E.episode_contents(EQ.chunks(spark, d), EQ.RUN, wanted="preview"), "the")
+    return rows.select("season_id", "episode_id", F.sha2("summary", 256).alias("summary"), "evidence_count", F.size("conflicts").cast("long").alias("conflicts"))
+
+
+@query("a15_applied_state", f"""WITH {EQ._sql('full')} SELECT (SELECT string_agg(season_id, ',' ORDER BY season_id) FROM (SELECT DISTINCT season_id FROM ec)) AS included_seasons, (SELECT string_agg(season_id || '/' || episode_id, ',' ORDER BY season_id, episode_id) FROM ec) AS included_episodes,
+ (SELECT sha256(string_agg(item, '|' ORDER BY pl)) FROM (SELECT item, min((season_id, episode_id, place)) AS pl FROM di WHERE fi = 2 GROUP BY item)) AS personality_traits, (SELECT sha256(string_agg(item, '|' ORDER BY pl)) FROM (SELECT item, min((season_id, episode_id, place)) AS pl FROM di WHERE fi = 7 GROUP BY item)) AS refs""")
+def a15(spark, d):
+    rows = C.applied_state(E.episode_contents(EQ.chunks(spark, d), EQ.RUN))
+    return rows.select(F.array_join("included_seasons", ",").alias("included_seasons"), F.array_join("included_episodes", ",").alias("included_episodes"), F.sha2(F.array_join("personality_traits", "|"), 256).alias("personality_traits"), F.sha2(F.array_join("refs", "|"), 256).alias("refs"))
+
+
+@query("p29_markdown", """SELECT c_custkey::VARCHAR AS card_id, '# ' || c_name || chr(10) || chr(10) || '- Status: DRAFT' || chr(10) || '- Source: AI' || chr(10) || '- Aliases: a, b' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '- Tags: ' || c_mktsegment ELSE '' END || chr(10) || chr(10) || '## Notes' || chr(10) || 'n' || chr(10) || chr(10) || '## Personality' || chr(10) || '- kind'
+ || chr(10) || chr(10) || '## Evidence' || chr(10) || '- Evidence count: ' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '- ref' ELSE '' END || chr(10) AS markdown, '&lt;b&gt; ' || c_name || ' &amp; &#x27;' AS html,
+ '{"spec":"chara_card_v2","spec_version":"2.0","data":{"name":"' || c_name || '","description":"","personality":"kind","scenario":"home","first_mes":"hi","creator_notes":" n ","system_prompt":"","tags":' || CASE WHEN c_custkey % 2 = 0 THEN '["' || c_mktsegment || '"]' ELSE '[]' END || '}}' AS payload, CASE WHEN c_custkey % 3 = 0 THEN 'evidence refs stored in extensions' ELSE '' END AS warnings FROM customer""")
+def p29(spark, d):
+    i, t = F.col("c_custkey"), lambda *x: F.array(*x).cast("array<string>")
+    text = lambda v, n: F.lit(v).alias(n)
+    rows = table(spark, d, "customer").select(
+        i.cast("string").alias("card_id"), F.col("c_name").alias("name"), text("DRAFT", "status"), text("AI", "source"), t(F.lit("a"), F.lit("b")).alias("aliases"), F.when(i % 2 == 0, t("c_mktsegment")).otherwise(t()).alias("tags"), text(" n ", "notes"), text("", "cover_path"), text(" ", "summary"), text("", "long_description"),
+        text("", "personality"), t(F.lit("kind"), F.lit("")).alias("personality_traits"), t().alias("speech_style"), t().alias("warnings"), i.alias("evidence_count"), F.when(i % 3 == 0, t(F.lit("ref"))).otherwise(t()).alias("refs"), text("", "scenario"), text("home", "scenario_default"), text("hi", "first_message"), text("", "creator_notes"), text("", "system_prompt"),
+    )
+    x = C.exchange_json(rows.withColumn("personality_traits", F.array(F.lit("kind"))).withColumn("summary", F.lit("")))
+    plain = rows.withColumn("markdown", C.markdown(rows)).withColumn("html", C.escaped(F.concat(F.lit("<b> "), "name", F.lit(" & '"))))
+    out = plain.withColumn("personality_traits", F.array(F.lit("kind"))).withColumn("summary", F.lit("")).select("card_id", "markdown", "html", x.alias("x"))
+    return out.select("card_id", "markdown", "html", "x.payload", F.array_join("x.warnings", ",").alias("warnings"))
+
+
+@query("p14_one_unit", "SELECT p_partkey::VARCHAR AS artifact_id FROM part WHERE p_partkey IN (3, 5) OR p_partkey % 10 = 7")
+def p14(spark, d):
+    from tessera.operators import units as U
+
+    units = spark.createDataFrame([("u1", ["3", "5"]), ("u2", ["4"])], "unit_id string, derived_refs array<string>")
+    i = F.col("p_partkey")
+    artifacts = table(spark, d, "part").select(i.cast("string").alias("artifact_id"), F.when(i % 10 == 7, F.array(F.lit("u2"), F.lit("u1"))).otherwise(F.array(F.lit("u2"))).alias("unit_refs"))
+    return U.restricted(units, artifacts, "u1")[1].select("artifact_id")

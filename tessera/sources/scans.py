@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.joins import exactly_one
 from tessera.sources import media
 
 #: The season of everything that is no video, and names of videos cut or transcoded before.
@@ -116,3 +117,21 @@ def latest_results(listed: DataFrame) -> DataFrame:
     depth = F.size(F.split("path", "/"))
     best = listed.groupBy("resolved").agg(F.max_by("path", F.struct(depth, "path")).alias("path"))
     return best.select("path", F.lower(name(F.col("path"))).alias("sort_key"))
+
+
+def aligned(timed: DataFrame, videos: DataFrame) -> DataFrame:
+    """Subtitles (path) with the one episode that they belong to: path, episode_id, status, rule.
+
+    videos: episode_id, path. A subtitle belongs to an episode with a video of its directory and stem (case aside), else of its directory; of
+    two such episodes, to none (ambiguous).
+    """
+    stem = F.lower(F.regexp_replace(name(F.col("path")), r"\.[^.]*$", ""))
+    keys = (F.concat_ws("/", parent(F.col("path")), stem).alias("same_stem"), parent(F.col("path")).alias("same_episode_directory"))
+    subtitles = timed.filter(media.suffix(F.col("path")).isin(*media.TIMED_TEXT, *media.OTHER_TIMED_TEXT)).select("path", *keys)
+    return exactly_one(subtitles, videos.select("episode_id", *keys), "path", ["same_stem", "same_episode_directory"], "episode_id")
+
+
+def attached(files: DataFrame, alignment: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subtitles as units of their episodes (episode_id, path, unit_kind), and the files (path) that stand alone: all that were not matched."""
+    matched = alignment.filter("status = 'matched'").select("episode_id", "path")
+    return matched.withColumn("unit_kind", unit_kind(F.col("path"))), files.join(matched.select("path"), "path", "left_anti")
