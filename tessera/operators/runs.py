@@ -89,3 +89,46 @@ def packaged(refs: DataFrame, include: bool, most: int) -> DataFrame:
     rows = refs.select("sample", "pos", kind.alias("kind"), name.alias("name"), told.alias("told"))
     pick = lambda c, on: F.transform(F.array_sort(F.collect_list(F.when(on, F.struct("pos", F.col(c).alias("v"))))), lambda x: x["v"])
     return rows.groupBy("sample").agg(*[pick("name", F.col("kind") == k).alias(k) for k in ("copied", "indexed", "missing")], pick("told", F.col("told").isNotNull()).alias("warnings"))
+
+
+def traces(refs: DataFrame, by: str) -> DataFrame:
+    """Lineage per key: distinct materials, units and derived artifacts, materials by medium, and the kind of source.
+
+    refs: by, pos, kind (material, unit, derived), id, path, media_type. A material is one by its id, else its path. One medium is the kind of source, several are
+    mixed, none is unknown.
+    """
+    key = F.when(F.col("kind") == "material", F.coalesce(F.when(F.trim("id") != "", F.trim("id")), F.col("path"))).otherwise(F.trim("id"))
+    distinct = refs.withColumn("key", key).filter("key <> ''").groupBy(by, "kind", "key").agg(F.min("pos").alias("pos"), F.min_by(F.coalesce("media_type", F.lit("")), "pos").alias("media_type"))
+    of = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    in_order = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "key")))), lambda x: x["key"])
+    sums = distinct.groupBy(by).agg(of("material").alias("materials"), of("unit").alias("units"), of("derived").alias("derived"), in_order("unit").alias("unit_refs"))
+    media = distinct.filter((F.col("kind") == "material") & (F.trim("media_type") != "")).groupBy(by, "media_type").agg(F.count("*").alias("n"))
+    told = media.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("media_type", "n")))).alias("media_counts"))
+    out = sums.join(told, by, "left").withColumn("media_counts", F.coalesce("media_counts", F.create_map().cast("map<string,bigint>")))
+    names = F.map_keys("media_counts")
+    return out.withColumn("source_kind", F.when(F.size(names) == 1, F.get(names, F.lit(0))).when(F.size(names) > 1, "mixed").otherwise("unknown"))
+
+
+def unit_events(units: DataFrame, results: DataFrame, failures: DataFrame) -> DataFrame:
+    """One event a unit: completed, no_result, failed (with the first failure), unsupported or skipped; a failing unit touches no other.
+
+    units: unit_id, handler (null: unsupported), skipped. results: unit_id, chunks. failures: unit_id, pos, error.
+    """
+    done = results.groupBy("unit_id").agg(F.sum("chunks").alias("chunks"))
+    failed = failures.groupBy("unit_id").agg(F.min_by("error", "pos").alias("error"), F.count("*").alias("failures"))
+    rows = units.join(done, "unit_id", "left").join(failed, "unit_id", "left")
+    event = F.when(F.col("handler").isNull(), "unsupported").when(F.coalesce("skipped", F.lit(False)), "skipped").when(F.col("chunks") > 0, "completed").when(F.col("error").isNotNull(), "failed").otherwise("no_result")
+    return rows.select("unit_id", event.alias("event"), F.when(event == "failed", F.col("error")).alias("error"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"))
+
+
+def earlier_chunks(chunks: DataFrame, by: list[str], order: str, insight: str, last: int = 3) -> DataFrame:
+    """chunks with how many of their episode come before, and the last few insights of those; an episode's chunks are few."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    said = F.collect_list(F.when(F.trim(insight) != "", F.trim(insight))).over(before)
+    return chunks.select(*by, order, F.count("*").over(before).alias("earlier"), F.reverse(F.slice(F.reverse(said), 1, last)).alias("insights"))
+
+
+def merge_inputs(manifest: DataFrame, contents: DataFrame, summaries: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Episodes with contents and summary of one run, and the expected ones that lack either."""
+    both = contents.join(summaries.withColumnRenamed("run", "summary_run"), keys).filter(F.col("run") == F.col("summary_run")).drop("summary_run")
+    return both, manifest.select(*keys).distinct().join(both.select(*keys), keys, "left_anti")

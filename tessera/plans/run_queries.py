@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import runs as N
 from tessera.plans.registry import query
+from tessera.plans.scan_queries import _FILES, _files
+from tessera.sources import scans, stores
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -73,3 +75,104 @@ def s46(spark, d):
     refs = table(spark, d, "events").select(F.col("user_id").alias("sample"), i.alias("pos"), F.concat(F.lit("materials/f"), i.cast("string")).alias("label"), policy.alias("policy"), (i % 9 > 0).alias("exists"), (i % 100).alias("size"))
     out = N.packaged(refs, True, 50)
     return out.select("sample", *[F.array_join(c, ",").alias(c) for c in ("copied", "indexed", "missing", "warnings")])
+
+
+@query("s06_formal_scan", f"""WITH {_FILES}, v AS (SELECT *, length(path) - length(replace(path, '/', '')) AS depth, split_part(path, '/', 1) AS top, starts_with(lower(name), 'segment_') AS seg FROM p WHERE ending IN ('.mp4', '.mkv')),
+d AS (SELECT directory, bool_or(seg) AS cut FROM v WHERE depth > 0 GROUP BY directory), w AS (SELECT directory AS top FROM d WHERE cut AND NOT contains(directory, '/')),
+r AS (SELECT CASE WHEN depth = 0 THEN '.' ELSE top END AS season, path AS episode_path, 'chunk_0001' AS chunk_id, path FROM v WHERE depth = 0 OR depth = 1 AND top NOT IN (SELECT top FROM w)
+ UNION ALL SELECT CASE WHEN depth = 1 THEN '.' ELSE top END, directory, printf('chunk_%04d', row_number() OVER (PARTITION BY directory ORDER BY lower(name), path)), path FROM v WHERE seg AND (depth = 1 OR depth = 2 AND top NOT IN (SELECT top FROM w))),
+s AS (SELECT season, row_number() OVER (ORDER BY season <> '.', lower(season), season) AS s FROM (SELECT DISTINCT season FROM r)), e AS (SELECT season, episode_path, row_number() OVER (PARTITION BY season ORDER BY lower(episode_path), episode_path) AS e FROM (SELECT DISTINCT season, episode_path FROM r))
+SELECT printf('season_%03d', s) AS season_id, printf('episode_%03d', e) AS episode_id, chunk_id, episode_path, path FROM r JOIN s USING (season) JOIN e USING (season, episode_path)""")
+def s06(spark, d):
+    return scans.formal_scan(_files(spark, d))
+
+
+@query("s25_book_order", """WITH i AS (SELECT l_orderkey AS book, l_linenumber AS pos, 'i' || l_linenumber AS item_id, 'c' || l_linenumber % 5 AS entry FROM lineitem), sp AS (SELECT l_orderkey AS book, 10 - l_linenumber AS pos, 'i' || l_linenumber AS item_id, CASE WHEN l_returnflag = 'N' THEN 'NO' END AS lin FROM lineitem WHERE l_orderkey % 4 > 0),
+r AS (SELECT book, 0 AS kind, sp.pos, entry FROM sp JOIN i USING (book, item_id) WHERE lin IS NULL UNION ALL SELECT book, 1, pos, entry FROM i), b AS (SELECT book, entry, min(pos) AS pos FROM (SELECT * FROM r QUALIFY kind = min(kind) OVER (PARTITION BY book)) GROUP BY ALL), t AS (SELECT *, entry <> 'c3' AS there FROM b)
+SELECT book, row_number() OVER (PARTITION BY book ORDER BY pos, entry) AS chapter, entry, NULL AS warning FROM t WHERE there UNION ALL SELECT book, NULL, entry, 'epub_entry_missing' FROM t WHERE NOT there""")
+def s25(spark, d):
+    l = table(spark, d, "lineitem")
+    n, item = F.col("l_linenumber"), F.concat(F.lit("i"), F.col("l_linenumber").cast("string"))
+    items = l.select(F.col("l_orderkey").alias("book"), n.alias("pos"), item.alias("item_id"), F.concat(F.lit("c"), (n % 5).cast("string")).alias("entry"))
+    spine = l.filter("l_orderkey % 4 > 0").select(F.col("l_orderkey").alias("book"), (10 - n).alias("pos"), item.alias("item_id"), F.when(F.col("l_returnflag") == "N", "NO").alias("linear"))
+    return scans.book_order(items, spine, items.filter("entry <> 'c3'").select("book", "entry")).withColumn("chapter", F.col("chapter").cast("long"))
+
+
+@query("s29_material_index", """WITH m AS (SELECT user_id % 30 AS f, event_id, event_type = 'click' AS complete, event_id % 3 AS v FROM events), g AS (SELECT f, max(event_id) AS event_id FROM m WHERE complete AND v = 1 GROUP BY f)
+SELECT 'derived/f' || f || '/' || n AS path, 'raw' || f AS raw_path, 'zip' AS preprocessor, 'e' || event_id AS entry, 'zip' AS container_format, sha256('1') AS source_hash, 'script' AS hint FROM g, (VALUES ('a'), ('b')) x(n)""")
+def s29(spark, d):
+    f, v = (F.col("user_id") % 30).cast("string"), (F.col("event_id") % 3).cast("string")
+    root = F.concat(F.lit("derived/f"), f)
+    one = lambda n: F.struct(F.concat(root, F.lit(n)).alias("material_relative_path"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source_entry_path"), F.lit("script").alias("content_form_hint"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("manifest"), F.col("event_id").alias("pos"), F.concat(F.lit("raw"), f).alias("source_raw_path"), F.sha2(v, 256).alias("source_hash"), root.alias("output_root"), F.lit("zip").alias("preprocessor"), F.lit(".zip").alias("source_suffix"), (F.col("event_type") == "click").alias("complete"), F.array(one("/a"), one("/b"), one("/../x"), one("x/y")).alias("derived"))
+    raw = rows.select(F.col("source_raw_path").alias("path"), F.sha2(F.lit("1"), 256).alias("hash")).distinct()
+    return stores.material_index(rows, raw)
+
+
+@query("s41_configs", """SELECT page_id::VARCHAR AS path, CASE WHEN page_id % 5 IN (0, 4) THEN 'p' || page_id END AS project_id, CASE page_id % 5 WHEN 1 THEN 'not_a_json_object' WHEN 2 THEN 'project_id_missing' WHEN 3 THEN 'updated_at_invalid' END AS issue FROM pages""")
+def s41(spark, d):
+    i = F.col("page_id").cast("string")
+    texts = F.array(F.concat(F.lit('{"project_id": "p'), i, F.lit('", "name": " n ", "updated_at": "2024-01-02T03:04:05"}')), F.lit("[1]"), F.lit('{"updated_at": "2024-01-02"}'), F.lit('{"project_id": "x", "updated_at": "soon"}'))
+    text = F.when(F.col("page_id") % 5 == 4, F.get(texts, F.lit(0))).otherwise(F.get(texts, (F.col("page_id") % 5).cast("int")))
+    good, bad = stores.configs(table(spark, d, "pages").select(i.alias("path"), text.alias("text")))
+    return good.select("path", "project_id", F.lit(None).cast("string").alias("issue")).unionByName(bad.select("path", F.lit(None).cast("string").alias("project_id"), "issue"))
+
+
+@query("s43_imports", """WITH c AS (SELECT page_id, page_id % 4 AS k, printf('%06d', page_id) AS path FROM pages), g AS (SELECT *, 3 + row_number() OVER (ORDER BY path) AS no FROM c WHERE k < 2)
+SELECT path, 'prj' AS project_id, 'ann-lee-' || no AS card_id, 'c' || page_id AS imported_card_id, CASE k WHEN 0 THEN 'Ann  Lee' ELSE 'ann lee' END AS name, CASE k WHEN 0 THEN 'DRAFT' ELSE 'COMPILED' END AS compile_status, NULL AS error FROM g
+UNION ALL SELECT path, 'prj', NULL, CASE k WHEN 2 THEN 'c' || page_id ELSE '' END, 'Imported Character', NULL, CASE k WHEN 2 THEN 'card_format_unknown' ELSE 'card_unreadable' END FROM c WHERE k >= 2""")
+def s43(spark, d):
+    i = F.col("page_id").cast("string")
+    card = lambda rest: F.concat(F.lit('{"card_id": "c'), i, F.lit('", ' + rest + "}"))
+    texts = F.array(card('"format": "x.card", "identity": {"character_name": "Ann  Lee"}, "compile_status": "PREVIEW"'), card('"format": "x.card", "identity": {"character_name": " ", "display_name": "ann lee"}, "compile_status": "COMPILED"'), card('"format": "y"'), F.lit("{"))
+    rows = table(spark, d, "pages").select(F.format_string("%06d", "page_id").alias("path"), F.get(texts, (F.col("page_id") % 4).cast("int")).alias("text"))
+    return stores.imported(rows, "prj", "x.card", spark.createDataFrame([("ann-lee",), ("ann-lee-3",), ("bob",)], "card_id string"))
+
+
+@query("s45_failure_records", """WITH r AS (SELECT event_id, 'x sk-*** ' || event_type AS e FROM events), j AS (SELECT event_id, '{"error_summary":"' || e || '","error_type":"T","metadata":{"api_key":"<redacted>","n":"' || event_id || '"},"model_name":"m","project_id":"p","prompt_purpose":"q","provider":"v","source_path":"<outside_project>/f.txt"}' AS json, e FROM r)
+SELECT event_id, e AS error_summary, substr(sha256('salt:' || json), 1, 16) AS sample_hash FROM j""")
+def s45(spark, d):
+    i = F.col("event_id").cast("string")
+    text = lambda v, n: F.lit(v).alias(n)
+    rows = table(spark, d, "events").select(text("p", "project_id"), text("/home/me/f.txt", "source_path"), text("q", "prompt_purpose"), text("v", "provider"), text("m", "model_name"), text("T", "error_type"), F.concat(F.lit("x  sk-abcdefghij "), "event_type").alias("error_summary"), F.create_map(F.lit("n"), i, F.lit("api_key"), F.lit("k")).alias("metadata"))
+    return stores.failure_records(rows, "salt").select(F.col("metadata")["n"].cast("long").alias("event_id"), "error_summary", "sample_hash")
+
+
+@query("a07_traces", """WITH r AS (SELECT l_orderkey AS k, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos, ['material', 'unit', 'derived', 'material'][1 + l_linenumber % 4] AS kind, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'x' || l_partkey % 5 END AS id, 'p' || l_partkey % 2 AS path, CASE l_suppkey % 3 WHEN 0 THEN 'video' WHEN 1 THEN 'text' END AS m FROM lineitem),
+q AS (SELECT k, kind, CASE WHEN kind = 'material' AND id = '' THEN path ELSE id END AS key, pos, m FROM r), d AS (SELECT k, kind, key, min(pos) AS first, arg_min(coalesce(m, ''), pos) AS m FROM q WHERE key <> '' GROUP BY k, kind, key), c AS (SELECT k, m, count(*) AS n FROM d WHERE kind = 'material' AND m <> '' GROUP BY ALL), j AS (SELECT k, string_agg(m || ':' || n, ',' ORDER BY m) AS media, count(*) AS x, min(m) AS one FROM c GROUP BY k)
+SELECT k, count(*) FILTER (kind = 'material') AS materials, count(*) FILTER (kind = 'unit') AS units, count(*) FILTER (kind = 'derived') AS derived, coalesce(string_agg(key, ',' ORDER BY first) FILTER (kind = 'unit'), '') AS unit_refs, coalesce(any_value(media), '') AS media, CASE any_value(x) WHEN 1 THEN any_value(one) ELSE CASE WHEN any_value(x) > 1 THEN 'mixed' ELSE 'unknown' END END AS source_kind FROM d LEFT JOIN j USING (k) GROUP BY k""")
+def a07(spark, d):
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("material", "unit", "derived", "material"))), n % 4 + 1)
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (n * 1_000_000_000_000 + p * 1_000_000 + F.col("l_suppkey")).alias("pos"), kind.alias("kind"), F.when(p % 3 == 0, "").otherwise(F.concat(F.lit("x"), (p % 5).cast("string"))).alias("id"), F.concat(F.lit("p"), (p % 2).cast("string")).alias("path"), F.when(F.col("l_suppkey") % 3 == 0, "video").when(F.col("l_suppkey") % 3 == 1, "text").alias("media_type"))
+    out = N.traces(refs, "k")
+    media = F.array_join(F.transform(F.array_sort(F.map_entries("media_counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return out.select("k", "materials", "units", "derived", F.array_join("unit_refs", ",").alias("unit_refs"), media.alias("media"), "source_kind")
+
+
+@query("r12_unit_events", """SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'unsupported' WHEN p_partkey % 5 = 0 THEN 'skipped' WHEN p_partkey % 2 = 0 THEN 'completed' WHEN p_partkey % 3 = 0 THEN 'failed' ELSE 'no_result' END AS event,
+ CASE WHEN p_partkey % 6 > 0 AND p_partkey % 5 > 0 AND p_partkey % 2 = 1 AND p_partkey % 3 = 0 THEN 'first' END AS error, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 0 END AS chunks FROM part""")
+def r12(spark, d):
+    i = F.col("p_partkey")
+    parts = table(spark, d, "part").select(i.alias("unit_id"))
+    u = F.col("unit_id")
+    units = parts.select("unit_id", F.when(u % 6 > 0, "text").alias("handler"), (u % 5 == 0).alias("skipped"))
+    results = parts.filter(u % 2 == 0).select("unit_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("chunks"))
+    failures = parts.filter(u % 3 == 0).select("unit_id", F.explode(F.array(F.struct(F.lit(2).alias("pos"), F.lit("second").alias("error")), F.struct(F.lit(1).alias("pos"), F.lit("first").alias("error")))).alias("f")).select("unit_id", "f.*")
+    return N.unit_events(units, results, failures).withColumnRenamed("unit_id", "p_partkey")
+
+
+@query("w07_earlier_chunks", """WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN '' ELSE 'i' || turn END AS i FROM conversations), b AS (SELECT a.conv_id, a.turn, b.turn AS t, b.i FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn < a.turn), l AS (SELECT conv_id, turn, string_agg(i, ',' ORDER BY t) AS insights FROM (SELECT * FROM b WHERE i <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY t DESC) <= 3) GROUP BY ALL)
+SELECT s.conv_id, s.turn, (SELECT count(*) FROM b WHERE b.conv_id = s.conv_id AND b.turn = s.turn) AS earlier, coalesce(insights, '') AS insights FROM s LEFT JOIN l ON l.conv_id = s.conv_id AND l.turn = s.turn""")
+def w07(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 1, " ").otherwise(F.concat(F.lit(" i"), F.col("turn").cast("string"))).alias("insight"))
+    return N.earlier_chunks(rows, ["conv_id"], "turn", "insight").withColumn("insights", F.array_join("insights", ","))
+
+
+@query("j06_merge_inputs", "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) AND o_custkey % 2 = 0 THEN 'both' ELSE 'missing' END AS state FROM orders")
+def j06(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    contents = table(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("run", F.lit("r1"))
+    summaries = o.select("o_orderkey", F.when(F.col("o_custkey") % 2 == 0, "r1").otherwise("r0").alias("run"))
+    both, missing = N.merge_inputs(o, contents, summaries, ["o_orderkey"])
+    return both.select("o_orderkey", F.lit("both").alias("state")).union(missing.select("o_orderkey", F.lit("missing")))

@@ -135,3 +135,43 @@ def attached(files: DataFrame, alignment: DataFrame) -> tuple[DataFrame, DataFra
     """Subtitles as units of their episodes (episode_id, path, unit_kind), and the files (path) that stand alone: all that were not matched."""
     matched = alignment.filter("status = 'matched'").select("episode_id", "path")
     return matched.withColumn("unit_kind", unit_kind(F.col("path"))), files.join(matched.select("path"), "path", "left_anti")
+
+
+def formal_scan(files: DataFrame) -> DataFrame:
+    """Videos as a manifest: season_id, episode_id, chunk_id, episode_path, path, with contiguous numbers in order of path without case.
+
+    An episode is a video, or a directory of video chunks (as of episode_chunks). Those at the top are season 1 where there are any; each other
+    first-level directory with episodes is a season.
+    """
+    videos = files.filter(media.suffix(F.col("path")).isin(*media.VIDEO)).select("path", F.size(F.split("path", "/")).alias("depth"), F.get(F.split("path", "/"), F.lit(0)).alias("top"))
+    cut = episode_chunks(files).select("directory", "chunk_id", "path")
+    folders = cut.select(F.col("directory").alias("top")).distinct().withColumn("_whole", F.lit(True))
+    # A first-level directory that is an episode itself is no season.
+    marked = videos.join(folders, "top", "left")
+    single = marked.filter((F.col("depth") == 1) | (F.col("depth") == 2) & F.col("_whole").isNull())
+    single = single.select(F.when(F.col("depth") == 1, ".").otherwise(F.col("top")).alias("season"), F.col("path").alias("episode_path"), F.lit("chunk_0001").alias("chunk_id"), "path")
+    depth = F.size(F.split("directory", "/"))
+    first = F.get(F.split("directory", "/"), F.lit(0))
+    parts = cut.filter(F.col("directory") != ".").withColumn("top", first).join(folders, "top", "left")
+    parts = parts.filter((depth == 1) | (depth == 2) & F.col("_whole").isNull())
+    parts = parts.select(F.when(depth == 1, ".").otherwise(F.col("top")).alias("season"), F.col("directory").alias("episode_path"), "chunk_id", "path")
+    rows = single.unionByName(parts)
+    # One row a season, and one an episode within its season.
+    seasons_ = rows.select("season").distinct().withColumn("s", F.row_number().over(Window.orderBy(F.col("season") != ".", F.lower("season"), "season")))
+    episodes = rows.select("season", "episode_path").distinct().withColumn("e", F.row_number().over(Window.partitionBy("season").orderBy(F.lower("episode_path"), "episode_path")))
+    out = rows.join(seasons_, "season").join(episodes, ["season", "episode_path"])
+    return out.select(F.format_string("season_%03d", "s").alias("season_id"), F.format_string("episode_%03d", "e").alias("episode_id"), "chunk_id", "episode_path", "path")
+
+
+def book_order(items: DataFrame, spine: DataFrame, entries: DataFrame) -> DataFrame:
+    """Chapters of books in reading order: book, chapter (from 1), entry, and what is missing as warning.
+
+    items: book, pos, item_id, entry. spine: book, pos, item_id, linear. entries: book, entry (those in the container). Items that aren't
+    linear stay out, a repeated entry counts once, one that the container lacks leaves a warning; a book without a usable spine takes its items' order.
+    """
+    read = spine.filter(F.coalesce(F.lower("linear"), F.lit("yes")) != "no").join(items.select("book", "item_id", "entry"), ["book", "item_id"]).select("book", F.lit(0).alias("kind"), "pos", "entry")
+    rows = read.unionByName(items.select("book", F.lit(1).alias("kind"), "pos", "entry"))
+    best = rows.groupBy("book").agg(F.min("kind").alias("kind"))
+    rows = rows.join(best, ["book", "kind"]).groupBy("book", "entry").agg(F.min("pos").alias("pos")).join(entries.select("book", "entry").distinct().withColumn("there", F.lit(True)), ["book", "entry"], "left")
+    found = rows.filter("there").withColumn("chapter", F.row_number().over(Window.partitionBy("book").orderBy("pos", "entry"))).select("book", "chapter", "entry", F.lit(None).cast("string").alias("warning"))
+    return found.unionByName(rows.filter("there is null").select("book", F.lit(None).cast("int").alias("chapter"), "entry", F.lit("epub_entry_missing").alias("warning")))
