@@ -31,7 +31,7 @@ from .words import U, prefix, spans
 
 LENGTH, ANCHOR = 400, 50
 #: Bytes of segments in a shard, and different segments of an anchor beyond which its suffixes are dealt out.
-SHARD_BYTES, MOST_SEGMENTS = 1 << 21, 2000
+SHARD_BYTES, MOST_SEGMENTS = 1 << 20, 2000
 NO_ID = -(2**63)
 #: Documents and spans that are sent to every executor at most.
 MOST_SENT = 500_000
