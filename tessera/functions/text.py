@@ -14,7 +14,14 @@ SENTENCE = "[.!?]"
 
 def clip(text: Column, limit: int) -> Column:
     """One space for each run of white space, no outer space, cut to limit characters with three dots at the end."""
-    flat = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return _cut(_flat(text), limit)
+
+
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+
+
+def _cut(flat: Column, limit: int) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.substring(flat, 1, max(0, limit - 3)), F.lit("...")))
 
 
@@ -283,7 +290,7 @@ def sensitive_key(key: Column) -> Column:
 
 def clean(text: Column, limit: int) -> Column:
     """A redacted text on one line, cut to limit characters."""
-    return clip(redact(text), limit)
+    return let(_flat(redact(text)), lambda flat: _cut(flat, limit))
 
 
 def safe_metadata(values: Column, limit: int = 300) -> Column:
@@ -311,6 +318,11 @@ def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
     return F.filter(parts, lambda p: F.trim(p["part"]) != "")
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Where a chunk ends, in order of preference.
 MARKERS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ")
 
@@ -323,6 +335,7 @@ def chunks(text: Column, size: int, overlap: int = 0, most: int = 128) -> Column
     """
     n = F.length(text)
     least = max(1, int(size * 0.6) + 1 - overlap)
+    # Blank parts take steps as well.
     steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / least).cast("int") + 1))
     part = "struct<idx:int,start:int,stop:int,part:string>"
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("full"), F.array().cast(f"array<{part}>").alias("parts"))
@@ -330,25 +343,34 @@ def chunks(text: Column, size: int, overlap: int = 0, most: int = 128) -> Column
     def end_of(at: Column) -> Column:
         hard = at + size
         low = at + max(1, int(size * 0.6))
-        window = F.substring(text, low + 1, hard - low)
-        last = lambda m: F.length(window) - F.instr(F.reverse(window), m[::-1]) - len(m) + 1
-        out = hard
-        for m in reversed(MARKERS):
-            out = F.when(F.instr(window, m) > 0, low + last(m) + len(m)).otherwise(out)
-        return F.when(hard >= n, n).otherwise(out)
+
+        def marked(window: Column) -> Column:
+            last = lambda m: F.length(window) - F.instr(F.reverse(window), m[::-1]) - len(m) + 1
+            out = F.when(F.instr(window, MARKERS[0]) > 0, low + last(MARKERS[0]) + len(MARKERS[0]))
+            for m in MARKERS[1:]:
+                out = out.when(F.instr(window, m) > 0, low + last(m) + len(m))
+            return out.otherwise(hard)
+
+        return F.when(hard >= n, n).otherwise(let(F.substring(text, low + 1, hard - low), marked)).cast("int")
 
     def step(acc: Column, _: Column) -> Column:
         at = acc["at"]
-        stop = end_of(at).cast("int")
-        value = F.substring(text, at + 1, stop - at)
-        row = F.struct((F.size(acc["parts"]) + 1).alias("idx"), at.alias("start"), stop.alias("stop"), value.alias("part")).cast(part)
-        parts = F.when(F.rlike(value, F.lit(r"\S")), F.concat(acc["parts"], F.array(row))).otherwise(acc["parts"])
-        after = F.when(stop >= n, n).otherwise(F.greatest(at + 1, stop - overlap)).cast("int")
-        ended = F.struct(after.alias("at"), F.lit(False).alias("full"), parts.alias("parts"))
+
+        def cut(stop: Column) -> Column:
+            def kept(value: Column) -> Column:
+                row = F.struct((F.size(acc["parts"]) + 1).alias("idx"), at.alias("start"), stop.alias("stop"), value.alias("part")).cast(part)
+                return F.when(F.rlike(value, F.lit(r"\S")), F.concat(acc["parts"], F.array(row))).otherwise(acc["parts"])
+
+            after = F.when(stop >= n, n).otherwise(F.greatest(at + 1, stop - overlap)).cast("int")
+            return F.struct(after.alias("at"), F.lit(False).alias("full"), let(F.substring(text, at + 1, stop - at), kept).alias("parts"))
+
         stopped = F.struct(at.alias("at"), F.lit(True).alias("full"), acc["parts"].alias("parts"))
-        return F.when((at >= n) | acc["full"], acc).when(F.size(acc["parts"]) >= most, stopped).otherwise(ended)
+        return F.when((at >= n) | acc["full"], acc).when(F.size(acc["parts"]) >= most, stopped).otherwise(let(end_of(at), cut))
+
+    return let(F.aggregate(steps, begin, step), lambda done: _chunked(done, n, most))
+
 
-    done = F.aggregate(steps, begin, step)
+def _chunked(done: Column, n: Column, most: int) -> Column:
     left = F.concat(F.lit(f"text_chunk_limit_reached:max_chunks={most}:remaining_chars="), (n - done["at"]).cast("string"))
     split = F.concat(F.lit("text_split_into_chunks:count="), F.size(done["parts"]).cast("string"))
     warnings = F.when(done["full"], F.array(left)).when(F.size(done["parts"]) > 1, F.array(split)).otherwise(F.array().cast("array<string>"))
