@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 WIDE = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"
 NARROW = r"[^\s\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]{1,4}"
 MARGIN_TENTHS = 12
+#: White space of any kind.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SENTENCE = "[.!?]"
 
 
+def strip(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def clip(text: Column, limit: int) -> Column:
     """One space for each run of white space, no outer space, cut to limit characters with three dots at the end."""
     return _cut(_flat(text), limit)
 
 
 def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
 
 
 def _cut(flat: Column, limit: int) -> Column:
@@ -167,7 +174,9 @@ def natural_key(name: Column) -> Column:
     """An orderable key: runs of digits by value and before text, other runs in lower case."""
     parts = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     number = lambda p: p.rlike("^[0-9]")
-    return F.transform(parts, lambda p: F.struct(F.when(number(p), 0).otherwise(1).alias("kind"), F.when(number(p), p.cast("decimal(38,0)")).alias("number"), F.lower(p).alias("text")))
+    # By value: more digits (without leading zeros) are more, as many go by the digits.
+    digits = lambda p: F.when(number(p), F.regexp_replace(p, "^0+(?=.)", ""))
+    return F.transform(parts, lambda p: F.struct(F.when(number(p), 0).otherwise(1).alias("kind"), F.length(digits(p)).alias("size"), digits(p).alias("number"), F.lower(p).alias("text")))
 
 
 def has_term(text: Column, terms: list[str]) -> Column:
@@ -247,7 +256,7 @@ def rendered(template: Column, values: Column) -> Column:
 
 def trimmed(items: Column) -> Column:
     """An array's texts, trimmed, without nulls and empty ones."""
-    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(items, strip), lambda x: x != "")
 
 
 def string_list(value: Column) -> Column:
@@ -255,7 +264,7 @@ def string_list(value: Column) -> Column:
     v = F.try_parse_json(value)
     kind = F.schema_of_variant(v)
     texts = trimmed(F.from_json(value, "array<string>"))
-    one = F.trim(F.try_variant_get(v, "$", "string"))
+    one = strip(F.try_variant_get(v, "$", "string"))
     return F.when(F.startswith(kind, F.lit("ARRAY")), texts).when((kind == "STRING") & (one != ""), F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
@@ -294,9 +303,11 @@ def clean(text: Column, limit: int) -> Column:
 
 
 def safe_metadata(values: Column, limit: int = 300) -> Column:
-    """A map of texts without blank keys, values of sensitive keys hidden, others cleaned."""
-    named = F.map_filter(values, lambda k, _: F.trim(k) != "")
-    return F.map_from_entries(F.transform(F.map_entries(named), lambda e: F.struct(F.trim(e["key"]), F.when(sensitive_key(e["key"]), "<redacted>").otherwise(clean(e["value"], limit)))))
+    """A map of texts without blank keys, values of sensitive keys hidden, others cleaned; of keys that are equal when trimmed, the last."""
+    entries = F.filter(F.transform(F.map_entries(values), lambda e: F.struct(strip(e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"] != "")
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], F.when(sensitive_key(e["key"]), "<redacted>").otherwise(clean(e["value"], limit)))))
 
 
 def safe_list(items: Column, most: int = 20, limit: int = 160) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import evidence as E
+from tessera.operators.order import dense_rank, listed, placed
 
 #: Ranks of a version's stage.
 STAGES = {"alpha": 0, "beta": 1, "rc": 2, "release": 3}
@@ -34,36 +35,43 @@ def tags(cards: DataFrame) -> DataFrame:
 def compile_warnings(quality: Column, evidence: Column, summary_text: Column, count: Column, stale: tuple[str, ...]) -> Column:
     """Distinct warnings without stale ones, and what is missing."""
     kept = F.filter(F.concat(quality, evidence), lambda w: ~w.isin(*stale) if stale else F.lit(True))
-    missing = F.filter(F.array(F.when(F.trim(F.coalesce(summary_text, F.lit(""))) == "", "summary is empty"), F.when(count <= 0, "no evidence was matched")), lambda x: x.isNotNull())
+    missing = F.filter(F.array(F.when(T.strip(F.coalesce(summary_text, F.lit(""))) == "", "summary is empty"), F.when(count <= 0, "no evidence was matched")), lambda x: x.isNotNull())
     return F.array_distinct(F.concat(kept, missing))
 
 
 def joined_aliases(aliases: Column, new: Column, names: tuple[Column, ...]) -> Column:
     """aliases with the new ones that neither they nor the protected names have, without case."""
-    low = lambda c: F.lower(F.trim(c))
+    low = lambda c: F.lower(T.strip(c))
     taken = F.concat(F.array(*[low(n) for n in names]), F.transform(aliases, low))
     fresh = F.filter(T.folded_distinct(new), lambda x: ~F.array_contains(taken, F.lower(x)))
     return F.concat(aliases, fresh)
 
 
+#: Aliases that are looked for at once.
+PROPOSALS = 500
+
+
 def confirmed_aliases(aliases: DataFrame, targets: DataFrame, most: int = 8) -> DataFrame:
     """The first most distinct aliases (pos, alias) that stand in a target's text (name and target).
 
-    Aliases are a prompt's few proposals: they are collected to one expression, targets are read once and never joined in pairs.
+    PROPOSALS aliases at a time are one expression, and targets are read once for these and never joined in pairs.
     """
-    firsts = aliases.select("pos", F.trim("alias").alias("alias")).filter("alias <> ''").groupBy(F.lower("alias").alias("key")).agg(F.min(F.struct("pos", "alias")).alias("f"))
-    proposals = firsts.orderBy("f").limit(1000).collect()
-    if not proposals:
-        return firsts.select("f.pos", "f.alias")
+    firsts = aliases.select("pos", T.strip("alias").alias("alias")).filter("alias <> ''").groupBy(F.lower("alias").alias("key")).agg(F.min(F.struct("pos", "alias")).alias("f"))
+    firsts = placed(firsts, [F.col("f")], name="aliases").select("place", "key", "f.pos", "f.alias")
     text = F.lower(F.concat_ws(" ", "candidate_name", "target"))
-    held = targets.agg(*[F.coalesce(F.bool_or(F.contains(text, F.lit(r.key))), F.lit(False)).alias(f"a{i}") for i, r in enumerate(proposals)])
-    rows = F.array(*[F.when(F.col(f"a{i}"), F.struct(F.lit(r.f.pos).alias("pos"), F.lit(r.f.alias).alias("alias"))) for i, r in enumerate(proposals)])
-    return held.select(F.explode(F.slice(F.filter(rows, lambda x: x.isNotNull()), 1, most)).alias("r")).select("r.*")
+    found, begin, total = [], 1, firsts.count()
+    # Block by block in order, until enough stand in a target.
+    while begin <= total and len(found) < most:
+        proposals = firsts.filter(F.col("place").between(begin, begin + PROPOSALS - 1)).orderBy("place").collect()
+        held = targets.agg(*[F.coalesce(F.bool_or(F.contains(text, F.lit(r.key))), F.lit(False)).alias(f"a{i}") for i, r in enumerate(proposals)]).first()
+        found += [(r.pos, r.alias) for r, there in zip(proposals, held) if there]
+        begin += PROPOSALS
+    return aliases.sparkSession.createDataFrame(found[:most], aliases.select("pos", "alias").schema)
 
 
 def roles(dialogues: Column) -> Column:
     """Dialogues (structs with messages of role and content) with roles trimmed and in lower case."""
-    return F.transform(dialogues, lambda d: d.withField("messages", F.transform(d["messages"], lambda m: m.withField("role", F.lower(F.trim(m["role"]))))))
+    return F.transform(dialogues, lambda d: d.withField("messages", F.transform(d["messages"], lambda m: m.withField("role", F.lower(T.strip(m["role"]))))))
 
 
 def filled_dialogues(preset: Column, example: Column, wanted: Column) -> Column:
@@ -81,65 +89,106 @@ def filled_dialogues(preset: Column, example: Column, wanted: Column) -> Column:
 
 
 def version_key(tag: Column) -> Column:
-    """An orderable key of v1.2.3, with -alpha, -beta or -rc and a number; null for anything else."""
-    found = r"(?i)^v?(\d+)\.(\d+)\.(\d+)(?:-(alpha|beta|rc)(?:\.(\d+))?)?$"
-    part = lambda i: F.regexp_extract(F.trim(tag), found, i)
+    """An orderable key of v1.2.3, with -alpha, -beta or -rc and a number; null for anything else, and for numbers of more than 38 digits."""
+    found = r"(?i)^v?([0-9]+)\.([0-9]+)\.([0-9]+)(?:-(alpha|beta|rc)(?:\.([0-9]+))?)?$"
+    part = lambda i: F.regexp_extract(T.strip(tag), found, i)
+    number = lambda i: part(i).try_cast("decimal(38,0)")
     rank = F.lit(STAGES["release"])
     for stage, r in STAGES.items():
         rank = F.when(F.lower(part(4)) == stage, r).otherwise(rank)
-    numbers = [part(i).cast("int").alias(n) for i, n in ((1, "major"), (2, "minor"), (3, "patch"))]
-    return F.when(F.rlike(F.trim(tag), F.lit(found)), F.struct(*numbers, rank.alias("stage"), F.coalesce(part(5).try_cast("int"), F.lit(0)).alias("number")))
+    numbers = [number(i) for i in (1, 2, 3)]
+    last = F.when(part(5) == "", F.lit(0).cast("decimal(38,0)")).otherwise(number(5))
+    known = F.rlike(T.strip(tag), F.lit(found)) & F.coalesce(*[F.when(n.isNull(), False) for n in (*numbers, last)], F.lit(True))
+    return F.when(known, F.struct(*[n.alias(c) for n, c in zip(numbers, ("major", "minor", "patch"))], rank.alias("stage"), last.alias("number")))
 
 
-def preview_states(contents: DataFrame, name: str) -> DataFrame:
-    """The preview's state after each episode in order: summary (parts distinct, earlier summary first), evidence_count (facts), conflicts.
+def ranked_versions(tags: DataFrame, tag: str) -> DataFrame:
+    """tags with rank: the dense rank of the version in a column, from the oldest; rows that are no version go."""
+    rows = tags.withColumn("_version", version_key(F.col(tag))).filter("_version is not null")
+    return dense_rank(rows, "_version").drop("_version")
+
 
-    contents: as of evidence.episode_contents. A name of one character or less takes all items. The fold is over one character's episodes.
+#: Rows of a preview's head that are folded at once.
+HEAD = 256
+
+
+def _head(rows: DataFrame) -> list[tuple[int, str]]:
+    """The places after which a preview's summary is no longer than the longest part, and that summary: (0, "") first.
+
+    Only such a summary can equal a part. Each change makes it longer, so there are no more of them than the longest part has characters.
+    """
+    longest = rows.agg(F.max(F.array_max(F.transform("parts", F.length)))).first()[0] or 0
+    changes, now, at = [(0, "")], "", 0
+    while len(now) <= longest:
+        # The next row with a part that isn't the summary, and what follows it.
+        at = rows.filter((F.col("place") > at) & F.exists("parts", lambda x: x != F.lit(now))).agg(F.min("place")).first()[0]
+        if at is None:
+            break
+        for r in rows.filter((F.col("place") >= at) & (F.size("parts") > 0)).select("place", "parts").orderBy("place").limit(HEAD).collect():
+            at, left = r.place, [p for p in r.parts if p != now]
+            if left:
+                now = "; ".join([*[now] * bool(now), *left])
+                changes.append((at, now))
+            if len(now) > longest:
+                break
+    return changes
+
+
+def preview_timeline(contents: DataFrame, name: str) -> DataFrame:
+    """What each episode adds to a preview's state, as evidence.timeline has it; all episodes are rows, and evidence counts facts.
+
+    contents: as of evidence.episode_contents. A name of one character or less takes all items. An episode's parts are distinct, and one
+    that equals the whole summary before it adds nothing.
     """
     fields = ("facts", "behavior_traits", "dialogue_style", "relationship_interactions", "character_state_changes", "conflicts")
     rows = contents.select("season_id", "episode_id", *[E.related(F.col(f), [name], True).alias(f) for f in fields])
-    entry = F.struct(F.lower("season_id").alias("o1"), F.lower("episode_id").alias("o2"), "season_id", "episode_id", *fields)
-    state = "struct<summary:string,evidence_count:bigint,conflicts:array<string>>"
-    one = f"struct<season_id:string,episode_id:string,state:{state}>"
-    first = F.struct(F.struct(F.lit("").alias("summary"), F.lit(0).cast("long").alias("evidence_count"), F.array().cast("array<string>").alias("conflicts")).cast(state).alias("now"), F.array().cast(f"array<{one}>").alias("all"))
-    distinct = lambda c: F.array_distinct(T.trimmed(c))
-
-    def step(acc: Column, x: Column) -> Column:
-        shown = F.concat(x["behavior_traits"], x["dialogue_style"], x["relationship_interactions"], x["character_state_changes"])
-        shown = F.when(F.size(shown) > 0, shown).otherwise(x["facts"])
-        said = F.when(F.size(shown) > 0, F.array_join(distinct(F.concat(F.array(acc["now"]["summary"]), shown)), "; ")).otherwise(acc["now"]["summary"])
-        now = F.struct(said.alias("summary"), (acc["now"]["evidence_count"] + F.size(x["facts"])).alias("evidence_count"), distinct(F.concat(acc["now"]["conflicts"], x["conflicts"])).alias("conflicts")).cast(state)
-        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(F.struct(x["season_id"].alias("season_id"), x["episode_id"].alias("episode_id"), now.alias("state")).cast(one))).alias("all"))
-
-    folded = rows.agg(F.array_sort(F.collect_list(entry)).alias("rows")).select(F.explode(F.aggregate("rows", first, step)["all"]).alias("s"))
-    return folded.select("s.season_id", "s.episode_id", "s.state.*")
-
-
-def applied_state(contents: DataFrame) -> DataFrame:
-    """What a card took in, one row: its seasons, episodes and refs in order, distinct, and traits."""
-    order = F.struct(F.lower("season_id").alias("s"), F.lower("episode_id").alias("e"))
-    rows = contents.select(order.alias("at"), "season_id", F.concat_ws("/", "season_id", "episode_id").alias("episode"), "behavior_traits", "evidence_refs")
-
-    def listed(value: str, exploded: bool) -> DataFrame:
-        each = rows.select("at", F.posexplode(value).alias("pos", "v")) if exploded else rows.select("at", F.lit(0).alias("pos"), F.col(value).alias("v"))
-        firsts = each.withColumn("v", F.trim("v")).filter("v <> ''").groupBy("v").agg(F.min(F.struct("at", "pos")).alias("at"))
-        return firsts.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(value))
-
-    out = listed("season_id", False).withColumnRenamed("season_id", "included_seasons")
-    for value, name, exploded in (("episode", "included_episodes", False), ("behavior_traits", "personality_traits", True), ("evidence_refs", "refs", True)):
+    shown = F.concat("behavior_traits", "dialogue_style", "relationship_interactions", "character_state_changes")
+    rows = rows.select("season_id", "episode_id", F.array_distinct(F.when(F.size(shown) > 0, shown).otherwise(F.col("facts"))).alias("parts"), F.size("facts").alias("n"), "conflicts")
+    rows = E.timed(rows)
+    changes = _head(rows)
+    known = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(s).alias("now")) for p, s in changes])
+    before = F.element_at(F.filter(known, lambda c: c["place"] < F.col("place")), -1)["now"]
+    return rows.withColumn("parts", F.filter("parts", lambda x: x != before))
+
+
+def preview_states(contents: DataFrame, name: str) -> DataFrame:
+    """The preview's whole state after each episode in order: summary (earlier summary first), evidence_count (facts), conflicts."""
+    rows = preview_timeline(contents, name)
+    return E.assembled(rows, rows)
+
+
+def applied_state(contents: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """What a card took in, one row: its seasons, episodes and refs in order, distinct, and traits.
+
+    chunks (season_id, episode_id, file_name, extraction_run_id): also included_chunks and included_runs.
+    """
+    at = [F.lower("season_id"), F.lower("episode_id")]
+    episode = F.concat_ws("/", "season_id", "episode_id")
+    each = lambda c: contents.select("season_id", "episode_id", F.posexplode(c).alias("pos", "v"))
+    parts = [
+        listed(contents, "season_id", at, "included_seasons"),
+        listed(contents.withColumn("episode", episode), "episode", at, "included_episodes"),
+        listed(each("behavior_traits"), "v", [*at, F.col("pos")], "personality_traits"),
+        listed(each("evidence_refs"), "v", [*at, F.col("pos")], "refs"),
+    ]
+    if chunks is not None:
+        files = chunks.withColumn("chunk", F.concat_ws("/", "season_id", "episode_id", F.regexp_replace("file_name", "[.][^.]*$", "")))
+        parts += [listed(files, "chunk", [*at, F.lower("file_name")], "included_chunks"), listed(files, "extraction_run_id", [*at, F.lower("file_name")], "included_runs")]
+    out = parts[0]
+    for one in parts[1:]:
         # Each side is one row.
-        out = out.join(listed(value, exploded).withColumnRenamed(value, name), F.lit(True))
+        out = out.join(one, F.lit(True))
     return out
 
 
 def markdown(cards: DataFrame) -> Column:
     """A card as Markdown: its columns name, status, source, aliases, tags, notes, cover_path, summary, long_description, personality, personality_traits, speech_style, warnings, evidence_count, refs."""
-    text = lambda title, c: F.when(F.trim(c) != "", F.concat(F.lit(f"\n## {title}\n"), F.trim(c)))
-    bullets = lambda c: F.array_join(F.transform(F.filter(F.col(c), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
+    text = lambda title, c: F.when(T.strip(c) != "", F.concat(F.lit(f"\n## {title}\n"), T.strip(c)))
+    bullets = lambda c: F.array_join(F.transform(F.filter(F.col(c), lambda x: T.strip(x) != ""), lambda x: F.concat(F.lit("- "), x)), "\n")
     some = lambda c: F.when(c != "", c)
     listed = lambda title, c: F.when(F.size(c) > 0, F.concat_ws("\n", F.lit(f"\n## {title}"), some(bullets(c))))
     named = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"- {title}: "), F.array_join(c, ", ")))
-    nature = F.when((F.trim("personality") != "") | (F.size("personality_traits") > 0), F.concat_ws("\n", F.lit("\n## Personality"), some(F.trim("personality")), some(bullets("personality_traits"))))
+    nature = F.when((T.strip("personality") != "") | (F.size("personality_traits") > 0), F.concat_ws("\n", F.lit("\n## Personality"), some(T.strip("personality")), some(bullets("personality_traits"))))
     evidence = F.concat_ws("\n", F.lit("\n## Evidence"), F.concat(F.lit("- Evidence count: "), F.col("evidence_count").cast("string")), some(bullets("refs")))
     return F.concat(
         F.concat_ws("\n", F.concat(F.lit("# "), F.col("name"), F.lit("\n")), F.concat(F.lit("- Status: "), F.col("status")), F.concat(F.lit("- Source: "), F.col("source")), named("Aliases", "aliases"), named("Tags", "tags"), text("Notes", F.col("notes")),

@@ -57,13 +57,13 @@ def views(contents: DataFrame) -> DataFrame:
     """
     lists = {f: T.trimmed(F.col(f)) if f in contents.columns else F.array().cast("array<string>") for f in _FULL if f not in ("episode_id", "season_id", "episode_outline")}
     quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
-    texts = {"episode_id": F.col("episode_id"), "season_id": F.col("season_id"), "episode_outline": F.trim("insight_summary")}
+    texts = {"episode_id": F.col("episode_id"), "season_id": F.col("season_id"), "episode_outline": T.strip("insight_summary")}
     value = lambda k: quoted(texts[k]) if k in texts else F.concat(F.lit("["), F.array_join(F.transform(lists[k], quoted), ", "), F.lit("]"))
     full = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), value(k)) for k in _FULL]), F.lit("}"))
-    body = lambda f: F.trim("insight_summary") if f == "insight_summary" else F.array_join(F.when(F.size(lists[f]) > 0, lists[f]).otherwise(lists["targets"]) if f == "behavior_traits" else lists[f], "；")
+    body = lambda f: T.strip("insight_summary") if f == "insight_summary" else F.array_join(F.when(F.size(lists[f]) > 0, lists[f]).otherwise(lists["targets"]) if f == "behavior_traits" else lists[f], "；")
     long = F.concat_ws("\n", *[F.when(body(f) != "", F.concat(F.lit(f"{title}："), body(f))) for title, f in SECTIONS])
     some = lambda x: F.when(x != "", x)
-    brief = F.concat_ws(" | ", some(F.trim("insight_summary")), some(F.array_join(F.slice(lists["facts"], 1, 3), "；")), some(F.array_join(F.slice(lists["conflicts"], 1, 2), "；")))
+    brief = F.concat_ws(" | ", some(T.strip("insight_summary")), some(F.array_join(F.slice(lists["facts"], 1, 3), "；")), some(F.array_join(F.slice(lists["conflicts"], 1, 2), "；")))
     out = contents.withColumns({"full_context_view": full, "context_long": long, "context_brief": brief})
     costs = F.array(*[T.token_estimate(F.col(v)) for v in VIEWS])
     counts = [F.size(f) for f in ("facts", "conflicts", "relationship_interactions", "conflicts")]
@@ -72,7 +72,7 @@ def views(contents: DataFrame) -> DataFrame:
 
 def overlap(left: Column, right: Column) -> Column:
     """Shared keys of two lists over those of the larger one; keys are texts without blanks and case."""
-    keys = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.replace(F.replace(F.lower(F.trim(x)), F.lit("＿"), F.lit("_")), F.lit(" "), F.lit(""))), lambda x: x != ""))
+    keys = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: F.replace(F.replace(F.lower(T.strip(x)), F.lit("＿"), F.lit("_")), F.lit(" "), F.lit(""))), lambda x: x != ""))
     a, b = keys(left), keys(right)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)))
 
@@ -134,6 +134,6 @@ CHUNK_SECTIONS = (("FACTS", "facts"), ("BEHAVIOR_TRAITS", "behavior_traits"), ("
 def chunk_text(chunk_id: Column) -> Column:
     """A chunk with its insight and lists as text; empty where it has neither."""
     part = lambda label, f: F.when(F.size(T.trimmed(F.col(f))) > 0, F.concat(F.lit(f"[{label}]\n- "), F.array_join(T.trimmed(F.col(f)), "\n- ")))
-    insight = F.when(F.trim("insight_summary") != "", F.concat(F.lit("[INSIGHT_SUMMARY]\n"), F.trim("insight_summary")))
+    insight = F.when(T.strip("insight_summary") != "", F.concat(F.lit("[INSIGHT_SUMMARY]\n"), T.strip("insight_summary")))
     body = F.concat_ws("\n\n", insight, *[part(label, f) for label, f in CHUNK_SECTIONS])
     return F.when(body == "", "").otherwise(F.concat(F.lit("[CHUNK_ID] "), chunk_id, F.lit("\n\n"), body))

@@ -7,10 +7,11 @@ item in a task. Lists of one episode or season are its own result, so they are c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.order import placed, prefixes, running, written
 
 #: The list columns of a chunk, those that show a character directly or by mention, and those that count for a state.
 FIELDS = ("targets", "facts", "behavior_traits", "dialogue_style", "relationship_interactions", "conflicts", "character_state_changes", "evidence_refs")
@@ -33,13 +34,13 @@ _LIST = "array<string>"
 
 def stage(name: Column) -> Column:
     """full or preview, white space and case aside; anything else is legacy_unknown."""
-    s = F.lower(F.trim(name))
+    s = F.lower(T.strip(name))
     return F.when(s.isin("full", "preview"), s).otherwise("legacy_unknown")
 
 
 def of_run(run: Column, expected: str) -> Column:
     """Whether a run id is the expected one; a blank one expects nothing."""
-    return F.lit(True) if not expected.strip() else F.coalesce(F.trim(run) == expected.strip(), F.lit(False))
+    return F.lit(True) if not expected.strip() else F.coalesce(T.strip(run) == expected.strip(), F.lit(False))
 
 
 def _items(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...], place: Column) -> DataFrame:
@@ -75,7 +76,7 @@ def episode_contents(chunks: DataFrame, run: str = "", wanted: str = "full") ->
     )
     used = rows.filter("used")
     lists = _lists(_items(used, EPISODE, FIELDS, name), EPISODE, FIELDS)
-    said = used.filter(F.trim("insight_summary") != "").select(*EPISODE, name.alias("place"), F.trim("insight_summary").alias("item")).groupBy(*EPISODE, "item").agg(F.min("place").alias("place"))
+    said = used.filter(T.strip("insight_summary") != "").select(*EPISODE, name.alias("place"), T.strip("insight_summary").alias("item")).groupBy(*EPISODE, "item").agg(F.min("place").alias("place"))
     said = said.groupBy(*EPISODE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "item"))), lambda x: x["item"]), " | ").alias("insight_summary"))
     none = F.when(F.col("full_chunks") == 0, F.array(F.concat_ws("", F.lit("no_full_chunks:"), F.concat_ws("/", *EPISODE)))).otherwise(F.array().cast(_LIST))
     out = counts.join(lists, list(EPISODE), "left").join(said, list(EPISODE), "left")
@@ -143,24 +144,61 @@ def related(items: Column, terms: list[str], all_without: bool = False) -> Colum
     return F.filter(T.trimmed(items), lambda x: T.has_term(x, terms))
 
 
-def states(contents: DataFrame, terms: list[str]) -> DataFrame:
-    """The state of a character after each episode that adds evidence: summary, evidence_count, conflicts (distinct so far), by season and episode.
+def timeline(contents: DataFrame, terms: list[str]) -> DataFrame:
+    """What each episode adds to a character's state: bucket, place, season_id, episode_id, parts, evidence_count, new_conflicts, n_conflicts.
+
+    An episode with an item of evidence that holds a term is a row; the counts run over all rows up to it. parts is its line
+    of the summary (none if only conflicts name the character), new_conflicts those that no earlier row has.
+    """
+    c = contents.select(*EPISODE, *[related(F.col(f), terms).alias(f) for f in STATE])
+    c = c.withColumn("n", sum((F.size(f) for f in STATE), F.lit(0))).filter("n > 0")
+    shown = F.concat(*SUMMARY)
+    line = F.array_join(F.when(F.size(shown) > 0, shown).otherwise(F.col("facts")), "; ")
+    return timed(c.select(*EPISODE, F.when(line != "", F.array(line)).otherwise(F.array().cast(_LIST)).alias("parts"), "n", "conflicts"))
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """The timeline of rows (season_id, episode_id, parts, n, conflicts), one an episode, in the order of seasons and episodes."""
+    rows = placed(rows, [F.lower("season_id"), F.lower("episode_id"), *map(F.col, EPISODE)], {"evidence_count": F.col("n")}, "states")
+    first = F.struct("place", "pos", "bucket", *EPISODE)
+    new = rows.select("place", "bucket", *EPISODE, F.posexplode("conflicts").alias("pos", "value")).groupBy("value").agg(F.min(first).alias("f"))
+    new = new.groupBy("f.place").agg(F.transform(F.array_sort(F.collect_list(F.struct("f.pos", "value"))), lambda x: x["value"]).alias("new_conflicts"))
+    rows = rows.drop("conflicts", "n").join(new, "place", "left").withColumn("new_conflicts", F.coalesce("new_conflicts", F.array().cast(_LIST)))
+    rows = written(rows, "timeline")
+    # The buckets are the same, so their running sums need no second range shuffle.
+    return running(rows, "place", {"n_conflicts": F.size("new_conflicts")})
+
+
+def assembled(rows: DataFrame, asked: DataFrame, joiner: str = "; ") -> DataFrame:
+    """The whole states (season_id, episode_id, summary, evidence_count, conflicts) at the asked rows of a timeline.
 
-    An episode counts if its targets are empty or name the character, or if any list does. Running sums go over the episodes
-    with evidence of the one character.
+    A state's text grows with its place, so ask for those that are needed; the timeline itself has what each one adds.
     """
-    c = contents.select(*EPISODE, "targets", *[related(F.col(f), terms).alias(f) for f in STATE])
-    n = sum((F.size(f) for f in STATE), F.lit(0))
-    c = c.withColumn("n", n).filter("n > 0")
-    parts = F.concat(*SUMMARY)
-    c = c.withColumn("line", F.array_join(F.when(F.size(parts) > 0, parts).otherwise(F.col("facts")), "; "))
-    so_far = Window.orderBy(F.lower("season_id"), F.lower("episode_id"), *EPISODE).rowsBetween(Window.unboundedPreceding, 0)
-    lines = F.filter(F.collect_list("line").over(so_far), lambda x: x != "")
-    return c.select(*EPISODE, F.array_join(lines, "; ").alias("summary"), F.sum("n").over(so_far).alias("evidence_count"), F.array_distinct(F.flatten(F.collect_list("conflicts").over(so_far))).alias("conflicts"))
+    items = lambda c: rows.select("bucket", "place", F.posexplode(c).alias("pos", "value"))
+    asked = asked.select("bucket", "place", *EPISODE, "evidence_count")
+    out = asked.join(prefixes(items("parts"), asked, "parts"), "place", "left").join(prefixes(items("new_conflicts"), asked, "conflicts"), "place", "left")
+    return out.select(*EPISODE, F.coalesce(F.array_join("parts", joiner), F.lit("")).alias("summary"), "evidence_count", F.coalesce("conflicts", F.array().cast(_LIST)).alias("conflicts"))
+
+
+def states(contents: DataFrame, terms: list[str]) -> DataFrame:
+    """The whole state of a character after each episode that adds evidence: summary, evidence_count, conflicts (distinct so far)."""
+    rows = timeline(contents, terms)
+    return assembled(rows, rows)
+
+
+def last_state(rows: DataFrame) -> DataFrame:
+    """The final state of a timeline, of which only the last row is put together; no row without a state."""
+    return final_state(assembled(rows, rows.join(rows.agg(F.max("place").alias("place")), "place")))
+
+
+def season_states(rows: DataFrame) -> DataFrame:
+    """Per season of a timeline: the number of states and the last one."""
+    seasons = rows.groupBy("season_id").agg(F.count("*").alias("n_states"), F.max("place").alias("place"))
+    return seasons.select("season_id", "n_states").join(assembled(rows, rows.join(seasons.select("place"), "place")), "season_id").select("season_id", "n_states", "episode_id", "summary", "evidence_count", "conflicts")
 
 
 def final_state(states_: DataFrame) -> DataFrame:
-    """The last state: parts of the summary trimmed and distinct, distinct conflicts; no row without a state."""
+    """The last of whole states: parts of the summary trimmed and distinct, distinct conflicts; no row without a state."""
     order = F.struct(F.lower("season_id"), F.lower("episode_id"), *EPISODE)
     last = states_.agg(F.max_by(F.struct("summary", "evidence_count", "conflicts"), order).alias("s")).filter("s is not null").select("s.*")
     parts = F.array_distinct(T.trimmed(F.split("summary", ";")))
@@ -168,7 +206,7 @@ def final_state(states_: DataFrame) -> DataFrame:
 
 
 def stage_states(states_: DataFrame) -> DataFrame:
-    """Per season: the number of states and the last one."""
+    """Per season: the number of whole states and the last one."""
     order = F.struct(F.lower("episode_id"), F.col("episode_id"))
     return states_.groupBy("season_id").agg(F.count("*").alias("n_states"), F.max_by(F.struct("episode_id", "summary", "evidence_count", "conflicts"), order).alias("s")).select("season_id", "n_states", "s.*")
 

@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 
 def exactly_one(left: DataFrame, right: DataFrame, key: str, rules: list[str], target: str) -> DataFrame:
-    """Each key of left with its one partner of right by the first rule (a shared column) that pairs them.
+    """Each key of left with its one partner of right by the first rule (a shared column) that pairs it with any.
 
-    status: matched, unmatched (no partner) or ambiguous (two or more; the partner is null). Each rule is its own
-    equi-join; partners of a hot value are counted before the join, so no pairs are made.
+    status: matched, unmatched (no rule has a partner) or ambiguous (that rule has two or more; the partner is null). Later rules don't
+    count for a key that an earlier one pairs. Each rule is its own equi-join; partners of a hot value are counted before the join.
     """
     out = left.select(key, *rules)
     for i, rule in enumerate(rules):
-        side = right.filter(F.col(rule).isNotNull()).groupBy(rule).agg(F.countDistinct(target).alias(f"n{i}"), F.min(target).alias(f"lo{i}"), F.max(target).alias(f"hi{i}"))
-        out = out.join(side, rule, "left")
-    lo = F.least(*[F.col(f"lo{i}") for i in range(len(rules))], F.lit(None)) if len(rules) > 1 else F.col("lo0")
-    hi = F.greatest(*[F.col(f"hi{i}") for i in range(len(rules))], F.lit(None)) if len(rules) > 1 else F.col("hi0")
-    rule = F.lit(None).cast("string")
-    for i in reversed(range(len(rules))):
-        rule = F.when((F.col(f"lo{i}") == lo) & (F.col(f"n{i}") == 1), F.lit(rules[i])).otherwise(rule)
-    status = F.when(lo.isNull(), "unmatched").when(lo < hi, "ambiguous").otherwise("matched")
-    return out.select(key, F.when(status == "matched", lo).alias(target), status.alias("status"), F.when(status == "matched", rule).alias("rule"))
+        side = right.filter(F.col(rule).isNotNull()).groupBy(rule).agg(F.min(target).alias("lo"), F.max(target).alias("hi"))
+        out = out.join(side.select(rule, F.struct("lo", "hi", F.lit(rule).alias("rule")).alias(f"_pair{i}")), rule, "left")
+    pair = F.coalesce(*[F.col(f"_pair{i}") for i in range(len(rules))])
+    one = pair["lo"] == pair["hi"]
+    status = F.when(pair.isNull(), "unmatched").when(one, "matched").otherwise("ambiguous")
+    return out.select(key, F.when(one, pair["lo"]).alias(target), status.alias("status"), F.when(one, pair["rule"]).alias("rule"))
 
 
 def overlapping(ranges: DataFrame, spans: DataFrame, by: str, bucket: float) -> DataFrame:

@@ -93,7 +93,7 @@ def conflict_groups(rows: DataFrame, terms: list[str], most: int = 20) -> DataFr
 
 def target_candidates(rows: DataFrame, most: int = 120) -> DataFrame:
     """The first most distinct name prefixes of items, up to a colon or bracket, in order of appearance."""
-    name = F.trim(F.regexp_extract("item", r"^[^:：(<（]*", 0))
+    name = T.strip(F.regexp_extract("item", r"^[^:：(<（]*", 0))
     named = rows.withColumn("name", name).filter("name <> ''")
     return named.groupBy("name").agg(F.min(F.struct(*EPISODE, "chunk", "pos")).alias("at"), F.count("*").alias("n")).orderBy("at").limit(most).select("name", "n", "at.episode")
 

@@ -31,8 +31,8 @@ def material_transcripts(materials: DataFrame, ranges: DataFrame, segments: Data
     first = ranges.groupBy("episode", low("path").alias("key")).agg(F.min_by(F.struct("start", "end"), "pos").alias("r"))
     wanted = materials.select("episode", "material", low("material").alias("key")).join(first, ["episode", "key"], "left")
     spans = overlapping(wanted.filter("r is not null").select("episode", F.col("material").alias("range_id"), F.col("r.start").alias("lo"), F.col("r.end").alias("hi")), segments.select("episode", F.col("segment").alias("span_id"), "start", "end"), "episode", bucket)
-    line = F.concat(F.lit("["), T.clock_minutes(F.col("start")), F.lit("-"), T.clock_minutes(F.col("end")), F.lit("] "), F.trim("text"))
-    lines = segments.filter(F.trim("text") != "").select("episode", F.col("segment").alias("span_id"), line.alias("line"))
+    line = F.concat(F.lit("["), T.clock_minutes(F.col("start")), F.lit("-"), T.clock_minutes(F.col("end")), F.lit("] "), T.strip("text"))
+    lines = segments.filter(T.strip("text") != "").select("episode", F.col("segment").alias("span_id"), line.alias("line"))
     told = spans.select("episode", F.col("range_id").alias("material"), "span_id").join(lines, ["episode", "span_id"])
     told = told.groupBy("episode", "material").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_id", "line"))), lambda x: x["line"]), "\n").alias("told"))
     whole = plain.select("episode", low("path").alias("key"), F.col("text").alias("whole")).dropDuplicates(["episode", "key"])
@@ -45,16 +45,16 @@ def material_transcripts(materials: DataFrame, ranges: DataFrame, segments: Data
 def earlier_seasons(seasons: DataFrame, project: str, place: str, season: str, background: str) -> DataFrame:
     """Each season of a project with the backgrounds of all before it in order, those that are there; a project's seasons are few."""
     before = Window.partitionBy(project).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    found = F.collect_list(F.when(F.trim(background) != "", F.struct(F.col(season).alias("season"), F.col(background).alias("background")))).over(before)
+    found = F.collect_list(F.when(T.strip(background) != "", F.struct(F.col(season).alias("season"), F.col(background).alias("background")))).over(before)
     return seasons.select(project, season, found.alias("earlier"))
 
 
 def state_for(states: DataFrame, season: str, place: str, name: str, terms: list[str]) -> DataFrame:
     """Per season the first state (a row of states) whose name holds one of the terms, or is held by one, in any case."""
-    low = F.lower(F.trim(name))
+    low = F.lower(T.strip(name))
     fits = F.exists(F.array(*[F.lit(t.strip().lower()) for t in terms if len(t.strip()) >= 2]), lambda t: F.contains(low, t) | F.contains(t, low)) if any(len(t.strip()) >= 2 for t in terms) else F.lit(False)
     rest = [c for c in states.columns if c != season]
-    return states.filter(fits & (low != "")).groupBy(season).agg(F.min_by(F.struct(*rest), place).alias("s")).select(season, "s.*")
+    return states.filter(fits & (low != "")).groupBy(season).agg(F.min_by(F.struct(*rest), place).alias("_state")).select(season, *[F.col("_state").getField(c).alias(c) for c in rest])
 
 
 def source_states(sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -97,12 +97,12 @@ def traces(refs: DataFrame, by: str) -> DataFrame:
     refs: by, pos, kind (material, unit, derived), id, path, media_type. A material is one by its id, else its path. One medium is the kind of source, several are
     mixed, none is unknown.
     """
-    key = F.when(F.col("kind") == "material", F.coalesce(F.when(F.trim("id") != "", F.trim("id")), F.col("path"))).otherwise(F.trim("id"))
+    key = F.when(F.col("kind") == "material", F.coalesce(F.when(T.strip("id") != "", T.strip("id")), F.col("path"))).otherwise(T.strip("id"))
     distinct = refs.withColumn("key", key).filter("key <> ''").groupBy(by, "kind", "key").agg(F.min("pos").alias("pos"), F.min_by(F.coalesce("media_type", F.lit("")), "pos").alias("media_type"))
     of = lambda k: F.sum((F.col("kind") == k).cast("long"))
     in_order = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "key")))), lambda x: x["key"])
     sums = distinct.groupBy(by).agg(of("material").alias("materials"), of("unit").alias("units"), of("derived").alias("derived"), in_order("unit").alias("unit_refs"))
-    media = distinct.filter((F.col("kind") == "material") & (F.trim("media_type") != "")).groupBy(by, "media_type").agg(F.count("*").alias("n"))
+    media = distinct.filter((F.col("kind") == "material") & (T.strip("media_type") != "")).groupBy(by, "media_type").agg(F.count("*").alias("n"))
     told = media.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("media_type", "n")))).alias("media_counts"))
     out = sums.join(told, by, "left").withColumn("media_counts", F.coalesce("media_counts", F.create_map().cast("map<string,bigint>")))
     names = F.map_keys("media_counts")
@@ -124,7 +124,7 @@ def unit_events(units: DataFrame, results: DataFrame, failures: DataFrame) -> Da
 def earlier_chunks(chunks: DataFrame, by: list[str], order: str, insight: str, last: int = 3) -> DataFrame:
     """chunks with how many of their episode come before, and the last few insights of those; an episode's chunks are few."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    said = F.collect_list(F.when(F.trim(insight) != "", F.trim(insight))).over(before)
+    said = F.collect_list(F.when(T.strip(insight) != "", T.strip(insight))).over(before)
     return chunks.select(*by, order, F.count("*").over(before).alias("earlier"), F.reverse(F.slice(F.reverse(said), 1, last)).alias("insights"))
 
 

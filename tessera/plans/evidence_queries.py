@@ -123,16 +123,23 @@ def w01_full(spark, d):
     return _flat(E.states(E.episode_contents(chunks(spark, d), RUN), TERMS)).withColumn("summary", F.sha2("summary", 256)).withColumn("conflicts", F.sha2("conflicts", 256))
 
 
+@query("w01_timeline", f"""WITH {_STATES} SELECT row_number() OVER (ORDER BY season_id, episode_id) AS place, season_id, episode_id, sha256(line) AS line, sum(n) OVER (ORDER BY season_id, episode_id)::BIGINT AS evidence_count,
+ coalesce((SELECT string_agg(item, ' | ' ORDER BY place) FROM co WHERE place[1] = e.season_id AND place[2] = e.episode_id), '') AS new_conflicts, (SELECT count(*) FROM co WHERE (place[1], place[2]) <= (e.season_id, e.episode_id)) AS n_conflicts FROM ep e""")
+def w01_timeline(spark, d):
+    rows = E.timeline(E.episode_contents(chunks(spark, d), RUN), TERMS)
+    return _flat(rows.select("place", *E.EPISODE, F.sha2(F.array_join("parts", "; "), 256).alias("line"), "evidence_count", "new_conflicts", "n_conflicts"))
+
+
 @query("w03_final_state", f"""WITH {_STATES}, last AS (SELECT * FROM states ORDER BY season_id DESC, episode_id DESC LIMIT 1),
 parts AS (SELECT trim(unnest(string_split(summary, ';'))) AS part, generate_subscripts(string_split(summary, ';'), 1) AS pl FROM last)
 SELECT (SELECT sha256(string_agg(part, '; ' ORDER BY pl)) FROM (SELECT part, min(pl) AS pl FROM parts WHERE part <> '' GROUP BY part)) AS summary, evidence_count, sha256(conflicts) AS conflicts FROM last""")
 def w03(spark, d):
-    return _flat(E.final_state(E.states(E.episode_contents(chunks(spark, d), RUN), TERMS))).withColumn("summary", F.sha2("summary", 256)).withColumn("conflicts", F.sha2("conflicts", 256))
+    return _flat(E.last_state(E.timeline(E.episode_contents(chunks(spark, d), RUN), TERMS))).withColumn("summary", F.sha2("summary", 256)).withColumn("conflicts", F.sha2("conflicts", 256))
 
 
 @query("a17_stage_states", f"WITH {_STATES} SELECT season_id, count(*) AS n_states, max(episode_id) AS episode_id, arg_max(evidence_count, episode_id) AS evidence_count, sha256(arg_max(coalesce(summary, ''), episode_id)) AS summary, sha256(arg_max(conflicts, episode_id)) AS conflicts FROM states GROUP BY season_id")
 def a17(spark, d):
-    return _flat(E.stage_states(E.states(E.episode_contents(chunks(spark, d), RUN), TERMS))).withColumn("summary", F.sha2("summary", 256)).withColumn("conflicts", F.sha2("conflicts", 256))
+    return _flat(E.season_states(E.timeline(E.episode_contents(chunks(spark, d), RUN), TERMS))).withColumn("summary", F.sha2("summary", 256)).withColumn("conflicts", F.sha2("conflicts", 256))
 
 
 _CAUSE = "(" + " OR ".join(f"contains(lower(txt), '{w}')" for w in E.CAUSAL) + ")"

@@ -134,7 +134,7 @@ def j07(spark, d):
 
 @query("j01_align_exactly_one", """WITH s AS (SELECT s_suppkey, s_suppkey % 997 AS stem, (s_suppkey * 7 + s_nationkey) % 1201 AS folder FROM supplier), c AS (SELECT c_custkey, c_custkey % 997 AS stem, (c_custkey * 7 + c_nationkey) % 1201 AS folder FROM customer),
 hits AS (SELECT s_suppkey, c_custkey, 'stem' AS rule FROM s JOIN c USING (stem) UNION ALL SELECT s_suppkey, c_custkey, 'folder' FROM s JOIN c USING (folder)),
-per AS (SELECT s_suppkey, min(c_custkey) AS lo, max(c_custkey) AS hi, max(rule) AS rule FROM hits GROUP BY s_suppkey)
+per AS (SELECT s_suppkey, min(c_custkey) AS lo, max(c_custkey) AS hi, rule FROM hits GROUP BY s_suppkey, rule QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY rule DESC) = 1)
 SELECT s.s_suppkey, CASE WHEN lo = hi THEN lo END AS c_custkey, CASE WHEN lo IS NULL THEN 'unmatched' WHEN lo < hi THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN lo = hi THEN rule END AS rule FROM s LEFT JOIN per USING (s_suppkey)""")
 def j01(spark, d):
     keys = lambda key, nation: (F.col(key), (F.col(key) % 997).alias("stem"), ((F.col(key) * 7 + F.col(nation)) % 1201).alias("folder"))

@@ -118,7 +118,7 @@ def s41(spark, d):
     return good.select("path", "project_id", F.lit(None).cast("string").alias("issue")).unionByName(bad.select("path", F.lit(None).cast("string").alias("project_id"), "issue"))
 
 
-@query("s43_imports", """WITH c AS (SELECT page_id, page_id % 4 AS k, printf('%06d', page_id) AS path FROM pages), g AS (SELECT *, 3 + row_number() OVER (ORDER BY path) AS no FROM c WHERE k < 2)
+@query("s43_imports", """WITH c AS (SELECT page_id, page_id % 4 AS k, printf('%06d', page_id) AS path FROM pages), g AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY path) = 1 THEN 2 ELSE 2 + row_number() OVER (ORDER BY path) END AS no FROM c WHERE k < 2)
 SELECT path, 'prj' AS project_id, 'ann-lee-' || no AS card_id, 'c' || page_id AS imported_card_id, CASE k WHEN 0 THEN 'Ann  Lee' ELSE 'ann lee' END AS name, CASE k WHEN 0 THEN 'DRAFT' ELSE 'COMPILED' END AS compile_status, NULL AS error FROM g
 UNION ALL SELECT path, 'prj', NULL, CASE k WHEN 2 THEN 'c' || page_id ELSE '' END, 'Imported Character', NULL, CASE k WHEN 2 THEN 'card_format_unknown' ELSE 'card_unreadable' END FROM c WHERE k >= 2""")
 def s43(spark, d):

@@ -185,8 +185,7 @@ def o09(spark, d):
     i = F.col("event_id")
     stage = F.element_at(F.array(*map(F.lit, ("-ALPHA.", "-beta.", "-rc.", ""))), (i % 4 + 1).cast("int"))
     tag = F.when(i % 10 == 0, "no version").otherwise(F.concat(F.format_string("v%d.%d.%d", i % 3, i % 12, i % 7), stage, F.when(i % 4 == 3, "").otherwise((i % 11).cast("string"))))
-    rows = table(spark, d, "events").select("event_id", C.version_key(tag).alias("key")).filter("key is not null")
-    return rows.select("event_id", F.dense_rank().over(Window.orderBy("key")).cast("long").alias("rank"))
+    return C.ranked_versions(table(spark, d, "events").select("event_id", tag.alias("tag")), "tag").select("event_id", "rank")
 
 
 @query("a09_usage_by_key", """WITH u AS (SELECT event_type, CASE WHEN event_id % 3 = 0 THEN event_id END AS p, CASE WHEN event_id % 3 < 2 THEN 5 END AS c FROM events), s AS (SELECT event_type, sum(coalesce(p, 0))::BIGINT AS p, sum(coalesce(c, 0))::BIGINT AS c, sum(coalesce(p + c, 0))::BIGINT AS t FROM u GROUP BY event_type)
@@ -206,12 +205,12 @@ def a14(spark, d):
 
 
 @query("j02_subtitle_units", f"""WITH {_FILES}, v AS (SELECT *, 'e' || event_id % 60 AS episode_id FROM p WHERE ending IN ('.mp4', '.mkv')), t AS (SELECT *, replace(stem, 'Segment_', 'p') AS s FROM p WHERE ending IN ('.srt', '.lrc')),
-h AS (SELECT t.path, v.episode_id, 'same_episode_directory' AS rule FROM t JOIN v USING (directory) UNION ALL SELECT t.path, v.episode_id, 'same_stem' FROM t JOIN v ON t.directory = v.directory AND lower(t.stem) = lower(v.stem)),
-g AS (SELECT path, min(episode_id) AS lo, max(episode_id) AS hi, max(rule) AS rule FROM h GROUP BY path) SELECT t.path, CASE WHEN lo = hi THEN lo END AS episode_id, CASE WHEN lo IS NULL THEN 'unmatched' WHEN lo < hi THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN lo = hi THEN g.rule END AS rule FROM t LEFT JOIN g USING (path)""")
+h AS (SELECT t.path, v.episode_id, 'same_episode_directory' AS rule FROM t JOIN v ON t.directory = v.directory AND v.event_id % 2 = 0 UNION ALL SELECT t.path, v.episode_id, 'same_stem' FROM t JOIN v ON t.directory = v.directory AND lower(t.stem) = lower(v.stem)),
+g AS (SELECT path, min(episode_id) AS lo, max(episode_id) AS hi, max(rule) AS rule FROM h h1 WHERE rule = 'same_stem' OR NOT EXISTS (SELECT 1 FROM h h2 WHERE h2.path = h1.path AND h2.rule = 'same_stem') GROUP BY path) SELECT t.path, CASE WHEN lo = hi THEN lo END AS episode_id, CASE WHEN lo IS NULL THEN 'unmatched' WHEN lo < hi THEN 'ambiguous' ELSE 'matched' END AS status, CASE WHEN lo = hi THEN g.rule END AS rule FROM t LEFT JOIN g USING (path)""")
 def j02(spark, d):
     files = _files(spark, d)
     number = F.regexp_extract("path", "([0-9]+)[.][A-Za-z0-9]+$", 1).cast("long")
-    videos = files.filter(F.rlike("path", F.lit("(mp4|mkv)$"))).select("path", F.concat(F.lit("e"), (number % 60).cast("string")).alias("episode_id"))
+    videos = files.filter(F.rlike("path", F.lit("(mp4|mkv)$"))).select("path", F.concat(F.lit("e"), (number % 60).cast("string")).alias("episode_id"), F.when(number % 2 == 0, scans.parent(F.col("path"))).otherwise(F.col("path")).alias("episode_path"))
     return scans.aligned(files, videos)
 
 
@@ -227,11 +226,26 @@ def w02(spark, d):
     return rows.select("season_id", "episode_id", F.sha2("summary", 256).alias("summary"), "evidence_count", F.size("conflicts").cast("long").alias("conflicts"))
 
 
+@query("w02_preview_timeline", f"""WITH RECURSIVE {EQ._sql('preview')}, h AS (SELECT * FROM di WHERE contains(lower(item), 'the') AND fi BETWEEN 1 AND 6),
+a AS (SELECT season_id, episode_id, count(h.item) FILTER (fi = 1) AS facts, coalesce(list(h.item ORDER BY CASE fi WHEN 6 THEN 5 ELSE fi END, place) FILTER (fi IN (2, 3, 4, 6)), list(h.item ORDER BY place) FILTER (fi = 1), []) AS shown FROM ec LEFT JOIN h USING (season_id, episode_id) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY season_id, episode_id) AS k, list_filter(shown, lambda x, i: list_position(shown, x) = i) AS parts FROM a),
+uniq(k, season_id, episode_id, summary, parts) AS (SELECT 0::BIGINT, '', '', '', []::VARCHAR[] UNION ALL
+ SELECT o.k, o.season_id, o.episode_id, array_to_string(list_filter([u.summary], lambda x: x <> '') || list_filter(o.parts, lambda x: x <> u.summary), '; '), list_filter(o.parts, lambda x: x <> u.summary) FROM uniq u JOIN o ON o.k = u.k + 1),
+co AS (SELECT item, min((season_id, episode_id)) AS f FROM h WHERE fi = 5 GROUP BY item)
+SELECT k AS place, u.season_id, u.episode_id, sha256(array_to_string(parts, '; ')) AS parts, sum(facts) OVER (ORDER BY k)::BIGINT AS evidence_count, (SELECT count(*) FROM co WHERE f <= (u.season_id, u.episode_id)) AS n_conflicts FROM uniq u JOIN a USING (season_id, episode_id)""")
+def w02_timeline(spark, d):
+    rows = C.preview_timeline(E.episode_contents(EQ.chunks(spark, d), EQ.RUN, wanted="preview"), "the")
+    return rows.select("place", "season_id", "episode_id", F.sha2(F.array_join("parts", "; "), 256).alias("parts"), "evidence_count", "n_conflicts")
+
+
 @query("a15_applied_state", f"""WITH {EQ._sql('full')} SELECT (SELECT string_agg(season_id, ',' ORDER BY season_id) FROM (SELECT DISTINCT season_id FROM ec)) AS included_seasons, (SELECT string_agg(season_id || '/' || episode_id, ',' ORDER BY season_id, episode_id) FROM ec) AS included_episodes,
- (SELECT sha256(string_agg(item, '|' ORDER BY pl)) FROM (SELECT item, min((season_id, episode_id, place)) AS pl FROM di WHERE fi = 2 GROUP BY item)) AS personality_traits, (SELECT sha256(string_agg(item, '|' ORDER BY pl)) FROM (SELECT item, min((season_id, episode_id, place)) AS pl FROM di WHERE fi = 7 GROUP BY item)) AS refs""")
+ (SELECT sha256(string_agg(item, '|' ORDER BY pl)) FROM (SELECT item, min((season_id, episode_id, place)) AS pl FROM di WHERE fi = 2 GROUP BY item)) AS personality_traits, (SELECT sha256(string_agg(item, '|' ORDER BY pl)) FROM (SELECT item, min((season_id, episode_id, place)) AS pl FROM di WHERE fi = 7 GROUP BY item)) AS refs,
+ (SELECT sha256(string_agg(season_id || '/' || episode_id || '/' || replace(file_name, '.json', ''), ',' ORDER BY season_id, episode_id, file_name)) FROM c2) AS included_chunks, (SELECT string_agg(r, ',' ORDER BY f) FROM (SELECT CASE WHEN same_run THEN 'run1' ELSE 'old' END AS r, min((season_id, episode_id, file_name)) AS f FROM c2 GROUP BY r)) AS included_runs""")
 def a15(spark, d):
-    rows = C.applied_state(E.episode_contents(EQ.chunks(spark, d), EQ.RUN))
-    return rows.select(F.array_join("included_seasons", ",").alias("included_seasons"), F.array_join("included_episodes", ",").alias("included_episodes"), F.sha2(F.array_join("personality_traits", "|"), 256).alias("personality_traits"), F.sha2(F.array_join("refs", "|"), 256).alias("refs"))
+    chunks = EQ.chunks(spark, d)
+    rows = C.applied_state(E.episode_contents(chunks, EQ.RUN), chunks)
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select(text("included_seasons"), text("included_episodes"), F.sha2(F.array_join("personality_traits", "|"), 256).alias("personality_traits"), F.sha2(F.array_join("refs", "|"), 256).alias("refs"), F.sha2(F.array_join("included_chunks", ","), 256).alias("included_chunks"), text("included_runs"))
 
 
 @query("p29_markdown", """SELECT c_custkey::VARCHAR AS card_id, '# ' || c_name || chr(10) || chr(10) || '- Status: DRAFT' || chr(10) || '- Source: AI' || chr(10) || '- Aliases: a, b' || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || '- Tags: ' || c_mktsegment ELSE '' END || chr(10) || chr(10) || '## Notes' || chr(10) || 'n' || chr(10) || chr(10) || '## Personality' || chr(10) || '- kind'

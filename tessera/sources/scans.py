@@ -122,13 +122,12 @@ def latest_results(listed: DataFrame) -> DataFrame:
 def aligned(timed: DataFrame, videos: DataFrame) -> DataFrame:
     """Subtitles (path) with the one episode that they belong to: path, episode_id, status, rule.
 
-    videos: episode_id, path. A subtitle belongs to an episode with a video of its directory and stem (case aside), else of its directory; of
-    two such episodes, to none (ambiguous).
+    videos: episode_id, path, episode_path (as of formal_scan). A subtitle belongs to an episode with a video of its directory and stem (case
+    aside), else to the episode that its directory is; of two such episodes, to none (ambiguous).
     """
-    stem = F.lower(F.regexp_replace(name(F.col("path")), r"\.[^.]*$", ""))
-    keys = (F.concat_ws("/", parent(F.col("path")), stem).alias("same_stem"), parent(F.col("path")).alias("same_episode_directory"))
-    subtitles = timed.filter(media.suffix(F.col("path")).isin(*media.TIMED_TEXT, *media.OTHER_TIMED_TEXT)).select("path", *keys)
-    return exactly_one(subtitles, videos.select("episode_id", *keys), "path", ["same_stem", "same_episode_directory"], "episode_id")
+    stem = F.concat_ws("/", parent(F.col("path")), F.lower(F.regexp_replace(name(F.col("path")), r"\.[^.]*$", "")))
+    subtitles = timed.filter(media.suffix(F.col("path")).isin(*media.TIMED_TEXT, *media.OTHER_TIMED_TEXT)).select("path", stem.alias("same_stem"), parent(F.col("path")).alias("same_episode_directory"))
+    return exactly_one(subtitles, videos.select("episode_id", stem.alias("same_stem"), F.col("episode_path").alias("same_episode_directory")), "path", ["same_stem", "same_episode_directory"], "episode_id")
 
 
 def attached(files: DataFrame, alignment: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -39,24 +39,39 @@ def imported(cards: DataFrame, project: str, tag: str, taken: DataFrame) -> Data
 
     A card without the format tag or a name field is an error. taken: card_id. PREVIEW becomes DRAFT.
     """
-    from pyspark.sql import Window
-
     j = F.try_parse_json("text")
     get = lambda k: F.coalesce(F.trim(F.try_variant_get(j, f"$.{k}", "string")), F.lit(""))
     some = lambda *cs: F.coalesce(*[F.when(c != "", c) for c in cs])
     rows = cards.select("path", get("card_id").alias("imported_card_id"), F.coalesce(some(get("identity.character_name"), get("identity.display_name")), F.lit("Imported Character")).alias("name"), get("compile_status").alias("state"), F.when(j.isNull(), "card_unreadable").when(get("format") != tag, "card_format_unknown").alias("error"))
     key = F.lower(F.regexp_replace(F.regexp_replace("name", r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", ""))
     rows = rows.withColumn("stem", F.when(key == "", "card").otherwise(key))
-    # Ids that are taken, by stem: the highest number in use.
-    used = taken.select(F.regexp_extract("card_id", r"^(.*?)(?:-(\d+))?$", 1).alias("stem"), F.coalesce(F.regexp_extract("card_id", r"^(.*?)(?:-(\d+))?$", 2).try_cast("int"), F.lit(1)).alias("no")).groupBy("stem").agg(F.max("no").alias("used"))
-    good = rows.filter("error is null").withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("path"))).join(used, "stem", "left").withColumn("no", F.col("k") + F.coalesce("used", F.lit(0)))
-    named = good.withColumn("card_id", F.when(F.col("no") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("no").cast("string"))))
+    named = _numbered(rows.filter("error is null"), taken)
     status = F.when(F.col("state") == "PREVIEW", "DRAFT").otherwise(F.col("state"))
     out = named.select("path", F.lit(project).alias("project_id"), "card_id", "imported_card_id", "name", status.alias("compile_status"), "error")
     bad = rows.filter("error is not null").select("path", F.lit(project).alias("project_id"), F.lit(None).cast("string").alias("card_id"), "imported_card_id", "name", F.lit(None).cast("string").alias("compile_status"), "error")
     return out.unionByName(bad)
 
 
+def _numbered(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows (path, stem, others) with card_id: the stem, or the stem and the first number from 2 that is free, in order of path.
+
+    An id is free unless it is taken, or is itself the stem of a row, so no two rows meet whatever their stems are.
+    """
+    stems = rows.select("stem").distinct()
+    used = taken.select("card_id").distinct()
+    claimed = used.unionByName(stems.select(F.col("stem").alias("card_id"))).distinct()
+    last = lambda i: F.regexp_extract("card_id", r"^(.+)-([1-9][0-9]{0,17})$", i)
+    blocked = claimed.filter(last(2).try_cast("long") >= 2).select(last(1).alias("stem"), last(2).cast("long").alias("no"))
+    blocked = blocked.unionByName(used.select(F.col("card_id").alias("stem"), F.lit(1).cast("long").alias("no"))).join(stems, "stem", "left_semi")
+    # k - 1 free numbers lie below a card's, so it passes all blocked numbers with fewer free ones below them.
+    by = Window.partitionBy("stem")
+    gaps = blocked.withColumn("at", F.col("no") - F.row_number().over(by.orderBy("no"))).select("stem", "at", F.lit(1).alias("blocks"), F.lit(None).cast("string").alias("path"))
+    cards = rows.withColumn("at", F.row_number().over(by.orderBy("path")).cast("long")).select("stem", "at", F.lit(0).alias("blocks"), "path")
+    both = gaps.unionByName(cards).withColumn("no", F.col("at") + F.sum("blocks").over(by.orderBy("at", "blocks").rowsBetween(Window.unboundedPreceding, 0)))
+    numbers = both.filter("blocks = 0").select("stem", "path", "no")
+    return rows.join(numbers, ["stem", "path"]).withColumn("card_id", F.when(F.col("no") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("no").cast("string"))))
+
+
 #: Lengths of a failure record's texts.
 LIMITS = {"prompt_purpose": 120, "provider": 80, "model_name": 120, "error_type": 120, "error_summary": 500}
 

@@ -12,17 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-_CLOCK = r"\d{1,2}:\d{2}:\d{2}[,.]\d{1,3}"
-SRT_TIME = re.compile(rf"\s*({_CLOCK})\s*-->\s*({_CLOCK})(?:\s.*)?$")
-#: Units of a fraction by format.
-SCALES = {"srt": 1000, "ass": 100}
-
-
-def seconds(value: str, scale: int) -> float:
-    """Seconds of h:m:s; the first three digits of a fraction count in units of 1 / scale."""
-    hours, minutes, rest = value.strip().replace(",", ".").split(":")
-    whole, dot, fraction = rest.partition(".")
-    return int(hours) * 3600 + int(minutes) * 60 + int(whole) + (int((fraction or "0")[:3]) / scale if dot else 0.0)
+_CLOCK = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
+SRT_TIME = re.compile(rf"\s*{_CLOCK}\s*-->\s*{_CLOCK}(?:\s.*)?$")
+#: What a line ends with, as Python's splitlines has it.
+LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def srt(text: str) -> Iterator[tuple]:
@@ -43,7 +36,8 @@ def srt(text: str) -> Iterator[tuple]:
         if not found:
             yield first, None, None, None, None, None, f"srt_cue_skipped:line={first}"
             continue
-        start, end = (seconds(x, SCALES["srt"]) for x in found.groups())
+        h1, m1, s1, f1, h2, m2, s2, f2 = map(int, found.groups())
+        start, end = (h1 * 60 + m1) * 60 + s1 + f1 / 1000, (h2 * 60 + m2) * 60 + s2 + f2 / 1000
         plain = re.sub(r"<[^>]+>", "", html.unescape(raw)).strip()
         if plain:
             yield at, start, max(start, end), plain, raw, "", None
@@ -51,43 +45,6 @@ def srt(text: str) -> Iterator[tuple]:
             yield at, None, None, None, None, None, f"srt_empty_cue_skipped:line={at}"
 
 
-def ass(text: str) -> Iterator[tuple]:
-    """As srt(), for the dialogue lines of the events section."""
-    events, fields = False, []
-    for number, line in enumerate(text.splitlines(), 1):
-        line = line.strip()
-        skip = lambda why: (number, None, None, None, None, None, f"{why}:line={number}")  # noqa: B023, E731
-        if line.startswith("[") and line.endswith("]"):
-            events = line.lower() == "[events]"
-            continue
-        key, colon, value = line.partition(":")
-        key = key.strip().lower()
-        if not events or not colon or key not in ("format", "dialogue"):
-            continue
-        if key == "format":
-            fields = [x.strip().lower() for x in value.split(",")]
-            continue
-        values = value.lstrip().split(",", max(len(fields) - 1, 0))
-        if not fields:
-            yield skip("ass_dialogue_skipped_without_format")
-            continue
-        if len(values) != len(fields):
-            yield skip("ass_dialogue_field_mismatch")
-            continue
-        record = dict(zip(fields, values))
-        try:
-            start, end = (seconds(record.get(x, ""), SCALES["ass"]) for x in ("start", "end"))
-        except ValueError:
-            yield skip("ass_dialogue_time_invalid")
-            continue
-        raw = record.get("text", "").strip()
-        plain = re.sub(r"\{[^{}]*\}", "", raw).replace("\\N", "\n").replace("\\n", "\n").replace("\\h", " ").strip()
-        if plain:
-            yield number, start, max(start, end), plain, raw, record.get("name", "").strip(), None
-        else:
-            yield skip("ass_empty_dialogue_skipped")
-
-
 _ROWS = pa.schema([("path", pa.string()), ("format", pa.string()), ("cue", pa.int32()), ("source_line", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("raw", pa.string()), ("speaker", pa.string()), ("warning", pa.string())])
 
 
@@ -96,20 +53,57 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
             kind = (path or "").rpartition(".")[2].lower()
             rows, cue = [], 0
-            for line, *rest, warning in {"srt": srt, "ass": ass}.get(kind, lambda _: [(None, None, None, None, None, None, "timed_text_format_not_supported")])(text or ""):
+            for line, *rest, warning in srt(text or "") if kind == "srt" else [(None, None, None, None, None, None, "timed_text_format_not_supported")]:
                 cue += warning is None
                 rows.append((path, kind, cue if warning is None else None, line, *rest, warning))
-            if not cue and kind in SCALES:
-                rows.append((path, kind, None, None, None, None, None, None, None, f"{kind}_no_usable_segments"))
+            if not cue and kind == "srt":
+                rows.append((path, kind, None, None, None, None, None, None, None, "srt_no_usable_segments"))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROWS.types)], schema=_ROWS)
 
 
+def _clock(value: Column) -> Column:
+    """Seconds of h:m:s with hundredths (the first three digits of a fraction count in these); null for anything else."""
+    found = lambda i: F.regexp_extract(value, r"^\s*([+-]?[0-9]+)\s*:\s*([+-]?[0-9]+)\s*:\s*([+-]?[0-9]+)\s*(?:[.,]([0-9]{0,2}$|[0-9]{3}).*)?$", i)
+    hours, minutes, whole = (found(i).try_cast("double") for i in (1, 2, 3))
+    return hours * 3600 + minutes * 60 + whole + F.coalesce(found(4).try_cast("double"), F.lit(0.0)) / 100
+
+
+def _ass(files: DataFrame) -> DataFrame:
+    """The dialogues of ASS files: lines explode, and a line's section and format are the last ones before it in its file."""
+    lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), LINE_END)).alias("n", "line")).select("path", (F.col("n") + 1).alias("source_line"), T.strip(F.col("line")).alias("line"))
+    before = Window.partitionBy("path").orderBy("source_line").rowsBetween(Window.unboundedPreceding, 0)
+    is_header = F.startswith("line", F.lit("[")) & F.endswith("line", F.lit("]"))
+    lines = lines.withColumn("section", F.last(F.when(is_header, F.lower("line")), ignorenulls=True).over(before)).filter((F.col("section") == "[events]") & ~is_header & F.contains("line", F.lit(":")))
+    lines = lines.select("path", "source_line", F.lower(T.strip(F.substring_index("line", ":", 1))).alias("key"), F.expr("substr(line, instr(line, ':') + 1)").alias("value"))
+    names = F.transform(F.split("value", ","), lambda x: F.lower(T.strip(x)))
+    lines = lines.withColumn("names", F.last(F.when(F.col("key") == "format", names), ignorenulls=True).over(before)).filter("key = 'dialogue'")
+    lines = lines.withColumn("fields", F.split(F.regexp_replace("value", f"^{T.BLANK}+", ""), ",", F.size("names")))
+    # Of fields with one name, the last counts.
+    field = lambda n: F.coalesce(F.get(F.reverse("fields"), F.array_position(F.reverse("names"), n).cast("int") - 1), F.lit(""))
+    rows = lines.withColumns({"start": _clock(field("start")), "stop": _clock(field("end")), "raw": T.strip(field("text")), "speaker": T.strip(field("name"))})
+    plain = F.regexp_replace("raw", r"\{[^{}]*\}", "")
+    for mark, shown in (("\\N", "\n"), ("\\n", "\n"), ("\\h", " ")):
+        plain = F.replace(plain, F.lit(mark), F.lit(shown))
+    rows = rows.withColumn("text", T.strip(plain))
+    why = F.when(F.col("names").isNull(), "ass_dialogue_skipped_without_format").when(F.size("fields") != F.size("names"), "ass_dialogue_field_mismatch").when(F.col("start").isNull() | F.col("stop").isNull(), "ass_dialogue_time_invalid").when(F.col("text") == "", "ass_empty_dialogue_skipped")
+    rows = rows.withColumn("why", why)
+    cue = F.when(F.col("why").isNull(), F.sum(F.col("why").isNull().cast("int")).over(before).cast("int"))
+    good = lambda c: F.when(F.col("why").isNull(), c)
+    out = rows.select("path", F.lit("ass").alias("format"), cue.alias("cue"), "source_line", good(F.col("start")).alias("start"), good(F.greatest("start", "stop")).alias("end"), good(F.col("text")).alias("text"), good(F.col("raw")).alias("raw"), good(F.col("speaker")).alias("speaker"), F.concat("why", F.lit(":line="), F.col("source_line").cast("string")).alias("warning"))
+    empty = files.select("path").join(rows.filter("why is null").select("path").distinct(), "path", "left_anti")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cue", "int"), ("source_line", "int"), ("start", "double"), ("end", "double"), ("text", "string"), ("raw", "string"), ("speaker", "string"))]
+    return out.unionByName(empty.select("path", F.lit("ass").alias("format"), *none, F.lit("ass_no_usable_segments").alias("warning")))
+
+
 def cues(files: DataFrame) -> DataFrame:
     """files (path, text) as rows (path, format, cue, source_line, start, end, text, raw, speaker, warning), by the format of the suffix.
 
     A cue has a number from 1 and no warning; what is skipped has a warning and no number. A null text has no cue.
     """
-    return files.select("path", "text").mapInArrow(_parsed, "path string, format string, cue int, source_line int, start double, end double, text string, raw string, speaker string, warning string")
+    is_ass = F.lower(F.substring_index("path", ".", -1)) == "ass"
+    schema = "path string, format string, cue int, source_line int, start double, end double, text string, raw string, speaker string, warning string"
+    others = files.filter(~F.coalesce(is_ass, F.lit(False))).select("path", "text").mapInArrow(_parsed, schema)
+    return others.unionByName(_ass(files.filter(is_ass).select("path", "text")))
 
 
 def document(rows: DataFrame) -> DataFrame:

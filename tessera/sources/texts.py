@@ -7,16 +7,20 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.sources import media
 
 #: Encodings in order of trial.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "shift_jis")
-#: Elements of XHTML without text, annotations, and blocks.
+#: Elements of XHTML for the head and title, without text, annotations, and blocks.
+HEAD, TITLE = frozenset(["head"]), frozenset(["title"])
 SKIPPED = frozenset("script style svg math".split())
 RUBY = frozenset("rt rp".split())
 BLOCKS = frozenset("address article aside blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
@@ -58,36 +62,39 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(_decoded, "path string, text string, encoding string, warning string, error string")
 
 
-class _Xhtml(HTMLParser):
+class _Events(HTMLParser):
+    """A page as a table of events (step, tag, text): 1 opens the tag, -1 closes it, 0 is text or an image's alternative text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.text: list[str] = []
-        self.title: list[str] = []
-        self.open = dict.fromkeys(("head", "title", "skip", "ruby"), 0)
-
-    def _kinds(self, tag: str) -> list[str]:
-        return [k for k, has in (("head", tag == "head"), ("title", tag == "title"), ("skip", tag in SKIPPED), ("ruby", tag in RUBY)) if has]
+        self.rows: list[tuple[int, str, str]] = []
 
     def handle_starttag(self, tag, attrs):
-        for k in self._kinds(tag):
-            self.open[k] += 1
-        if tag == "br" or tag in BLOCKS:
-            self.text.append("\n")
-        alt = (dict(attrs).get("alt") or "").strip()
-        if tag == "img" and alt and not self.open["head"] and not self.open["skip"]:
-            self.text.append(f"\n[Image: {alt}]\n")
+        self.rows.append((1, tag, ""))
+        if tag == "img":
+            self.rows.append((0, tag, (dict(attrs).get("alt") or "").strip()))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS:
-            self.text.append("\n")
-        for k in self._kinds(tag):
-            self.open[k] = max(0, self.open[k] - 1)
+        self.rows.append((-1, tag, ""))
 
     def handle_data(self, data):
-        if self.open["title"]:
-            self.title.append(data)
-        if not (self.open["head"] or self.open["skip"] or self.open["ruby"]):
-            self.text.append(data)
+        self.rows.append((0, "", data))
+
+    def parse_marked_section(self, i, report=1):
+        """A declaration that the parser gives up on ends at its bracket, and the page goes on."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
+
+def _inside(rows: list[tuple[int, str, str]], tags: frozenset) -> list[bool]:
+    """Whether each event lies in an element of these tags. What closes more than is open counts for nothing."""
+    return [n > 0 for n in accumulate((step * (tag in tags) for step, tag, _ in rows), lambda n, step: max(0, n + step))]
 
 
 def tidy(text: str) -> str:
@@ -98,13 +105,19 @@ def tidy(text: str) -> str:
 
 def xhtml(page: str | None) -> tuple[str, str]:
     """text and title of a page."""
-    parser = _Xhtml()
-    try:
-        parser.feed(page or "")
-        parser.close()
-    except AssertionError:  # the parser gives up on some declarations
-        pass
-    return tidy("".join(parser.text)), tidy("".join(parser.title)).replace("\n", " ")
+    events = _Events()
+    events.feed(page or "")
+    events.close()
+    rows, text, title = events.rows, [], []
+    for (step, tag, said), head, named, skipped, ruby in zip(rows, *(_inside(rows, t) for t in (HEAD, TITLE, SKIPPED, RUBY))):
+        if step:
+            text.append("\n" if tag in BLOCKS or tag == "br" and step > 0 else "")
+        elif tag:
+            text.append(f"\n[Image: {said}]\n" if said and not (head or skipped) else "")
+        else:
+            title.append(said if named else "")
+            text.append("" if head or skipped or ruby else said)
+    return tidy("".join(text)), tidy("".join(title)).replace("\n", " ")
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +200,32 @@ def checked_entries(entries: DataFrame, most_entries: int = 4096, most_bytes: in
     whole = F.when(F.col("_n") > most_entries, "entry_count_limit_exceeded").when(F.col("_bytes") > most_bytes, "expanded_size_limit_exceeded")
     own = F.when(unsafe_path(candidate), "entry_path_unsafe").when(F.col("directory"), None).when(F.col("special"), "entry_type_unsupported").when(F.col("encrypted"), "entry_encrypted")
     own = own.when(F.col("size") > most_entry, "entry_size_limit_exceeded").when(F.col("size") / F.greatest("packed", F.lit(1)) > most_ratio, "compression_ratio_limit_exceeded")
-    rows = rows.withColumn("_code", F.coalesce(whole, own)).withColumn("_key", F.lower(F.translate("entry", "\\", "/")))
-    first = rows.filter("_code is null and not directory").groupBy("path", "_key").agg(F.min("pos").alias("_first"))
-    rows = rows.join(first, ["path", "_key"], "left")
-    code = F.coalesce("_code", F.when(~F.col("directory") & (F.col("pos") > F.col("_first")), "entry_path_collision"))
-    return rows.select(*entries.columns, code.alias("rejected"))
+    rows = rows.withColumn("_code", F.coalesce(whole, own)).withColumn("_key", _keys(F.regexp_replace("entry", r"[/\\\\]+$", "")))
+    met = _met(rows.filter("_code is null and not directory").select("path", "pos", "_key"))
+    rows = rows.join(met.withColumn("_met", F.lit(True)), ["path", "pos"], "left")
+    return rows.select(*entries.columns, F.coalesce("_code", F.when(F.col("_met"), "entry_path_collision")).alias("rejected"))
+
+
+@F.pandas_udf(StringType())
+def _keys(entries: pd.Series) -> pd.Series:
+    return entries.map(normal_path, na_action="ignore")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The entries (path, pos) of rows (path, pos, _key) that collide with an earlier one that passes: the same path, or one inside the other.
+
+    Only entries that meet any other at all are folded, in order; a container has few.
+    """
+    parts = F.split("_key", "/")
+    above = rows.select("path", F.col("pos").alias("low"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_key"))
+    pairs = above.join(rows, ["path", "_key"]).filter("low <> pos")
+    some = pairs.select("path", "pos").union(pairs.select("path", F.col("low").alias("pos"))).distinct()
+    lists = rows.join(some, ["path", "pos"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "_key"))).alias("e"))
+
+    def step(done: Column, x: Column) -> Column:
+        key = x["_key"]
+        meets = F.exists(done["kept"], lambda k: (k == key) | F.startswith(k, F.concat(key, F.lit("/"))) | F.startswith(key, F.concat(k, F.lit("/"))))
+        return F.struct(F.when(meets, done["kept"]).otherwise(F.concat(done["kept"], F.array(key))).alias("kept"), F.when(meets, F.concat(done["met"], F.array(x["pos"]))).otherwise(done["met"]).alias("met"))
+
+    none = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<int>").alias("met"))
+    return lists.select("path", F.explode(F.aggregate("e", none, step)["met"]).alias("pos"))

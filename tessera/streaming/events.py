@@ -11,8 +11,8 @@ from tessera.operators.joins import greatest_before
 def latest(events: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """The last event of each key. One aggregate with partial maxima: the same plan serves a stream in update mode."""
     rest = [c for c in events.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("last")
-    return events.groupBy(key).agg(last).select(key, *[F.col(f"last.{c}").alias(c) for c in rest])
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+    return events.groupBy(key).agg(last).select(key, *[F.col("_last").getField(c).alias(c) for c in rest])
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
