@@ -220,12 +220,12 @@ def _met(rows: DataFrame) -> DataFrame:
     above = rows.select("path", F.col("pos").alias("low"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_key"))
     pairs = above.join(rows, ["path", "_key"]).filter("low <> pos")
     some = pairs.select("path", "pos").union(pairs.select("path", F.col("low").alias("pos"))).distinct()
-    lists = rows.join(some, ["path", "pos"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "_key"))).alias("e"))
+    lists = rows.join(some, ["path", "pos"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "_key"))).alias("e"))
 
     def step(done: Column, x: Column) -> Column:
         key = x["_key"]
         meets = F.exists(done["kept"], lambda k: (k == key) | F.startswith(k, F.concat(key, F.lit("/"))) | F.startswith(key, F.concat(k, F.lit("/"))))
         return F.struct(F.when(meets, done["kept"]).otherwise(F.concat(done["kept"], F.array(key))).alias("kept"), F.when(meets, F.concat(done["met"], F.array(x["pos"]))).otherwise(done["met"]).alias("met"))
 
-    none = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<int>").alias("met"))
+    none = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<bigint>").alias("met"))
     return lists.select("path", F.explode(F.aggregate("e", none, step)["met"]).alias("pos"))
