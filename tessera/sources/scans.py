@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.joins import exactly_one
+from tessera.operators.order import placed
 from tessera.sources import media
 
 #: The season of everything that is no video, and names of videos cut or transcoded before.
@@ -174,3 +175,86 @@ def book_order(items: DataFrame, spine: DataFrame, entries: DataFrame) -> DataFr
     rows = rows.join(best, ["book", "kind"]).groupBy("book", "entry").agg(F.min("pos").alias("pos")).join(entries.select("book", "entry").distinct().withColumn("there", F.lit(True)), ["book", "entry"], "left")
     found = rows.filter("there").withColumn("chapter", F.row_number().over(Window.partitionBy("book").orderBy("pos", "entry"))).select("book", "chapter", "entry", F.lit(None).cast("string").alias("warning"))
     return found.unionByName(rows.filter("there is null").select("book", F.lit(None).cast("int").alias("chapter"), "entry", F.lit("epub_entry_missing").alias("warning")))
+
+
+#: Why a subtitle stands alone.
+ALIGNMENT = {"ambiguous": "timed_text_episode_alignment_ambiguous", "unmatched": "timed_text_episode_alignment_unmatched"}
+
+
+def _unit(path: Column, medium: Column) -> dict[str, Column]:
+    """What every unit has by its path: ids, handler options and metadata of its own."""
+    kind, timed = media.profile(path), media.suffix(path).isin(*media.TIMED_TEXT, *media.OTHER_TIMED_TEXT)
+    no = F.create_map().cast("map<string,string>")
+    options = F.map_concat(
+        F.create_map(F.lit("preview_support"), kind["preview_support"], F.lit("formal_support"), kind["formal_support"]),
+        F.when(medium == "audio", F.create_map(F.lit("transcript_candidate"), F.lit("true"))).otherwise(no),
+        F.when(timed, F.create_map(F.lit("timed_text_format"), F.substring(media.suffix(path), 2, 9), F.lit("speaker_policy"), F.lit("explicit_only"))).otherwise(no),
+    )
+    own = F.map_concat(F.create_map(F.lit("display_title"), name(path), F.lit("sort_key"), F.lower(path), F.lit("support_reason"), kind["reason"]), F.when(timed, F.create_map(F.lit("timed_text_supported"), media.suffix(path).isin(*media.TIMED_TEXT).cast("string"))).otherwise(no))
+    return {"unit_id": stable_id("unit", medium, path), "material_id": stable_id("material", medium, path), "handler_options": options, "own_metadata": own}
+
+
+def material_scan(files: DataFrame, indexed: DataFrame) -> DataFrame:
+    """A listing as one plan of units, all media: season_id, episode_id, episode_no, title, unit_no, unit_id, material_id, path, media_type, unit_kind,
+    content_form, page, fingerprint, handler_options, metadata, warnings.
+
+    indexed: path, hint, page_number, fingerprint, metadata (map of texts) of preprocessed files. Videos are episodes as of formal_scan, with
+    the subtitles that align to them; images are pages of their directory; all other files are episodes of their own. Episodes are
+    numbered by one pass over all: videos in order of season and episode, then the rest in natural order of medium and path. Of
+    metadata, what preprocessing says gives way to the unit's own, and that to what the scan found out. The same listing gives the same rows.
+    """
+    index = indexed.select("path", F.col("hint").alias("_hint"), F.col("page_number").alias("_page"), F.col("fingerprint").alias("_fingerprint"), F.col("metadata").alias("_metadata"))
+    medium = media.medium(F.col("path"))
+    videos = formal_scan(files)
+    others = active(files.filter(medium.isNotNull() & (medium != "video")).select("path"), index)
+    # An episode's id is its season's; both name it here.
+    of = F.concat_ws("/", "season_id", "episode_id")
+    alignment = aligned(others, videos.select(of.alias("episode_id"), "path", "episode_path"))
+    matched, failed = alignment.filter("status = 'matched'"), alignment.filter("status <> 'matched'").select("path", F.col("status").alias("_status"))
+    nothing = F.create_map().cast("map<string,string>")
+    text = lambda c: c.cast("string")
+
+    own = videos.select("season_id", "episode_id", "path", name(F.col("episode_path")).alias("title"), F.lit("video").alias("media_type"), F.lit("video_chunk").alias("unit_kind"), F.lit("unknown").alias("content_form"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("group"), F.col("chunk_id").alias("chunk"), nothing.alias("found"), F.lit(None).cast("string").alias("warning"))
+    episodes = videos.groupBy(of.alias("of")).agg(F.first("season_id").alias("season_id"), F.first("episode_id").alias("episode_id"), F.min(name(F.col("episode_path"))).alias("title"))
+    said = F.create_map(F.lit("associated_video_episode"), F.lit("true"), F.lit("matched_by"), F.col("rule"), F.lit("status"), F.lit("matched"))
+    attached = matched.withColumnRenamed("episode_id", "of").join(episodes, "of").select("season_id", "episode_id", "path", "title", F.lit("text").alias("media_type"), unit_kind(F.col("path")).alias("unit_kind"), F.lit("script").alias("content_form"), F.lit(None).cast("int").alias("page"), F.lit(1).alias("group"), F.lit("").alias("chunk"), said.alias("found"), F.lit(None).cast("string").alias("warning"))
+
+    pages = image_pages(others)
+    place = F.create_map(F.lit("chapter_path"), F.col("directory"), F.lit("page_number"), text(F.col("page")), F.lit("image_collection_size"), text(F.col("size")), F.lit("supported_page_count"), text(F.col("supported")), F.lit("manga_candidate"), text(F.col("supported") > 1))
+    images = pages.select(F.lit(GENERIC_SEASON).alias("season_id"), "episode_id", "path", name(F.col("directory")).alias("title"), F.lit("image").alias("media_type"), "unit_kind", "content_form", "page", F.lit(0).alias("group"), F.lit("").alias("chunk"), place.alias("found"), F.lit(None).cast("string").alias("warning"))
+
+    rest = others.filter(media.medium(F.col("path")) != "image").join(matched.select("path"), "path", "left_anti").join(failed, "path", "left")
+    reason = F.when(F.col("_status") == "ambiguous", ALIGNMENT["ambiguous"]).when(F.col("_status") == "unmatched", ALIGNMENT["unmatched"])
+    alone = F.when(reason.isNull(), nothing).otherwise(F.create_map(F.lit("status"), F.col("_status"), F.lit("reason"), reason))
+    singles = rest.select(F.lit(GENERIC_SEASON).alias("season_id"), stable_id("episode", medium, F.col("path")).alias("episode_id"), "path", name(F.col("path")).alias("title"), medium.alias("media_type"), unit_kind(F.col("path")).alias("unit_kind"), content_form(F.col("path"), F.col("_hint")).alias("content_form"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("group"), F.lit("").alias("chunk"), alone.alias("found"), reason.alias("warning"))
+
+    units = own.unionByName(attached).unionByName(images).unionByName(singles)
+    sort_key = F.concat(F.col("media_type"), F.lit(":"), F.lower(F.when(F.col("media_type") == "image", parent(F.col("path"))).otherwise(F.col("path"))))
+    firsts = units.filter("group = 0").groupBy("season_id", "episode_id").agg(F.min(F.when(F.col("season_id") == GENERIC_SEASON, sort_key)).alias("key"))
+    numbered = placed(firsts, [F.col("key").isNotNull(), F.when(F.col("key").isNull(), F.col("season_id")), F.when(F.col("key").isNull(), F.col("episode_id")), T.natural_key(F.col("key")), F.col("key"), F.col("episode_id")], name="episodes")
+    by = Window.partitionBy("season_id", "episode_id").orderBy("group", "chunk", F.col("page").asc_nulls_first(), T.natural_key(F.col("path")), "path")
+    ids = _unit(F.col("path"), F.col("media_type"))
+    out = units.withColumn("unit_no", F.row_number().over(by)).join(numbered.select("season_id", "episode_id", F.col("place").alias("episode_no")), ["season_id", "episode_id"]).join(index, "path", "left")
+    known = F.coalesce("_metadata", nothing)
+    return out.select(
+        "season_id", "episode_id", "episode_no", "title", "unit_no", ids["unit_id"].alias("unit_id"), ids["material_id"].alias("material_id"), "path", "media_type", "unit_kind", "content_form", F.coalesce("page", F.col("_page").cast("int")).alias("page"), F.coalesce("_fingerprint", F.lit("")).alias("fingerprint"), ids["handler_options"].alias("handler_options"),
+        T.merged(T.merged(known, ids["own_metadata"]), F.col("found")).alias("metadata"), F.filter(F.array("warning"), lambda w: w.isNotNull()).alias("warnings"),
+    )
+
+
+def episode_paths(units: DataFrame, episodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Per episode (season_id, episode_id, episode_path) the paths to read: those of its units' files that are there, in order, else its own path if that is there."""
+    there = files.select("path").distinct()
+    chunks = units.filter("media_type = 'video'").join(there, "path", "left_semi").groupBy("season_id", "episode_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "path"))), lambda x: x["path"]).alias("paths"))
+    own = there.select(F.col("path").alias("episode_path"), F.array("path").alias("own"))
+    rows = episodes.select("season_id", "episode_id", "episode_path").distinct().join(chunks, ["season_id", "episode_id"], "left").join(own, "episode_path", "left")
+    return rows.select("season_id", "episode_id", F.coalesce("paths", "own", F.array().cast("array<string>")).alias("paths"))
+
+
+def uncovered(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """files (path) that no root (path) covers, by being it or a directory above it. Each path is joined by its own ancestors, never with all roots."""
+    flat = lambda c: F.regexp_replace(F.translate(c, "\\", "/"), "/+$", "")
+    parts = F.split(flat(F.col("path")), "/")
+    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("_above"))
+    shadowed = above.join(roots.select(flat(F.col("path")).alias("_above")).distinct(), "_above", "left_semi").select("path").distinct()
+    return files.join(shadowed, "path", "left_anti")

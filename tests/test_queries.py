@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tessera.plans import archive_queries, evidence_queries, payload_queries, queries, run_queries, scan_queries, store_queries, stream_queries, value_queries  # noqa: F401
+from tessera.plans import archive_queries, evidence_queries, payload_queries, plan_queries, queries, run_queries, scan_queries, store_queries, stream_queries, value_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
