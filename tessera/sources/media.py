@@ -54,13 +54,21 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/\\](\.[^./\\]+)$", 1))
 
 
+def _known(path: Column, values: dict[str, Column]) -> Column:
+    """The value of a path's suffix, which is worked out once and looked up; null for others."""
+    return F.try_element_at(F.create_map(*[x for s, v in values.items() for x in (F.lit(s), v)]), suffix(path))
+
+
+#: The first profile that fits each suffix.
+_BY_SUFFIX = {s: values for suffixes, values in reversed(PROFILES) for s in suffixes}
+
+
 def profile(path: Column) -> Column:
     """(media_type, content_form_hint, import_supported, preview_support, formal_support, reason) of a path or suffix."""
-    s = F.when(F.rlike(path, F.lit(r"^\.[^./\\]+$")), F.lower(path)).otherwise(suffix(path))
-    out = F.when(s == "", _profile(None, "unknown", True, "unsupported", "extensionless_source_unclassified"))
-    for suffixes, values in PROFILES:
-        out = out.when(s.isin(*suffixes), _profile(*values))
-    return out.otherwise(_profile(None, "unknown", False, "unsupported", "unknown_source_suffix"))
+    # A suffix alone becomes a path of that suffix.
+    named = F.when(F.rlike(path, F.lit(r"^\.[^./\\]+$")), F.concat(F.lit("_"), path)).otherwise(path)
+    other = F.when(suffix(named) == "", _profile(None, "unknown", True, "unsupported", "extensionless_source_unclassified")).otherwise(_profile(None, "unknown", False, "unsupported", "unknown_source_suffix"))
+    return F.coalesce(_known(named, {s: _profile(*v) for s, v in _BY_SUFFIX.items()}), other)
 
 
 def medium(path: Column) -> Column:
@@ -70,11 +78,8 @@ def medium(path: Column) -> Column:
 
 def container(path: Column) -> Column:
     """(suffix, toolchain, state, preprocessor_key, display_name_key) of a container format, else null."""
-    out, s = F.lit(None).cast("struct<suffix:string,toolchain:string,state:string,preprocessor_key:string,display_name_key:string>"), suffix(path)
-    for name, (tools, key, label) in CONTAINERS.items():
-        row = F.struct(F.lit(name).alias("suffix"), F.lit(tools).alias("toolchain"), F.lit("enabled").alias("state"), F.lit(key).alias("preprocessor_key"), F.lit(label).alias("display_name_key"))
-        out = F.when(s == name, row).otherwise(out)
-    return out
+    row = lambda name, tools, key, label: F.struct(F.lit(name).alias("suffix"), F.lit(tools).alias("toolchain"), F.lit("enabled").alias("state"), F.lit(key).alias("preprocessor_key"), F.lit(label).alias("display_name_key"))
+    return _known(path, {name: row(name, *values) for name, values in CONTAINERS.items()})
 
 
 def project_input(path: Column) -> Column:

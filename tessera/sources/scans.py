@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.joins import exactly_one
-from tessera.operators.order import placed
+from tessera.operators.order import placed, written
 from tessera.sources import media
 
 #: The season of everything that is no video, and names of videos cut or transcoded before.
@@ -205,11 +205,12 @@ def material_scan(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """
     index = indexed.select("path", F.col("hint").alias("_hint"), F.col("page_number").alias("_page"), F.col("fingerprint").alias("_fingerprint"), F.col("metadata").alias("_metadata"))
     medium = media.medium(F.col("path"))
-    videos = formal_scan(files)
-    others = active(files.filter(medium.isNotNull() & (medium != "video")).select("path"), index)
+    # Each of these is read several times.
+    videos = written(formal_scan(files), "videos")
+    others = written(active(files.filter(medium.isNotNull() & (medium != "video")).select("path"), index), "others")
     # An episode's id is its season's; both name it here.
     of = F.concat_ws("/", "season_id", "episode_id")
-    alignment = aligned(others, videos.select(of.alias("episode_id"), "path", "episode_path"))
+    alignment = written(aligned(others, videos.select(of.alias("episode_id"), "path", "episode_path")), "alignment")
     matched, failed = alignment.filter("status = 'matched'"), alignment.filter("status <> 'matched'").select("path", F.col("status").alias("_status"))
     nothing = F.create_map().cast("map<string,string>")
     text = lambda c: c.cast("string")
@@ -228,7 +229,7 @@ def material_scan(files: DataFrame, indexed: DataFrame) -> DataFrame:
     alone = F.when(reason.isNull(), nothing).otherwise(F.create_map(F.lit("status"), F.col("_status"), F.lit("reason"), reason))
     singles = rest.select(F.lit(GENERIC_SEASON).alias("season_id"), stable_id("episode", medium, F.col("path")).alias("episode_id"), "path", name(F.col("path")).alias("title"), medium.alias("media_type"), unit_kind(F.col("path")).alias("unit_kind"), content_form(F.col("path"), F.col("_hint")).alias("content_form"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("group"), F.lit("").alias("chunk"), alone.alias("found"), reason.alias("warning"))
 
-    units = own.unionByName(attached).unionByName(images).unionByName(singles)
+    units = written(own.unionByName(attached).unionByName(images).unionByName(singles), "units")
     sort_key = F.concat(F.col("media_type"), F.lit(":"), F.lower(F.when(F.col("media_type") == "image", parent(F.col("path"))).otherwise(F.col("path"))))
     firsts = units.filter("group = 0").groupBy("season_id", "episode_id").agg(F.min(F.when(F.col("season_id") == GENERIC_SEASON, sort_key)).alias("key"))
     numbered = placed(firsts, [F.col("key").isNotNull(), F.when(F.col("key").isNull(), F.col("season_id")), F.when(F.col("key").isNull(), F.col("episode_id")), T.natural_key(F.col("key")), F.col("key"), F.col("episode_id")], name="episodes")
