@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessera.operators import nesting
 from tessera.plans import run_queries, scan_queries  # noqa: F401  (their SQL)
 from tessera.plans.registry import ORACLES, query
 from tessera.sources import media, scans
@@ -40,3 +42,36 @@ def s18(spark, d):
     single = files.filter((number % 7 == 0) & (number % 3 == 1)).select("path")
     roots = spark.createDataFrame([("dir1/",), ("Dir2\\sub",), ("derived_inputs/x3",), ("dir",)], "path string").unionByName(single)
     return scans.uncovered(files, roots)
+
+
+_LEVELS = [(["season_id"], "episodes"), (["episode_id"], "units")]
+_UNITS = """u AS (SELECT o_custkey AS season_id, l_orderkey AS episode_id, l_linenumber AS n, l_returnflag AS media, 'p' || l_partkey AS path, l_orderkey * 10 + l_linenumber AS o FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _units(spark, d):
+    orders, lines = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(F.col("o_custkey").alias("season_id"), F.col("l_orderkey").alias("episode_id"), F.col("l_returnflag").alias("media"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), "l_returnflag").alias("at"))
+
+
+@query("p25_manifest", f"""WITH {_UNITS}, e AS (SELECT season_id, episode_id, count(*) AS n, count(DISTINCT path) AS paths, min(o) AS o FROM u GROUP BY ALL)
+SELECT season_id, count(*) AS episode_count, sum(n)::BIGINT AS unit_count, string_agg(episode_id || ':' || n || ':' || paths, ',' ORDER BY o) AS episodes FROM e GROUP BY season_id""")
+def p25(spark, d):
+    rows = nesting.manifest(nesting.nest(_units(spark, d), _LEVELS, "at"))
+    told = F.array_join(F.transform("episodes", lambda e: F.concat_ws(":", e["episode_id"].cast("string"), e["unit_count"].cast("string"), F.size(e["paths"]).cast("string"))), ",")
+    return rows.select("season_id", F.col("episode_count").cast("long").alias("episode_count"), F.col("unit_count").cast("long").alias("unit_count"), told.alias("episodes"))
+
+
+@query("p31_handler_units", f"""WITH {_UNITS}, k AS (SELECT * FROM u WHERE media = 'R'), e AS (SELECT season_id, episode_id, string_agg(path, ',' ORDER BY o, path) AS paths FROM k GROUP BY ALL) SELECT season_id, episode_id, paths FROM e""")
+def p31(spark, d):
+    part = nesting.pruned(nesting.nest(_units(spark, d), _LEVELS, "at"), _LEVELS, lambda u: u["media"] == "R")
+    return part.select("season_id", F.explode("episodes").alias("e")).select("season_id", "e.episode_id", F.array_join(F.transform("e.units", lambda u: u["path"]), ",").alias("paths"))
+
+
+@query("a16_chunk_inputs", f"""WITH {_UNITS} SELECT season_id, episode_id, path, media, row_number() OVER (PARTITION BY season_id ORDER BY first, o, path, media) AS place FROM (SELECT *, min(o) OVER (PARTITION BY season_id, episode_id) AS first FROM u)""")
+def a16(spark, d):
+    nested = nesting.nest(_units(spark, d), _LEVELS, "at")
+    # The places of the nested lists, episode after episode.
+    flat = nested.select("season_id", F.posexplode("episodes").alias("i", "e")).select("season_id", "i", "e.episode_id", F.posexplode("e.units").alias("j", "u"))
+    place = F.row_number().over(Window.partitionBy("season_id").orderBy("i", "j")).cast("long")
+    return flat.select("season_id", "episode_id", "u.path", "u.media", place.alias("place"))
