@@ -31,32 +31,40 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = HEADINGS | {"p", "blockquote", "pre"}
-DROPPED = frozenset("nav footer aside form button select dialog menu script style noscript template svg iframe head title textarea object canvas audio video".split())
+DROPPED = frozenset("nav footer aside button select dialog menu script style noscript template svg iframe head title textarea object canvas audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 WHOLE = frozenset("ad ads adv nav navbar navigation menu header masthead banner hidden login signup toolbar pager search legal consent gdpr reply replies responses".split())
-BEGIN = re.compile(r"advert|sponsor|promo|breadcrumb|sidebar|cookie|notice|popup|modal|newsletter|subscri|share|social|related|recommend|comment|disqus|footer|pagination|widget|menu")
+BEGIN = re.compile(r"breadcrumb|sidebar|comment|disqus|footer|pagination|menu")
+#: Names that articles have too (social-studies, cookie-recipes): like a form, such a block is judged by what it holds.
+DOUBTFUL = re.compile(r"advert|sponsor|promo|cookie|notice|popup|modal|newsletter|subscri|share|social|related|recommend|widget")
+#: Doubtful elements inside each other that are judged; deeper ones are dropped.
+MOST_DOUBTS = 16
+#: Characters of paragraphs that a doubtful block must hold to be content, and how many times those of the page outside of it.
+LEAST, TIMES = 200, 2
 PARTS = re.compile(r"[^a-z0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-    """Whether an element is never content; inside an article, a header belongs to it."""
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> tuple[bool, bool]:
+    """Whether an element is never content (inside an article, a header belongs to it), and whether that is in doubt."""
+    doubt = tag == "form"
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return True, False
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value or ""):
-            return True
+            return True, False
         if name == "role" and (value or "").lower() in ROLES:
-            return True
+            return True, False
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for part in PARTS.split((value or "").lower()):
                 if part in WHOLE and not (inside and part in ("header", "banner")) or BEGIN.match(part):
-                    return True
-    return False
+                    return True, False
+                doubt = doubt or DOUBTFUL.match(part) is not None
+    return False, doubt
 
 
 class _Line(NamedTuple):
-    """A block's text, its tags, characters of links, whether nothing drops it, its element, and whether that is a heading or paragraph."""
+    """A block's text, its tags, characters of links, whether nothing drops it, its element, whether that is a heading or paragraph, and the doubtful elements around it."""
 
     text: str
     tags: int
@@ -64,6 +72,7 @@ class _Line(NamedTuple):
     kept: bool
     element: int
     prose: bool
+    doubts: tuple[int, ...]
 
 
 class _Lines(HTMLParser):
@@ -82,6 +91,8 @@ class _Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = self.dropped = self.linked = 0
         self.whole: set[int] = set()
+        #: Doubtful elements that are open.
+        self.doubts: tuple[int, ...] = ()
 
     @property
     def block(self) -> int:
@@ -92,15 +103,17 @@ class _Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 block = self.block
-                self.lines.append(_Line(text, max(1, self.tags), self.linked, not self.dropped, block, self.tag[block] in PROSE))
+                self.lines.append(_Line(text, max(1, self.tags), self.linked, not self.dropped, block, self.tag[block] in PROSE, self.doubts))
             self.text, self.tags, self.linked = [], 0, 0
 
     def pop(self, at: int):
-        for tag, drop, block in self.stack[at:]:
+        for tag, drop, block in reversed(self.stack[at:]):
             self.dropped -= drop
             self.open[tag] -= 1
             if tag not in INLINE:
                 self.end[block] = len(self.lines)
+                if self.doubts and self.doubts[-1] == block:
+                    self.doubts = self.doubts[:-1]
         del self.stack[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -120,7 +133,8 @@ class _Lines(HTMLParser):
                     break
                 if open_tag not in INLINE and open_tag not in HEADINGS:
                     break
-        drop = _boilerplate(tag, attrs, self.open["article"] + self.open["main"] > 0)
+        drop, doubt = _boilerplate(tag, attrs, self.open["article"] + self.open["main"] > 0)
+        drop = drop or doubt and inline
         if drop and inline:
             self.text.append(" ")
             self.flush()
@@ -133,6 +147,9 @@ class _Lines(HTMLParser):
             block = len(self.parent) - 1
             if tag in ("article", "main"):
                 self.whole.add(block)
+            if doubt and len(self.doubts) < MOST_DOUBTS:
+                self.doubts += (block,)
+            drop = drop or doubt and block not in self.doubts[-1:]
         self.stack.append((tag, drop, block))
         self.open[tag] += 1
         self.dropped += drop
@@ -155,10 +172,30 @@ class _Lines(HTMLParser):
         if self.open["a"] and not any(self.open[h] for h in HEADINGS):
             self.linked += len(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A declaration that the parser gives up on ends at its bracket, and the page goes on."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i) + 1 or -1
+
     def done(self):
         self.flush()
         self.pop(0)
         self.end[0] = len(self.lines)
+        self.judge()
+
+    def judge(self):
+        """Doubtful elements are content where nearly all of the page's paragraphs are theirs, and, if it has an article, within it or around it."""
+        held, total = Counter(), 0
+        for line in self.lines:
+            if line.kept and line.prose:
+                size = len(line.text) - line.linked
+                held.update(dict.fromkeys(line.doubts, size))
+                total += size
+        inside = lambda a, b: self.begin[b] <= self.begin[a] and self.end[a] <= self.end[b]
+        good = {e for e, n in held.items() if n >= LEAST and n > TIMES * (total - n) and (not self.whole or any(inside(e, w) or inside(w, e) for w in self.whole))}
+        self.lines = [line._replace(kept=line.kept and good.issuperset(line.doubts)) for line in self.lines]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -238,7 +275,18 @@ def main_text(html: str | None) -> str:
     high = level >= threshold(level)
     region = _region(page, high)
     gone = _menus(page, high, region)
-    return "\n".join(page.lines[i].text for i in range(page.begin[region], page.end[region]) if page.lines[i].kept and i not in gone)
+    return "\n".join(page.lines[i].text for i in [*_title(page, region), *range(page.begin[region], page.end[region])] if page.lines[i].kept and i not in gone)
+
+
+def _title(page: _Lines, region: int) -> list[int]:
+    """The title of an article that has none itself: the h1 before it in the main or article around it."""
+    is_title = lambda i: page.tag[page.lines[i].element] == "h1"
+    around = page.parent[region]
+    while around and around not in page.whole:
+        around = page.parent[around]
+    if region not in page.whole or not around or any(map(is_title, range(page.begin[region], page.end[region]))):
+        return []
+    return [i for i in range(page.begin[around], page.begin[region]) if is_title(i)]
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

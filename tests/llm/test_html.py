@@ -99,3 +99,40 @@ def test_deep_nesting_takes_time_in_proportion():
     took(100)
     assert took(40_000) < 8 * took(10_000) + 0.5
     assert html.main_text("<div>" * 200_000 + f"<p>{LONG}</p>" + "</x>" * 200_000) == LONG
+
+
+def paragraphs(n=6):
+    return "".join(f"<p>{i} {LONG}</p>" for i in range(n))
+
+
+SAID = [f"{i} {LONG}" for i in range(6)]
+
+
+def test_page_goes_on_after_a_bad_declaration():
+    assert html.main_text(f"<body><div><h1>Title</h1><![x y><p>0 {LONG}</p><!y [z]><p>1 {LONG}</p></div></body>").split("\n") == ["Title", *SAID[:2]]
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = f"<body><form action=x><nav>menu</nav><div><h1>Title</h1>{paragraphs()}</div><div class=social-links>Share it</div></form><footer>foot</footer></body>"
+    assert html.main_text(page).split("\n") == ["Title", *SAID]
+    small = f"<body><div><h1>Title</h1>{paragraphs()}</div><form><p>Your mail address, which we need for a reply to you.</p><input></form></body>"
+    assert html.main_text(small).split("\n") == ["Title", *SAID]
+
+
+def test_doubtful_names_are_judged_by_what_they_hold():
+    for name in ("social-studies", "cookie-recipes", "notice-board", "shared"):
+        assert html.main_text(f"<body><div>Home</div><article><div class={name}><h1>Title</h1>{paragraphs()}</div></article></body>").split("\n") == ["Title", *SAID]
+        beside = f"<body><article><h1>Title</h1><p>Short one.</p></article><div class={name}>{paragraphs()}</div></body>"
+        assert html.main_text(beside).split("\n") == ["Title", "Short one."]
+        assert html.main_text(f"<body><div><h1>Title</h1>{paragraphs()}<div class={name}><p>{LONG}</p></div></div></body>").split("\n") == ["Title", *SAID]
+    assert html.main_text(f"<body><div class=comments>{paragraphs()}</div></body>") == ""
+    deep = "<div class=social>" * 40 + f"<p>{LONG}</p>" * 9
+    assert html.main_text(deep) == ""
+
+
+def test_a_title_beside_the_article_stays():
+    for head in ("<h1>Title</h1>", "<header><h1>Title</h1></header>"):
+        page = f"<body><header><h1>Site</h1></header><main>{head}<article>{paragraphs()}</article><section class=comments><p>{LONG}</p></section></main></body>"
+        assert html.main_text(page).split("\n") == ["Title", *SAID]
+    own = f"<body><main><h1>List</h1><article><h1>Title</h1>{paragraphs()}</article></main></body>"
+    assert html.main_text(own).split("\n")[0] == "Title"
