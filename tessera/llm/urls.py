@@ -2,8 +2,9 @@
 
 Features of a URL: lengths, path depth, digit ratio, character entropy, parameter count, hyphens and labels of
 the host, and statistics of the host's suffix and of the path's first part (their share of the labelled URLs, and of
-those blocked). The statistics are counted over all labelled URLs. The trees are Spark ML's, fitted on at most SAMPLE distinct labelled URLs, those with
-the smallest hashes.
+those blocked). The statistics are counted over all labelled URLs; for a URL that the trees are fitted on, without those of its
+own fold of hosts, so that no label is in a feature of its own. The trees are Spark
+ML's, fitted on at most SAMPLE distinct labelled URLs, those with the smallest hashes.
 
 Labelled URLs are an argument. The table of pages has none, so the query takes as labels what the list rules say of
 the URLs that they fit; README.md has the precision and recall on hosts that were held out.
@@ -25,6 +26,8 @@ SAMPLE = 20_000
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Suffixes or first parts, of those with labels, whose statistics are sent to every executor.
 MOST_SENT = 100_000
+#: Folds of hosts: a URL that is fitted on has the statistics of the other folds.
+FOLDS = 5
 FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels", "longest_label", "suffix_share", "suffix_blocked", "head_share", "head_blocked")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,19 +82,26 @@ def model_of(labelled: DataFrame, sample: int = SAMPLE):
     if not every.n or every.n_bad in (0, every.n):
         return lambda rows: rows.withColumn("bad", F.lit(1.0 if every.n and every.n_bad else 0.0))
     rate, tables = every.n_bad / every.n, {}
+    known = known.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
     for key in ("suffix", "head"):
-        stats = known.groupBy(key).agg((F.count("*") / every.n).alias(f"{key}_share"), ((F.sum("bad") + rate) / (F.count("*") + 1)).alias(f"{key}_blocked"))
+        # At most FOLDS rows a key.
+        folds = known.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+        stats = folds.groupBy(key).agg(F.sum("n").alias(f"{key}_n"), F.sum("bad").alias(f"{key}_bad"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "bad")))).alias(f"{key}_folds"))
         stats = settle(stats, key)
         tables[key] = F.broadcast(stats) if stats.count() <= MOST_SENT else stats
 
-    def full(rows: DataFrame) -> DataFrame:
+    def full(rows: DataFrame, own: bool = False) -> DataFrame:
+        """rows with the statistics of their keys; own: without what the labels of a row's own fold, and so its own label, add."""
         for key, stats in tables.items():
-            rows = rows.join(stats, key, "left").fillna({f"{key}_share": 0.0, f"{key}_blocked": rate})
+            rows = rows.join(stats, key, "left")
+            mine = F.try_element_at(f"{key}_folds", "fold") if own else F.lit(None).cast("struct<n:bigint,bad:double>")
+            n, bad = (F.coalesce(F.col(f"{key}_{c}"), F.lit(0)) - F.coalesce(mine[c], F.lit(0)) for c in ("n", "bad"))
+            rows = rows.withColumns({f"{key}_share": n / every.n, f"{key}_blocked": (bad + rate) / (n + 1)})
         return rows
 
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     drawn = settle(known.orderBy(F.xxhash64("url"), "url").limit(sample), "drawn")
-    trees = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=10, maxDepth=3, seed=7).fit(assembler.transform(full(drawn)).select("features", "bad"))
+    trees = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=10, maxDepth=3, seed=7).fit(assembler.transform(full(drawn, own=True)).select("features", "bad"))
     return lambda rows: trees.transform(assembler.transform(full(lexical(rows)))).withColumn("bad", F.col("prediction"))
 
 
