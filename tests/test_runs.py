@@ -37,12 +37,12 @@ def test_copy_policies_and_packages(spark):
 
 
 def test_aligned_subtitles(spark):
-    videos = spark.createDataFrame([("e1", "a/One.mp4"), ("e2", "a/two.mp4"), ("e3", "b/x.mkv")], "episode_id string, path string")
+    videos = spark.createDataFrame([("e1", "a/One.mp4", "a/One.mp4"), ("e2", "a/two.mp4", "a/two.mp4"), ("e3", "b/x.mkv", "b")], "episode_id string, path string, episode_path string")
     files = spark.createDataFrame([("a/one.SRT",), ("b/any.ass",), ("c/none.vtt",), ("b/note.txt",)], "path string")
     got = {r.path: (r.episode_id, r.status, r.rule) for r in scans.aligned(files, videos).collect()}
-    assert got == {"a/one.SRT": (None, "ambiguous", None), "b/any.ass": ("e3", "matched", "same_episode_directory"), "c/none.vtt": (None, "unmatched", None)}
+    assert got == {"a/one.SRT": ("e1", "matched", "same_stem"), "b/any.ass": ("e3", "matched", "same_episode_directory"), "c/none.vtt": (None, "unmatched", None)}
     units, alone = scans.attached(files, scans.aligned(files, videos))
-    assert [(r.episode_id, r.path, r.unit_kind) for r in units.collect()] == [("e3", "b/any.ass", "subtitle_text")] and sorted(r.path for r in alone.collect()) == ["a/one.SRT", "b/note.txt", "c/none.vtt"]
+    assert sorted((r.episode_id, r.path, r.unit_kind) for r in units.collect()) == [("e1", "a/one.SRT", "subtitle_text"), ("e3", "b/any.ass", "subtitle_text")] and sorted(r.path for r in alone.collect()) == ["b/note.txt", "c/none.vtt"]
 
 
 def test_container_entries(spark):
