@@ -305,9 +305,9 @@ def clean(text: Column, limit: int) -> Column:
 def safe_metadata(values: Column, limit: int = 300) -> Column:
     """A map of texts without blank keys, values of sensitive keys hidden, others cleaned; of keys that are equal when trimmed, the last."""
     entries = F.filter(F.transform(F.map_entries(values), lambda e: F.struct(strip(e["key"]).alias("key"), e["value"].alias("value"))), lambda e: e["key"] != "")
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], F.when(sensitive_key(e["key"]), "<redacted>").otherwise(clean(e["value"], limit)))))
+    last = lambda es, keys: F.filter(es, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    kept = let(entries, lambda es: let(F.transform(es, lambda e: e["key"]), lambda keys: last(es, keys)))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], F.when(sensitive_key(e["key"]), "<redacted>").otherwise(clean(e["value"], limit)))))
 
 
 def safe_list(items: Column, most: int = 20, limit: int = 160) -> Column:
