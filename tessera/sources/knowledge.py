@@ -7,7 +7,7 @@ Filters on these columns, pushed down or given as options of the same names, kee
 
 Writing puts each target beside its place under a name of the task; commit moves all of them there (an older file becomes the backup), and
 abort, or a task that fails, leaves no target. An existing target is kept unless the option overwrite is true; the option log
-names a folder for a row (target, status) of each.
+names a folder for a row (target, status) of each. The driver moves the targets, so it holds their names: write what one run publishes, not a corpus.
 
 Defined results: a file that is no JSON object, a null text included, is a row like any other, told apart by current(); null ids: the
 file lies above that level; a row whose kind lacks an id it needs is refused.
