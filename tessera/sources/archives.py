@@ -17,7 +17,6 @@ import stat
 import zipfile
 import zlib
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 from urllib.parse import unquote, urlsplit
 from xml.etree import ElementTree
 
