@@ -7,6 +7,10 @@ item in a task. Lists of one episode or season are its own result, so they are c
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +184,37 @@ def assembled(rows: DataFrame, asked: DataFrame, joiner: str = "; ") -> DataFram
     return out.select(*EPISODE, F.coalesce(F.array_join("parts", joiner), F.lit("")).alias("summary"), "evidence_count", F.coalesce("conflicts", F.array().cast(_LIST)).alias("conflicts"))
 
 
+def _chained(joiners: tuple[bytes, bytes]):
+    """SHA-256 of what two list columns hold up to each row: a running hash of each, read out at every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, begun = [hashlib.sha256(), hashlib.sha256()], [False, False]
+        for batch in batches:
+            out = [[], []]
+            for i, c in enumerate(("parts", "new_conflicts")):
+                for items in batch.column(c):
+                    for item in items.as_py():
+                        if begun[i]:
+                            hashes[i].update(joiners[i])
+                        hashes[i].update(item.encode())
+                        begun[i] = True
+                    out[i].append(hashes[i].hexdigest())
+            kept = [batch.column(c) for c in (*EPISODE, "place", "evidence_count", "n_conflicts")]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, out)], names=[*EPISODE, "place", "evidence_count", "n_conflicts", "summary", "conflicts"])
+
+    return run
+
+
+def digests(rows: DataFrame, joiner: str = "; ", between: str = " | ") -> DataFrame:
+    """The whole states of a timeline as SHA-256 of their texts: season_id, episode_id, place, evidence_count, n_conflicts, summary, conflicts.
+
+    No state's text is built: what each row adds is hashed once, in order, so work and disk grow with the timeline. A SHA-256 is a chain over
+    all bytes before it, so one task follows it, a batch at a time.
+    """
+    ordered = rows.select(*EPISODE, "place", "evidence_count", "n_conflicts", "parts", "new_conflicts").repartition(1).sortWithinPartitions("place")
+    return ordered.mapInArrow(_chained((joiner.encode(), between.encode())), "season_id string, episode_id string, place long, evidence_count long, n_conflicts long, summary string, conflicts string")
+
+
 def states(contents: DataFrame, terms: list[str]) -> DataFrame:
     """The whole state of a character after each episode that adds evidence: summary, evidence_count, conflicts (distinct so far)."""
     rows = timeline(contents, terms)
@@ -197,6 +232,12 @@ def season_states(rows: DataFrame) -> DataFrame:
     return seasons.select("season_id", "n_states").join(assembled(rows, rows.join(seasons.select("place"), "place")), "season_id").select("season_id", "n_states", "episode_id", "summary", "evidence_count", "conflicts")
 
 
+def season_digests(rows: DataFrame) -> DataFrame:
+    """Per season of a timeline: the number of states and the last one, as of digests."""
+    last = F.max_by(F.struct("episode_id", "evidence_count", "summary", "conflicts"), "place")
+    return digests(rows).groupBy("season_id").agg(F.count("*").alias("n_states"), last.alias("s")).select("season_id", "n_states", "s.*")
+
+
 def final_state(states_: DataFrame) -> DataFrame:
     """The last of whole states: parts of the summary trimmed and distinct, distinct conflicts; no row without a state."""
     order = F.struct(F.lower("season_id"), F.lower("episode_id"), *EPISODE)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -74,6 +75,22 @@ def test_one_character_in_many_episodes(spark):
     assert sorted((len(x.summary.split("; ")), len(x.conflicts)) for x in asked) == [(1, 1), (1500, 1000), (n, 1000)]
 
 
+def test_digests_are_those_of_whole_states(spark):
+    r = random.Random(3)
+    some = lambda: [r.choice(["ann met bob", " ann left ", "bob", "ann ä", "ann; twice"]) for _ in range(r.randrange(3))]
+    rows = [(f"s{i // 7}", f"e{i:03d}", some(), some(), some()) for i in range(60)]
+    timeline = evidence.timeline(contents(spark, rows), ["ann"])
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    want = {(s, e): (digest(text), n, len(cs), digest(" | ".join(cs))) for s, e, text, n, cs in fold(rows, "ann")}
+    assert {(x.season_id, x.episode_id): (x.summary, x.evidence_count, x.n_conflicts, x.conflicts) for x in evidence.digests(timeline).collect()} == want
+    assert {(x.season_id, x.episode_id): (x.summary, x.evidence_count, x.conflicts) for x in evidence.season_digests(timeline).collect()} == {k: (v[0], v[1], v[3]) for k, v in want.items() if k == max(x for x in want if x[0] == k[0])}
+    # Whole states of so many episodes would be 30 GB.
+    n = 30_000
+    many = spark.range(n).select(F.lit("S").alias("season_id"), F.format_string("e%06d", "id").alias("episode_id"), F.array(F.concat(F.lit("ann "), F.col("id").cast("string"), F.repeat(F.lit("x"), F.lit(60)))).alias("facts"), *[F.array().cast("array<string>").alias(c) for c in ("behavior_traits", "dialogue_style", "relationship_interactions", "character_state_changes", "conflicts")])
+    got = evidence.digests(evidence.timeline(many, ["ann"])).filter(F.col("place") == n).first()
+    assert got.summary == digest("; ".join(f"ann {i}" + "x" * 60 for i in range(n))) and got.conflicts == digest("")
+
+
 def preview_fold(rows):
     now, count, out = "", 0, []
     for s, e, facts, traits, _ in sorted(rows):
