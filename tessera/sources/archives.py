@@ -128,11 +128,15 @@ def _reader(most: int, keep: bool):
     return run
 
 
+def _with_wanted(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """files (path, content) that have wanted entries (path, pos), with their list."""
+    return files.select("path", "content").join(wanted.groupBy("path").agg(F.array_sort(F.collect_list("pos")).alias("wanted")), "path")
+
+
 def read(files: DataFrame, wanted: DataFrame, most: int = ENTRY_BYTES, keep: bool = True) -> DataFrame:
     """The wanted entries (path, pos) of files: path, pos, content (null without keep), size, sha256; nulls for one that can't be read within most bytes."""
-    lists = wanted.groupBy("path").agg(F.array_sort(F.collect_list("pos")).alias("wanted"))
     schema = "path string, pos int, content binary, size long, sha256 string"
-    return files.select("path", "content").join(lists, "path").mapInArrow(_reader(most, keep), schema)
+    return _with_wanted(files, wanted).mapInArrow(_reader(most, keep), schema)
 
 
 def extracted(files: DataFrame, **limits: int) -> DataFrame:
@@ -232,18 +236,20 @@ _TEXTS = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("text", pa.stri
 
 def _chapters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, pos, content in zip(batch.column("path"), batch.column("pos"), batch.column("content")):
-            raw, text, title, malformed = content.as_py(), None, None, None
-            state = "read_failed" if raw is None else "unsafe_declaration" if UNSAFE.search(raw) else ""
-            if not state:
-                page = _decoded(raw)
-                text, title = texts.xhtml(page)
-                try:
-                    malformed = ElementTree.fromstring(page) is None
-                except (ElementTree.ParseError, ValueError):
-                    malformed = True
-                state = "" if text else "empty"
-            yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "pos": pos.as_py(), "text": text, "title": title, "state": state, "malformed": malformed}], schema=_TEXTS)
+        for path, content, wanted in zip(batch.column("path"), batch.column("content"), batch.column("wanted")):
+            archive, infos = _opened(content.as_py())
+            for pos in wanted.as_py():
+                raw, text, title, malformed = _entry(archive, infos[pos], DOCUMENT_BYTES) if archive and pos < len(infos) else None, None, None, None
+                state = "read_failed" if raw is None else "unsafe_declaration" if UNSAFE.search(raw) else ""
+                if not state:
+                    page = _decoded(raw)
+                    text, title = texts.xhtml(page)
+                    try:
+                        malformed = ElementTree.fromstring(page) is None
+                    except (ElementTree.ParseError, ValueError):
+                        malformed = True
+                    state = "" if text else "empty"
+                yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "pos": pos, "text": text, "title": title, "state": state, "malformed": malformed}], schema=_TEXTS)
 
 
 def _capped(rows: DataFrame, most: int) -> DataFrame:
@@ -275,8 +281,7 @@ def books(files: DataFrame, most_text: int = TOTAL_BYTES, **limits: int) -> tupl
     drm = safe.join(locked.select("path"), "path", "left_anti").filter(F.lower("name").isin(*DRM)).select("path").distinct().withColumn("entry", F.lit(None).cast("string"))
     closed = locked.select("path").union(drm.select("path"))
     safe = written(safe.join(closed, "path", "left_anti").select("path", "pos", "name"), "safe")
-    lists = safe.groupBy("path").agg(F.array_sort(F.collect_list("pos")).alias("wanted"))
-    package = files.select("path", "content").join(lists, "path").mapInArrow(_packages, "path string, kind string, n int, id string, entry string, type string, linear string")
+    package = _with_wanted(files, safe).mapInArrow(_packages, "path string, kind string, n int, id string, entry string, type string, linear string")
     package = written(package, "package")
 
     items = package.filter("kind = 'item'")
@@ -295,7 +300,8 @@ def books(files: DataFrame, most_text: int = TOTAL_BYTES, **limits: int) -> tupl
     chosen = chosen.unionByName(fallback.select("path", "pos", F.col("name").alias("entry"), F.lit("path").alias("order"), F.struct(F.lit(0).alias("n"), F.lower("name").alias("key"), F.col("name").alias("entry")).alias("at")))
     chosen = written(chosen.withColumn("chapter", F.row_number().over(Window.partitionBy("path").orderBy("at"))).drop("at"), "chosen")
 
-    found = written(read(files, chosen, DOCUMENT_BYTES).mapInArrow(_chapters, "path string, pos int, text string, title string, state string, malformed boolean"), "texts")
+    # Entries are read and parsed in one worker: one that reads and hands on holds them twice.
+    found = written(_with_wanted(files, chosen).mapInArrow(_chapters, "path string, pos int, text string, title string, state string, malformed boolean"), "texts")
     rows = chosen.join(found, ["path", "pos"]).withColumn("bytes", F.octet_length("text").cast("long") + 1)
     fits = _capped(rows.filter("state = ''").select("path", "chapter", "bytes"), most_text)
     rows = rows.join(fits, ["path", "chapter"], "left")

@@ -2,6 +2,9 @@ import hashlib
 import io
 import zipfile
 
+import pyarrow as pa
+
+from tessera.plans import archive_queries
 from tessera.sources import archives, texts
 
 
@@ -108,3 +111,14 @@ def test_collisions_follow_what_passes(spark):
     got = [r.rejected for r in texts.checked_entries(rows).orderBy("pos").collect()]
     assert got == [None, "entry_path_collision", None, None, "entry_path_collision", "entry_path_collision"]
     assert archives.checked(frame(spark, [])).count() == 0
+
+
+def test_containers_are_packed_once_and_parsed_where_they_are_read(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    files = archive_queries._containers(docs, "b%06d.epub", archive_queries._book)
+    assert "FlatMapGroups" not in files._jdf.queryExecution().executedPlan().toString()
+    raw = files.filter("path = 'b000000.epub'").first().content
+    names = zipfile.ZipFile(io.BytesIO(raw)).namelist()
+    at = [names.index("text/c0.xhtml"), names.index("text/c3.xhtml")]
+    batch = pa.RecordBatch.from_pylist([{"path": "b", "content": bytes(raw), "wanted": at}])
+    assert [(r["pos"], r["text"], r["title"], r["state"]) for b in archives._chapters(iter([batch])) for r in b.to_pylist()] == [(at[0], "text 0", "T0", ""), (at[1], "text 3", "T3", "")]
