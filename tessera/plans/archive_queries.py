@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.order import written
 from tessera.plans.registry import query
 from tessera.sources import archives
 
@@ -34,7 +35,8 @@ def _packed(entries: Callable[[list[tuple]], list[tuple[str, str]]]):
 
 def _containers(docs: DataFrame, path: str, entries: Callable) -> DataFrame:
     block = F.floor(F.col("doc_id") / PER)
-    return docs.select(F.format_string(path, block).alias("path"), "doc_id", "text").groupBy("path").applyInArrow(_packed(entries), "path string, content binary")
+    # Written, as files would be: what reads them several times doesn't pack them again, and holds no packer's worker beside its own.
+    return written(docs.select(F.format_string(path, block).alias("path"), "doc_id", "text").groupBy("path").applyInArrow(_packed(entries), "path string, content binary"), "files")
 
 
 def _mixed(rows: list[tuple]) -> list[tuple[str, str]]:
