@@ -169,12 +169,14 @@ def book_order(items: DataFrame, spine: DataFrame, entries: DataFrame) -> DataFr
     items: book, pos, item_id, entry. spine: book, pos, item_id, linear. entries: book, entry (those in the container). Items that aren't
     linear stay out, a repeated entry counts once, one that the container lacks leaves a warning; a book without a usable spine takes its items' order.
     """
-    read = spine.filter(F.coalesce(F.lower("linear"), F.lit("yes")) != "no").join(items.select("book", "item_id", "entry"), ["book", "item_id"]).select("book", F.lit(0).alias("kind"), "pos", "entry")
-    rows = read.unionByName(items.select("book", F.lit(1).alias("kind"), "pos", "entry"))
-    best = rows.groupBy("book").agg(F.min("kind").alias("kind"))
-    rows = rows.join(best, ["book", "kind"]).groupBy("book", "entry").agg(F.min("pos").alias("pos")).join(entries.select("book", "entry").distinct().withColumn("there", F.lit(True)), ["book", "entry"], "left")
-    found = rows.filter("there").withColumn("chapter", F.row_number().over(Window.partitionBy("book").orderBy("pos", "entry"))).select("book", "chapter", "entry", F.lit(None).cast("string").alias("warning"))
-    return found.unionByName(rows.filter("there is null").select("book", F.lit(None).cast("int").alias("chapter"), "entry", F.lit("epub_entry_missing").alias("warning")))
+    read = spine.filter(F.coalesce(F.lower("linear"), F.lit("yes")) != "no").join(items.select("book", "item_id", "entry"), ["book", "item_id"]).select("book", "entry", F.lit(True).alias("read"), "pos")
+    rows = read.unionByName(items.filter("book is not null").select("book", "entry", F.lit(False).alias("read"), "pos"))
+    # Both orders of an entry in one row, so that nothing is joined with itself and each book is sorted once.
+    firsts = rows.groupBy("book", "entry").agg(F.bool_or("read").alias("read"), F.min(F.when(F.col("read"), F.col("pos"))).alias("by_spine"), F.min(F.when(~F.col("read"), F.col("pos"))).alias("by_item"))
+    known = firsts.join(entries.select("book", "entry").distinct().withColumn("there", F.lit(True)), ["book", "entry"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    known = known.withColumn("spine", F.max("read").over(Window.partitionBy("book"))).filter("read or not spine").withColumn("pos", F.when(F.col("spine"), F.col("by_spine")).otherwise(F.col("by_item")))
+    chapter = F.row_number().over(Window.partitionBy("book", "there").orderBy("pos", "entry"))
+    return known.withColumn("chapter", chapter).select("book", F.when(F.col("there"), F.col("chapter")).alias("chapter"), "entry", F.when(~F.col("there"), "epub_entry_missing").alias("warning"))
 
 
 #: Why a subtitle stands alone.

@@ -184,3 +184,17 @@ def test_dialogues_of_ass(spark):
 
 def test_page_goes_on_after_a_bad_declaration():
     assert texts.xhtml("<head><title>T</title></head><p>one</p><![x y><p>two <ruby>k<rt>no</rt></ruby></p><script>x</script></style><img alt='pic'/>") == ("one\n\ntwo k\n\n[Image: pic]", "T")
+
+
+def test_books_are_not_joined_with_themselves(spark):
+    items = spark.createDataFrame([("a", 1, "i1", "x"), ("a", 2, "i2", "y"), ("a", 3, "i3", "z"), ("b", 2, "i1", "x"), ("b", 1, "i2", "y"), (None, 1, "i1", "x")], "book string, pos int, item_id string, entry string")
+    spine = spark.createDataFrame([("a", 2, "i1", None), ("a", 1, "i2", "yes"), ("a", 3, "i3", "NO"), ("b", 1, "i1", "no")], "book string, pos int, item_id string, linear string")
+    got = scans.book_order(items, spine, spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "book string, entry string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [("a", 1, "x", None), ("a", None, "y", "epub_entry_missing"), ("b", 1, "y", None), ("b", 2, "x", None)]))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def test_white_space_and_secrets_of_any_form(spark):
+    values = ["  a\t\tb  c \u00a0d\u3000e ", "\n", "x sk-abcdefgh1 Bearer  t.k http://u:p@h/", "sk- Bearer ://", None]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(T.clean(F.col("v"), 99)).collect()]
+    assert got == ["a b c d e", "", "x sk-*** Bearer *** http://***:***@h/", "sk- Bearer ://", None]
