@@ -7,17 +7,17 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.order import placed, shared_dir
+from tessera.operators.order import placed, shared_dir, written
 from tessera.plans.registry import query
 from tessera.sources import knowledge as K
 
 
 def _saved(rows: DataFrame) -> DataFrame:
-    """rows written to a new knowledge base in the shared folder, and its files."""
+    """rows written to a new knowledge base in the shared folder, and its files, listed and read once."""
     spark = rows.sparkSession
     root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/kb-{uuid.uuid4().hex}"
     K.save(rows, root)
-    return K.store(spark, root)
+    return written(K.store(spark, root), "kb-files")
 
 
 def _place(kind: str, season=None, episode=None, item=None) -> list:

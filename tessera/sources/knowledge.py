@@ -19,6 +19,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,6 +46,8 @@ PLACES = {
 KEYS = ("kind", "project_id", "season_id", "episode_id", "item_id")
 PATTERNS = {kind: re.compile(re.sub(r"\\{(\w+)\\}", r"(?P<\1>[^/]+)", re.escape(place)) + r"(?P<backup>\.bak)?") for kind, place in PLACES.items()}
 _ROWS = pa.schema([*[(k, pa.string()) for k in KEYS], ("path", pa.string()), ("modified", pa.timestamp("us", tz="UTC")), ("backup", pa.bool_()), ("text", pa.string())])
+#: What a batch of files holds at most, unless one file is larger; targets moved at once.
+BATCH_BYTES, BATCH_FILES, MOVERS = 1 << 20, 1024, 16
 
 
 def _files(root: str):
@@ -101,6 +104,7 @@ class Reader(DataSourceReader):
         if not part.folder:
             return
         system, root = _files(self.root)
+        held, size = [], 0
         top = f"{root}/{part.project}/{part.folder}"
         one = system.get_file_info([top, f"{top}.bak"]) if part.folder.endswith(".json") else []
         for x, place in [(x, x.path.removeprefix(f"{root}/{part.project}/")) for x in one if x.is_file] or self._walk(system, top, part.folder):
@@ -117,9 +121,15 @@ class Reader(DataSourceReader):
                     except UnicodeDecodeError:
                         text = None
                     row = ids | {"path": f"{part.project}/{place}", "modified": x.mtime, "backup": bool(found["backup"]), "text": text}
-                    # A batch a file: a task holds one at a time.
-                    yield pa.RecordBatch.from_pylist([row], schema=_ROWS)
+                    held.append(row)
+                    size += len(raw)
+                    # Small files share a batch; a task holds so much, or one file, at a time.
+                    if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
+                        yield pa.RecordBatch.from_pylist(held, schema=_ROWS)
+                        held, size = [], 0
                 break
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_ROWS)
 
 
 class PushedReader(Reader):
@@ -151,7 +161,7 @@ class Writer(DataSourceWriter):
         from pyspark import TaskContext
 
         system, root = _files(self.root)
-        done, mark = [], f"{self.job}-{TaskContext.get().taskAttemptId()}"
+        done, made, mark = [], set(), f"{self.job}-{TaskContext.get().taskAttemptId()}"
         try:
             for row in rows:
                 ids = {k: row[k] for k in KEYS if k in row.__fields__}
@@ -164,7 +174,9 @@ class Writer(DataSourceWriter):
                     done.append((target, None))
                     continue
                 folder, _, name = target.rpartition("/")
-                system.create_dir(folder, recursive=True)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 done.append((target, f"{folder}/.{name}.{mark}"))
                 with system.open_output_stream(done[-1][1]) as f:
                     f.write((row["text"] or "").encode())
@@ -181,13 +193,20 @@ class Writer(DataSourceWriter):
 
     def commit(self, messages):
         system, _ = _files(self.root)
-        told = []
+        targets: dict[str, list] = {}
         for target, name in (x for m in messages if m for x in m.targets):
-            if name:
+            targets.setdefault(target, []).append(name)
+
+        def publish(target: str) -> list[dict]:
+            for name in filter(None, targets[target]):
                 if system.get_file_info(target).is_file:
                     system.move(target, f"{target}.bak")
                 system.move(name, target)
-            told.append({"target": target, "status": "written" if name else "target_exists"})
+            return [{"target": target, "status": "written" if name else "target_exists"} for name in targets[target]]
+
+        # Targets are moved beside each other, what several rows write to one in turn.
+        with ThreadPoolExecutor(MOVERS) as movers:
+            told = [x for one in movers.map(publish, targets) for x in one]
         if self.log:
             system.create_dir(self.log, recursive=True)
             with system.open_output_stream(f"{self.log}/{self.job}.json") as f:

@@ -104,3 +104,11 @@ def test_manifests_that_still_hold(spark):
     derived = spark.createDataFrame([("t/1.txt", 5, f1), ("t/2.txt", 6, f2), ("../1.txt", 5, f1)], "path string, size long, fingerprint string")
     got = {r.raw_path[4]: (r.manifest, r.reason) for r in K.reusable(manifests, sources, derived).collect()}
     assert got == {"x": ("m2", "reused"), "y": (None, "derived_files_changed"), "z": (None, "manifest_invalid"), "w": (None, "derived_files_changed"), "v": ("m8", "reused"), "u": (None, "manifest_missing")}
+
+
+def test_a_saved_knowledge_base_is_read_once(spark):
+    from tessera.plans import store_queries
+
+    rows = spark.createDataFrame([("episode_content", "p", "s", f"e{i}", None, "{}") for i in range(30)], "kind string, project_id string, season_id string, episode_id string, item_id string, text string")
+    files = store_queries._saved(rows)
+    assert files.count() == 30 and "knowledge_base" not in files._jdf.queryExecution().executedPlan().toString()
