@@ -25,7 +25,8 @@ def clip(text: Column, limit: int) -> Column:
 
 
 def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
+    # A single plain space stays as it is: it need not be replaced by itself.
+    return F.trim(F.regexp_replace(text, f"{BLANK}{{2,}}|{BLANK[:-1]}&&[^ ]]", " "))
 
 
 def _cut(flat: Column, limit: int) -> Column:
@@ -50,11 +51,16 @@ SENSITIVE_KEYS = ("access_key", "access_key_id", "access_token", "api_key", "api
 HIDDEN_KEYS = ("api_key", "apikey", "token", "secret", "password")
 
 
+def _replaced(text: Column, mark: str, pattern: str, by: str) -> Column:
+    """A pattern replaced; texts without the mark that each match holds aren't searched."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def redact(text: Column, secrets: tuple[str, ...] = (), proxy: tuple[str, str] | None = None) -> Column:
     """User information in URLs, bearer tokens and sk- keys masked; then a proxy's URL by its own masked form, and secrets of three characters or more."""
-    text = F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9+.-]*://)([^/\s:@]+(?::[^/\s@]*)?@)", "$1***:***@")
-    text = F.regexp_replace(text, r"(Authorization:\s*Bearer\s+|Bearer\s+)([A-Za-z0-9._~+/=-]+)", "$1***")
-    text = F.regexp_replace(text, r"\bsk-[A-Za-z0-9_-]{8,}\b", "sk-***")
+    text = _replaced(text, "://", r"([A-Za-z][A-Za-z0-9+.-]*://)([^/\s:@]+(?::[^/\s@]*)?@)", "$1***:***@")
+    text = _replaced(text, "Bearer", r"(Authorization:\s*Bearer\s+|Bearer\s+)([A-Za-z0-9._~+/=-]+)", "$1***")
+    text = _replaced(text, "sk-", r"\bsk-[A-Za-z0-9_-]{8,}\b", "sk-***")
     if proxy and all(proxy):
         text = F.replace(text, F.lit(proxy[0]), F.lit(proxy[1]))
     for secret in secrets:
