@@ -46,8 +46,8 @@ PLACES = {
 KEYS = ("kind", "project_id", "season_id", "episode_id", "item_id")
 PATTERNS = {kind: re.compile(re.sub(r"\\{(\w+)\\}", r"(?P<\1>[^/]+)", re.escape(place)) + r"(?P<backup>\.bak)?") for kind, place in PLACES.items()}
 _ROWS = pa.schema([*[(k, pa.string()) for k in KEYS], ("path", pa.string()), ("modified", pa.timestamp("us", tz="UTC")), ("backup", pa.bool_()), ("text", pa.string())])
-#: What a batch of files holds at most, unless one file is larger; targets moved at once.
-BATCH_BYTES, BATCH_FILES, MOVERS = 1 << 20, 1024, 16
+#: Targets moved at once.
+MOVERS = 16
 
 
 def _files(root: str):
@@ -104,7 +104,6 @@ class Reader(DataSourceReader):
         if not part.folder:
             return
         system, root = _files(self.root)
-        held, size = [], 0
         top = f"{root}/{part.project}/{part.folder}"
         one = system.get_file_info([top, f"{top}.bak"]) if part.folder.endswith(".json") else []
         for x, place in [(x, x.path.removeprefix(f"{root}/{part.project}/")) for x in one if x.is_file] or self._walk(system, top, part.folder):
@@ -121,15 +120,9 @@ class Reader(DataSourceReader):
                     except UnicodeDecodeError:
                         text = None
                     row = ids | {"path": f"{part.project}/{place}", "modified": x.mtime, "backup": bool(found["backup"]), "text": text}
-                    held.append(row)
-                    size += len(raw)
-                    # Small files share a batch; a task holds so much, or one file, at a time.
-                    if size >= BATCH_BYTES or len(held) >= BATCH_FILES:
-                        yield pa.RecordBatch.from_pylist(held, schema=_ROWS)
-                        held, size = [], 0
+                    # A batch a file: a task holds one at a time.
+                    yield pa.RecordBatch.from_pylist([row], schema=_ROWS)
                 break
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=_ROWS)
 
 
 class PushedReader(Reader):
