@@ -108,3 +108,21 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
 
     monkeypatch.setattr(common, "HOT", 3)
     test_edge_rows(spark, monkeypatch)
+
+
+def test_large_groups_deal_out_edges_only(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(180)
+    rows = [(i, word(90) + passage + word(90)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made, settle = {}, suffix.settle
+    monkeypatch.setattr(suffix, "settle", lambda df, name: made.setdefault(name, settle(df, name)))
+    monkeypatch.setattr(suffix, "MOST_SEGMENTS", 10)
+    for keep in ("none", "first"):
+        made.clear()
+        check(spark, rows, docs, keep=keep, length=100, anchor=8)
+        strings = made["cut"].filter("many").agg(F.sum("n")).first()[0]
+        assert strings > 1000 and made["dealt"].count() < strings / 2
