@@ -34,6 +34,8 @@ NIBBLE, LONGS = 4, BANDS * ROWS // 16
 HUBS = 4
 #: Members of a block that one task compares with another block.
 BLOCK = 512
+#: Buckets of a member, and of a ball, that decide where two of them meet once.
+KEYS = 64
 
 
 def most_apart(percent: int) -> int:
@@ -195,6 +197,29 @@ def _dealt(of: str, blocks: str) -> F.Column:
     return F.expr(f"cast(pmod(xxhash64({of}), {blocks}) as int)")
 
 
+def _first_keys(rows: DataFrame, of: str, name: str) -> DataFrame:
+    """The smallest buckets that each value of a column has rows in, at most KEYS."""
+    found = rows.select(of, "key").distinct().withColumn("at", F.row_number().over(Window.partitionBy(of).orderBy("key"))).filter(F.col("at") <= KEYS)
+    return found.groupBy(of).agg(F.collect_list("key").alias(name))
+
+
+def _meetings(open_rows: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Members a and centres b of other components' larger balls (size) that a bucket has and that sketches don't hold apart.
+
+    What shares many buckets meets in the smallest of those that both sides keep, and in the few smaller ones.
+    """
+    twice = max(0, 2 * percent - 100)
+    open_rows = settle(open_rows.join(_first_keys(open_rows, "rep", "xk"), "rep"), "members")
+    # A bucket's members are dealt to blocks; its balls, of which there are fewer, meet every block.
+    left = open_rows.select("key", _dealt("rep", "blocks").alias("block"), F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("xs"), "xk", F.struct("size", "centre").alias("rank_x"))
+    balls = open_rows.select("key", "blocks", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "bits"), "centre").join(_first_keys(open_rows, "centre", "yk"), "centre")
+    balls = balls.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = balls.select("key", "block", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("ys"), "yk", "size", F.struct("size", "centre").alias("rank_y"))
+    meets = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart("xs", "ys") <= F.when(F.col("size") > 1, most_apart(twice)).otherwise(most_apart(percent)))
+    met = F.coalesce(F.array_min(F.array_intersect("xk", "yk")) < left["key"], F.lit(False))
+    return left.join(right, meets & ~met).select(F.col("x").alias("a"), F.col("y").alias("b"), "size")
+
+
 def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members of one bucket that lie in different components; enough to join those components.
 
@@ -216,13 +241,7 @@ def _across(shared: DataFrame, bits: DataFrame, labels: DataFrame, links: DataFr
     placed = settle(shared.join(info, "rep"), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_rows = settle(hot_join(placed, settle(mixed, "mixed"), ["key"], "n"), "open")
-    # A bucket's members are dealt to blocks; its balls, of which there are fewer, meet every block.
-    left = open_rows.select("key", _dealt("rep", "blocks").alias("block"), F.col("rep").alias("x"), F.col("comp").alias("cx"), F.col("bits").alias("xs"), F.struct("size", "centre").alias("rank_x"))
-    balls = open_rows.select("key", "blocks", "centre", "comp", "size").distinct().join(bits.select(F.col("rep").alias("centre"), "bits"), "centre")
-    balls = balls.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = balls.select("key", "block", F.col("centre").alias("y"), F.col("comp").alias("cy"), F.col("bits").alias("ys"), "size", F.struct("size", "centre").alias("rank_y"))
-    meets = (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("cx") != F.col("cy")) & (F.col("rank_x") < F.col("rank_y")) & (apart("xs", "ys") <= F.when(F.col("size") > 1, most_apart(twice)).otherwise(most_apart(percent)))
-    pairs = left.join(right, meets).select(F.col("x").alias("a"), F.col("y").alias("b"), "size").distinct()
+    pairs = _meetings(open_rows, bits, percent).distinct()
     measured = _measured(pairs, sets, "across")
     found = _links(measured, percent)
     ring = measured.filter((F.col("size") > 1) & (F.col("both") * 100 < (F.col("sizes") - F.col("both")) * percent) & (F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * twice)).select(F.col("a").alias("x"), F.col("b").alias("centre"))

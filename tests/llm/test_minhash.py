@@ -108,3 +108,16 @@ def test_small_blocks_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     monkeypatch.setattr(common, "HOT", 4)
     test_links_through_members_that_are_no_hubs(spark, monkeypatch)
+
+
+def test_members_and_balls_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    edit = lambda words, n: [f"x{rng.randrange(10**9)}" if i in chosen else w for chosen in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    rows = list(enumerate(" ".join(edit(base, 4 + i % 10)) for i in range(60)))
+    made, meetings = [], minhash._meetings
+    monkeypatch.setattr(minhash, "_meetings", lambda *a: made.append(minhash.settle(meetings(*a), "made")) or made[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(near_duplicates(docs, width=2)) == brute(rows, 2)
+    assert 100 < made[0].count() <= 1.1 * made[0].distinct().count()
