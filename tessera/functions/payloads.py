@@ -20,6 +20,20 @@ MEDIA = ("video", "image", "audio", "text")
 MOST_REFS, MOST_UNITS = 20, 48
 
 
+#: The characters of T.BLANK.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(text: Column) -> Column:
+    """T.strip for short texts: no expression is searched for at each of their places."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def trimmed(items: Column) -> Column:
+    """T.trimmed for short texts."""
+    return F.filter(F.transform(items, strip), lambda x: x != "")
+
+
 def none() -> Column:
     return F.array().cast("array<string>")
 
@@ -39,12 +53,12 @@ def _items(v: Column) -> Column:
 
 def strings(v: Column) -> Column:
     """The texts of a VARIANT list."""
-    return T.trimmed(F.transform(F.filter(_items(v), lambda x: _kind(x) == "STRING"), lambda x: F.variant_get(x, "$", "string")))
+    return trimmed(F.transform(F.filter(_items(v), lambda x: _kind(x) == "STRING"), lambda x: F.variant_get(x, "$", "string")))
 
 
 def printed(v: Column) -> Column:
     """The texts, numbers and truth values of a VARIANT list, as texts."""
-    return T.trimmed(F.transform(F.filter(_items(v), lambda x: ~F.rlike(_kind(x), F.lit("^(OBJECT|ARRAY|VOID)"))), lambda x: F.variant_get(x, "$", "string")))
+    return trimmed(F.transform(F.filter(_items(v), lambda x: ~F.rlike(_kind(x), F.lit("^(OBJECT|ARRAY|VOID)"))), lambda x: F.variant_get(x, "$", "string")))
 
 
 def at(v: Column, *path: str) -> Column:
@@ -54,8 +68,8 @@ def at(v: Column, *path: str) -> Column:
 
 def said(v: Column, path: str) -> Column:
     """A text or number, trimmed; empty for anything else."""
-    found = F.try_variant_get(v, path, "variant")
-    return T.strip(F.coalesce(F.when(~F.rlike(_kind(found), F.lit("^(OBJECT|ARRAY|VOID)")), F.try_variant_get(found, "$", "string")), F.lit("")))
+    text = T.let(F.try_variant_get(v, path, "variant"), lambda x: F.when(~F.rlike(_kind(x), F.lit("^(OBJECT|ARRAY|VOID)")), F.try_variant_get(x, "$", "string")))
+    return strip(F.coalesce(text, F.lit("")))
 
 
 def first_filled(*lists: Column) -> Column:
@@ -117,7 +131,7 @@ def source_metadata(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     order = F.map_keys(F.from_json(F.get_json_object(F.col(payload), breakdown), "map<string,string>"))
     count = lambda k: F.element_at(F.col("_counts"), k)
     positive = lambda k: F.when(_kind(count(k)) == "BOOLEAN", F.try_variant_get(count(k), "$", "boolean")).when(_kind(count(k)) == "BIGINT", F.try_variant_get(count(k), "$", "bigint") > 0).otherwise(False)
-    counted = F.transform(F.filter(F.coalesce(order, none()), positive), lambda k: T.strip(k))
+    counted = F.transform(F.filter(F.coalesce(order, none()), positive), strip)
     kind = said(v, "$.source_kind")
     forms = lambda trace: F.filter(F.transform(_items(F.try_variant_get(trace, "$.material_refs", "variant")), lambda m: said(m, "$.content_form")), lambda f: f != "")
     of_chunks = F.flatten(F.transform(_items(at(v, "$.chunk_results")), lambda c: forms(F.try_variant_get(c, "$.source_trace", "variant"))))

@@ -47,3 +47,15 @@ def test_the_rest_of_the_source(spark):
     row = P.source_metadata(spark.createDataFrame([(json.dumps(payload), 1)], "payload string, media_types int").drop("media_types").withColumn("media", F.lit(1))).first()
     assert row.content_forms == ["a", "b", "c"] and row.unit_refs == ["u", "3"] and row.derived_refs == [] and row.source_counts == {"n": "2", "l": '[1,"x"]'}
     assert row.evidence_refs == [str(i) for i in range(20)] and row.extraction_run_id == "run" and row.source_kind == ""
+
+
+def test_short_texts_are_stripped_without_expressions(spark):
+    from tessera.functions import text
+
+    ends = [chr(c) for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(a + "x" + a + "y" + a,) for a in ends] + [(None,), ("",), (" \n",), ("x \n",)], "t string")
+    assert rows.filter(~P.strip(F.col("t")).eqNullSafe(text.strip(F.col("t")))).count() == 0
+    out = P.source_metadata(spark.createDataFrame([('{"source_trace": {"material_refs": [{"content_form": " a\\u00a0"}, 3]}, "chunk_results": [1, {"source_trace": 2}, {"source_trace": {"material_refs": [{"content_form": 7}]}}]}',)], "payload string"))
+    assert out.first().content_forms == ["a", "7"]
+    plan = out.select("content_forms", "media_types")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
